@@ -13,6 +13,13 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "labels conversations").split()
 
 
+KINDS = {
+    "tinyint": "int", "smallint": "int", "int": "int", "integer": "int", "bigint": "int",
+    "double": "float", "float": "float", "string": "text", "varchar": "text",
+    "timestamp": "time", "timestamp_ntz": "time",
+}
+
+
 def session() -> SparkSession:
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
@@ -51,6 +58,10 @@ def difference(frame: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> st
     names = [c[0] for c in cursor.description]
     if sorted(names) != sorted(frame.columns):
         return f"columns {sorted(frame.columns)} and {sorted(names)}"
+    kinds = {c[0]: str(c[1]) for c in cursor.description}
+    for name, kind in frame.dtypes:
+        if KINDS.get(kind.split("(")[0], kind) != KINDS.get(kinds[name].lower().split("(")[0], kinds[name]):
+            return f"{name} is {kind}, expected {kinds[name]}"
     expected = _rows(names, cursor.fetchall())
     found = _rows(frame.columns, [tuple(r) for r in frame.collect()])
     if len(found) != len(expected):

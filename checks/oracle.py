@@ -41,11 +41,12 @@ e AS (
 POINTS = "cast(round(risk_score * 10000) AS bigint)"
 MEAN = f"(cast(sum({POINTS}) AS double) / (count(risk_score) * 10000.0::double))"
 MEAN4 = f"round({MEAN}, 4) AS avg_risk_score"
-HIGH = "sum(CASE WHEN risk_score >= 0.6 THEN 1 ELSE 0 END)"
+HIGH = "cast(sum(CASE WHEN risk_score >= 0.6 THEN 1 ELSE 0 END) AS bigint)"
 LEDGER = ("transaction_id, timestamp, account_id, customer_id, amount, transaction_type, merchant_category, "
           "country, fraud_flag, volatility_index, risk_score")
 TOP = f"top AS (SELECT {LEDGER} FROM e ORDER BY risk_score DESC, amount DESC, transaction_id LIMIT 10)"
 
+AMOUNT = "cast(amount AS double) AS amount"
 GRAPH = "transaction_id, timestamp, account_id, customer_id, amount, transaction_type, country, risk_score"
 
 
@@ -285,7 +286,7 @@ def oracle_sql() -> dict[str, str]:
         lower = upper
     severity += f" ELSE '{fixed.CRITICAL_LABEL}' END"
     enriched = _with(ENRICHED, """
-SELECT * EXCLUDE (vf, df) REPLACE (round(rolling_avg_amount, 8) AS rolling_avg_amount) FROM e""")
+SELECT * EXCLUDE (vf, df) REPLACE (cast(amount AS double) AS amount, round(rolling_avg_amount, 8) AS rolling_avg_amount) FROM e""")
     record = ("to_json({transaction_id: transaction_id, timestamp: strftime(timestamp, '%Y-%m-%d %H:%M:%S'), "
               "account_id: account_id, customer_id: customer_id, transaction_type: transaction_type, "
               "merchant_category: merchant_category, country: country, fraud_flag: fraud_flag, "
@@ -294,21 +295,21 @@ SELECT * EXCLUDE (vf, df) REPLACE (round(rolling_avg_amount, 8) AS rolling_avg_a
               "country, fraud_flag, volatility_index"
     no_group = _with(SUSPICIOUS + ",\none AS (SELECT DISTINCT id, 0 AS community FROM ends),", _ledger("one"))
     return {
-        "transactions": _with(TX, "SELECT * FROM tx"),
+        "transactions": _with(TX, f"SELECT * REPLACE ({AMOUNT}) FROM tx"),
         "enriched": enriched,
         "enriched_split_accounts": enriched,
         "risk_components": _with(ENRICHED, """
 SELECT transaction_id, vf AS volatility_flag, df AS amount_deviation, cast(fraud_flag AS double) AS fraud_component FROM e"""),
         "high_risk_transactions": _with(ENRICHED, "SELECT transaction_id, risk_score FROM e WHERE risk_score >= 0.6"),
         "kpi_summary": _with(ENRICHED, f"""
-SELECT count(*) AS total_transactions, sum(CASE WHEN fraud_flag = 1 THEN 1 ELSE 0 END) AS fraud_count,
+SELECT count(*) AS total_transactions, cast(sum(CASE WHEN fraud_flag = 1 THEN 1 ELSE 0 END) AS bigint) AS fraud_count,
        {MEAN} AS avg_risk_score, {HIGH} AS high_risk_count FROM e"""),
         "risk_by_channel": _with(ENRICHED, f"SELECT transaction_type, count(*) AS transaction_count, {MEAN4} FROM e GROUP BY ALL"),
         "monthly_trend": _with(ENRICHED, trend),
         "country_risk": _with(ENRICHED, f"""
 SELECT country, count(*) AS transaction_count, {MEAN4}, {HIGH} AS high_risk_count FROM e GROUP BY ALL"""),
         "risk_distribution": _with(ENRICHED, f"SELECT {severity} AS risk_bucket, count(*) AS transaction_count FROM e GROUP BY ALL"),
-        "critical_events": _with(ENRICHED + "," + TOP, "SELECT * FROM top"),
+        "critical_events": _with(ENRICHED + "," + TOP, f"SELECT * REPLACE ({AMOUNT}) FROM top"),
         "compact_ledger": _with(ENRICHED + "," + TOP, f"""
 SELECT transaction_id, timestamp, account_id, {_dollars('amount', 2)} AS amount, transaction_type, country,
        printf('%.2f', volatility_index) AS volatility_index, printf('%.4f', risk_score) AS risk_score FROM top"""),
@@ -322,27 +323,27 @@ SELECT transaction_id, {CHANNEL} AS channel, {CODE} AS country_code, {_dollars('
 SELECT event_type, count(*) AS n, {_rules('event_type', fixed.CHANNEL_RULES, fixed.CHANNEL_DEFAULT)} AS channel
 FROM events GROUP BY event_type""",
         "top5_risk": _with(ENRICHED, """
-SELECT transaction_id, account_id, amount, volatility_index, fraud_flag, risk_score
+SELECT transaction_id, account_id, cast(amount AS double) AS amount, volatility_index, fraud_flag, risk_score
 FROM e ORDER BY risk_score DESC, transaction_id LIMIT 5"""),
-        "recent_sample": _with(TX, "SELECT * FROM tx ORDER BY timestamp, transaction_id LIMIT 10"),
+        "recent_sample": _with(TX, f"SELECT * REPLACE ({AMOUNT}) FROM tx ORDER BY timestamp, transaction_id LIMIT 10"),
         "etl_summary": _with(ENRICHED, f"""
 SELECT count(*) AS total_rows, {HIGH} AS high_risk_rows, round(100.0::double * {HIGH} / count(*), 2) AS high_risk_percent,
-       sum(fraud_flag) AS fraud_cases, {MEAN4}, max(risk_score) AS max_risk_score FROM e"""),
+       cast(sum(fraud_flag) AS bigint) AS fraud_cases, {MEAN4}, max(risk_score) AS max_risk_score FROM e"""),
         "fraud_check": _with(TX, """
-SELECT count(*) AS cnt, sum(fraud_flag) AS fraud_cnt, round(avg(fraud_flag), 4) AS fraud_rate FROM tx"""),
+SELECT count(*) AS cnt, cast(sum(fraud_flag) AS bigint) AS fraud_cnt, round(avg(fraud_flag), 4) AS fraud_rate FROM tx"""),
         "score_describe": _with(ENRICHED, _describe("risk_score")),
         "rolling_describe": _with(ENRICHED, _describe("rolling_avg_amount")),
         "score_value_counts": _with(ENRICHED, """
 SELECT risk_score, count(*) AS n FROM e GROUP BY ALL ORDER BY n DESC, risk_score LIMIT 10"""),
         "trailing_months": _with(ENRICHED + f",\nt AS ({trend})", " UNION ALL ".join(_trailing(m) for m in (3, 6, 12))),
         "trailing_range_kpi": _with(ENRICHED, f"""
-SELECT r.range, r.days, count(*) AS total_transactions, sum(CASE WHEN fraud_flag = 1 THEN 1 ELSE 0 END) AS fraud_count,
+SELECT r.range, r.days, count(*) AS total_transactions, cast(sum(CASE WHEN fraud_flag = 1 THEN 1 ELSE 0 END) AS bigint) AS fraud_count,
        {MEAN4}, {HIGH} AS high_risk_count
 FROM e, (VALUES ('7d', 7), ('30d', 30), ('1y', 365)) AS r(range, days)
 WHERE date_diff('day', cast(timestamp AS date), (SELECT max(cast(timestamp AS date)) FROM tx)) < r.days
 GROUP BY ALL"""),
         "month_over_month": _with(ENRICHED + f""",
-m AS (SELECT {MONTH} AS month, count(*) AS transaction_count, sum(CASE WHEN fraud_flag = 1 THEN 1 ELSE 0 END) AS fraud_count,
+m AS (SELECT {MONTH} AS month, count(*) AS transaction_count, cast(sum(CASE WHEN fraud_flag = 1 THEN 1 ELSE 0 END) AS bigint) AS fraud_count,
              {MEAN4}, {HIGH} AS high_risk_count FROM e GROUP BY ALL)""", f"""
 SELECT *, {changes}, round(avg_risk_score - lag(avg_risk_score) OVER w, 4) AS avg_risk_score_change
 FROM m WINDOW w AS (ORDER BY month)"""),
@@ -362,7 +363,7 @@ ORDER BY avg_risk_score DESC, customer_id LIMIT 10"""),
         "records": _with(ENRICHED + "," + TOP, f"SELECT cast({record} AS varchar) AS record FROM top"),
         "load_report": _with(TX, f"SELECT count(*) AS num_rows, '{columns}' AS column_names FROM tx"),
         "write_by_month": _with(TX, """
-SELECT count(*) AS cnt, sum(fraud_flag) AS fraud_cnt, round(avg(fraud_flag), 4) AS fraud_rate FROM tx"""),
+SELECT count(*) AS cnt, cast(sum(fraud_flag) AS bigint) AS fraud_cnt, round(avg(fraud_flag), 4) AS fraud_rate FROM tx"""),
         "graph_edges": _with(SUSPICIOUS, f"SELECT {SHOWN_EDGES} FROM ed"),
         "graph_nodes": _with(SUSPICIOUS + ",\none AS (SELECT DISTINCT id, 0 AS community FROM ends)",
                              _nodes("one", fixed.COMMUNITY_PALETTE)),
@@ -371,9 +372,9 @@ SELECT count(*) AS cnt, sum(fraud_flag) AS fraud_cnt, round(avg(fraud_flag), 4)
 SELECT id, count(*) AS edges, max(risk) AS max_risk, round(cast(sum(cast(round(weight * 100) AS bigint)) AS double) / 100, 2) AS total_weight
 FROM (SELECT "from" AS id, * FROM ed UNION ALL SELECT "to" AS id, * FROM ed) GROUP BY id"""),
         "graph_view": _with(ENRICHED, f"""
-SELECT {GRAPH} FROM e WHERE risk_score >= 0.3 ORDER BY risk_score DESC, transaction_id LIMIT 500"""),
-        "graph_view_all": _with(ENRICHED, f"SELECT {GRAPH} FROM e WHERE risk_score >= 0.3"),
-        "graph_pull": _with(ENRICHED + "," + PULL, f"SELECT {GRAPH}, volatility_index FROM g"),
+SELECT * REPLACE ({AMOUNT}) FROM (SELECT {GRAPH} FROM e) WHERE risk_score >= 0.3 ORDER BY risk_score DESC, transaction_id LIMIT 500"""),
+        "graph_view_all": _with(ENRICHED, f"SELECT * REPLACE ({AMOUNT}) FROM (SELECT {GRAPH} FROM e) WHERE risk_score >= 0.3"),
+        "graph_pull": _with(ENRICHED + "," + PULL, f"SELECT * REPLACE ({AMOUNT}) FROM (SELECT {GRAPH}, volatility_index FROM g)"),
         "graph_view_edges": _with(ENRICHED + "," + PAGE + "," + _pairs("g"), f"SELECT {SHOWN_EDGES} FROM ed"),
         "neighbours_2hop": _with(ENRICHED + "," + PULL + "," + _pairs("g"), _hops(NEIGHBOUR_SEED)),
         "neighbours_2hop_all": _with(SUSPICIOUS, _hops(NEIGHBOUR_SEED)),
@@ -399,7 +400,7 @@ SELECT docs.filename, count(ch.chunk_id) AS chunk_count FROM docs LEFT JOIN ch U
         "chunk_sample": _recursive(CHUNKS, """
 SELECT chunk_id, filename, substr(content, 1, 80) AS content_preview FROM ch ORDER BY length(chunk_id), chunk_id LIMIT 10"""),
         "corpus_stats": _recursive(CHUNKS, f"""
-SELECT (SELECT count(*) FROM docs) AS documents, (SELECT sum(len({_words('content')})) FROM docs) AS words,
+SELECT (SELECT count(*) FROM docs) AS documents, (SELECT cast(sum(len({_words('content')})) AS bigint) FROM docs) AS words,
        (SELECT count(*) FROM ch) AS chunks"""),
         "document_words": _with(DOCS, f"SELECT filename, len({_words('content')}) AS words FROM docs"),
         "embedded_chunks": _recursive(CHUNKS + "," + _embedding("ce", "ch", "chunk_id", "content"), """

@@ -45,6 +45,11 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.edge_table(_pairs(spark, d))
 
 
+def _plain(df: DataFrame) -> DataFrame:
+    """Amounts as double, which every client reads alike."""
+    return df.withColumn("amount", F.col("amount").cast("double"))
+
+
 def _shown_edges(edges: DataFrame) -> DataFrame:
     return edges.withColumn("weight", F.round("weight", 2)).withColumn("width", F.round("width", 6))
 
@@ -88,17 +93,17 @@ def _shown_hits(hits: DataFrame) -> DataFrame:
 
 
 def transactions(spark, d):
-    return _tx(spark, d)
+    return _plain(_tx(spark, d))
 
 
 def enriched(spark, d):
-    return _enriched(spark, d).withColumn("rolling_avg_amount", F.round("rolling_avg_amount", 8))
+    return _plain(_enriched(spark, d)).withColumn("rolling_avg_amount", F.round("rolling_avg_amount", 8))
 
 
 def enriched_split_accounts(spark, d):
     """The same result with every account above 200 rows cut into time slices."""
     out = enrichment.enrich(_tx(spark, d), tpch.account_rows(spark, d), hot_rows=200)
-    return out.withColumn("rolling_avg_amount", F.round("rolling_avg_amount", 8))
+    return _plain(out).withColumn("rolling_avg_amount", F.round("rolling_avg_amount", 8))
 
 
 def risk_components(spark, d):
@@ -184,11 +189,11 @@ def node_stats(spark, d):
 
 
 def graph_view(spark, d):
-    return graph.graph_view(_enriched(spark, d), 0.3, 500)
+    return _plain(graph.graph_view(_enriched(spark, d), 0.3, 500))
 
 
 def graph_view_all(spark, d):
-    return graph.graph_view(_enriched(spark, d), 0.3, None)
+    return _plain(graph.graph_view(_enriched(spark, d), 0.3, None))
 
 
 def graph_view_edges(spark, d):
@@ -403,12 +408,13 @@ def queries() -> dict:
     out["chunks"] = _chunks
     for build in (
         marts.kpi_summary, marts.risk_by_channel, marts.monthly_trend, marts.country_risk, marts.risk_distribution,
-        marts.critical_events, marts.compact_ledger, marts.etl_summary, marts.score_value_counts,
+        marts.compact_ledger, marts.etl_summary, marts.score_value_counts,
         marts.trailing_range_kpi, marts.month_over_month, marts.peak_tiles, marts.top_customers,
     ):
         out[build.__name__] = _mart(build)
-    out["top5_risk"] = _mart(marts.top_risk)
-    out["graph_pull"] = _mart(graph.graph_pull)
+    for name, build in (("critical_events", marts.critical_events), ("top5_risk", marts.top_risk),
+                        ("graph_pull", graph.graph_pull)):
+        out[name] = lambda spark, d, build=build: _plain(build(_enriched(spark, d)))
     out["fraud_check"] = lambda spark, d: marts.fraud_check(_tx(spark, d))
-    out["recent_sample"] = lambda spark, d: marts.recent_sample(_tx(spark, d))
+    out["recent_sample"] = lambda spark, d: _plain(marts.recent_sample(_tx(spark, d)))
     return out
