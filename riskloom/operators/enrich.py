@@ -67,10 +67,24 @@ def _micros(tx: DataFrame) -> Column:
     return (F.unix_date(at.cast("date")).cast("bigint") * 86_400 + seconds) * 1_000_000
 
 
-def _slices(base: DataFrame, hot: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Time grid of each hot account and the slice of each grid cell.
+def _position(at: Column, low: str, width: str) -> Column:
+    """Cell of an even grid; rows without a time, or without a grid, come first."""
+    return F.coalesce(F.floor((at - F.col(low)) / F.col(width)), F.lit(0))
 
-    Both have at most a few rows per part of a hot account, whatever the table size.
+
+def _placed(base: DataFrame, grid: DataFrame, fine: DataFrame, how: str) -> DataFrame:
+    """Adds the grid cell and the cell of the finer grid within it; both grow with time."""
+    at = _micros(base)
+    coarse = base.join(F.broadcast(grid), "account_id", how).withColumn("_cell", _position(at, "_low", "_width"))
+    return coarse.join(F.broadcast(fine), ["account_id", "_cell"], "left").withColumn(
+        "_sub", _position(at, "_fine_low", "_fine_width"))
+
+
+def _slices(base: DataFrame, hot: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Time grid of each hot account, finer grids of its crowded cells, and the slice of each cell.
+
+    A few stray times may stretch the first grid; the finer one then still splits the rest.
+    All three have at most a few rows per part of a hot account, whatever the table size.
     Every slice but an account's first and last holds at least ``least`` rows.
     """
     at = _micros(base)
@@ -79,49 +93,48 @@ def _slices(base: DataFrame, hot: DataFrame, least: int) -> tuple[DataFrame, Dat
         .groupBy("account_id", "parts")
         .agg(F.min(at).alias("_low"), F.max(at).alias("_high"), F.count("*").alias("_rows"))
     )
-    cells = F.least(F.lit(MAX_BUCKETS), 4 * F.col("parts"))
-    width = F.ceil((F.col("_high") - F.col("_low") + 1) / cells)
-    step = F.ceil(F.col("_rows") / F.col("parts"))
-    grid = materialise(
-        spans.select("account_id", "_low", width.alias("_width"), step.alias("_step")), "grid")
-    histogram = (
-        base.join(F.broadcast(grid), "account_id")
-        .groupBy("account_id", "_step", _cell(base).alias("_cell"))
-        .agg(F.count("*").alias("_rows"))
-    )
-    by_time = Window.partitionBy("account_id").orderBy("_cell")
+    grid = materialise(spans.select(
+        "account_id", "_low", _width("_low", "_high", F.col("parts")).alias("_width"),
+        F.ceil(F.col("_rows") / F.col("parts")).alias("_step")), "grid")
+    coarse = base.join(F.broadcast(grid), "account_id").withColumn("_cell", _position(at, "_low", "_width"))
+    crowded = coarse.groupBy("account_id", "_step", "_cell").agg(
+        F.min(at).alias("_low"), F.max(at).alias("_high"), F.count("*").alias("_rows")
+    ).where((F.col("_rows") > F.col("_step")) & (F.col("_low") < F.col("_high")))
+    fine = materialise(crowded.select(
+        "account_id", "_cell", F.col("_low").alias("_fine_low"),
+        _width("_low", "_high", F.ceil(F.col("_rows") / F.col("_step"))).alias("_fine_width")), "fine")
+    histogram = _placed(base, grid, fine, "inner").groupBy(
+        "account_id", "_step", F.struct("_cell", "_sub").alias("_at")).agg(F.count("*").alias("_rows"))
+    by_time = Window.partitionBy("account_id").orderBy("_at")
     start = F.coalesce(F.sum("_rows").over(by_time.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     draft = histogram.withColumn("_draft", F.floor(start / F.col("_step")))
-    size = F.sum("_rows").over(Window.partitionBy("account_id", "_draft"))
-    first = F.min("_cell").over(Window.partitionBy("account_id", "_draft")) == F.col("_cell")
-    big = (first & (F.col("_size") >= least)).cast("int")
-    numbered = draft.withColumn("_size", size).withColumn("_big", big).select(
-        "account_id", "_cell", F.sum("_big").over(by_time).cast("int").alias("_slice"))
-    return grid, materialise(numbered, "slices")
+    together = Window.partitionBy("account_id", "_draft")
+    first = F.min("_at").over(together) == F.col("_at")
+    big = (first & (F.sum("_rows").over(together) >= least)).cast("int")
+    numbered = draft.withColumn("_big", big).select(
+        "account_id", "_at._cell", "_at._sub", F.sum("_big").over(by_time).cast("int").alias("_slice"))
+    return grid, fine, materialise(numbered, "slices")
 
 
-def _cell(base: DataFrame) -> Column:
-    """Grid cell; rows without a time come first."""
-    return F.coalesce(F.floor((_micros(base) - F.col("_low")) / F.col("_width")), F.lit(0))
+def _width(low: str, high: str, parts: Column) -> Column:
+    cells = F.least(F.lit(MAX_BUCKETS), 4 * parts)
+    return F.ceil((F.col(high) - F.col(low) + 1) / cells)
 
 
 def _with_halo(base: DataFrame, hot: DataFrame, halo: int, orphan_cell: Column) -> DataFrame:
-    grid, slices = _slices(base, hot, halo)
+    grid, fine, slices = _slices(base, hot, halo)
+    cell = ["account_id", "_cell", "_sub"]
     slice_of = F.when(F.col("account_id").isNull(), orphan_cell).otherwise(F.coalesce("_slice", F.lit(0)))
-    main = (
-        base.join(F.broadcast(grid), "account_id", "left").withColumn("_cell", _cell(base))
-        .join(F.broadcast(slices), ["account_id", "_cell"], "left")
-        .select(*base.columns, slice_of.alias("_slice"), F.lit(False).alias("_halo"))
-    )
+    main = _placed(base, grid, fine, "left").join(F.broadcast(slices), cell, "left").select(
+        *base.columns, slice_of.alias("_slice"), F.lit(False).alias("_halo"))
     from_end = Window.partitionBy("account_id", "_slice").orderBy(
         F.desc("timestamp"), F.desc("transaction_id"))
+    keys = ["account_id", "timestamp", "transaction_id", "_money"]
     tails = (
-        base.select("account_id", "timestamp", "transaction_id", "_money")
-        .join(F.broadcast(grid), "account_id").withColumn("_cell", _cell(base))
-        .join(F.broadcast(slices), ["account_id", "_cell"])
+        _placed(base.select(*keys), grid, fine, "inner")
+        .join(F.broadcast(slices), cell)
         .withColumn("_back", F.row_number().over(from_end))
         .where(F.col("_back") <= halo)
-        .select("account_id", "timestamp", "transaction_id", "_money",
-                (F.col("_slice") + 1).alias("_slice"), F.lit(True).alias("_halo"))
+        .select(*keys, (F.col("_slice") + 1).alias("_slice"), F.lit(True).alias("_halo"))
     )
     return main.unionByName(tails, allowMissingColumns=True)

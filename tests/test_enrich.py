@@ -73,14 +73,17 @@ def test_split_accounts_without_zone(spark):
     same(averages(enrich.rolling_average(tx, hot_rows=60)), expected(rows))
 
 
-def test_slices_are_bounded(spark):
+@pytest.mark.parametrize("stray", [[], [-50_000_000, 500_000_000]])
+def test_slices_are_bounded(spark, stray):
     rows = [row(i, "hot", i, "1.00") for i in range(1000)]
-    base = spark.createDataFrame(rows, TRANSACTION_SCHEMA).withColumn("_money", F.col("amount"))
-    hot = spark.createDataFrame([("hot", 1000, 10)], "account_id string, rows long, parts long")
-    grid, slices = enrich._slices(base, hot, 49)
-    sizes = (base.join(grid, "account_id").withColumn("_cell", enrich._cell(base))
-             .join(slices, ["account_id", "_cell"]).groupBy("_slice").count().collect())
-    assert len(sizes) >= 8 and max(r["count"] for r in sizes) <= 200
+    rows += [row(5000 + i, "hot", minutes, "9.00") for i, minutes in enumerate(stray)]
+    tx = spark.createDataFrame(rows, TRANSACTION_SCHEMA)
+    hot = spark.createDataFrame([("hot", len(rows), 10)], "account_id string, rows long, parts long")
+    grid, fine, slices = enrich._slices(tx, hot, 49)
+    sizes = (enrich._placed(tx, grid, fine, "inner").join(slices, ["account_id", "_cell", "_sub"])
+             .groupBy("_slice").count().collect())
+    assert len(sizes) >= 7 and max(r["count"] for r in sizes) <= 250
+    same(averages(enrich.rolling_average(tx, hot_rows=100)), expected(rows))
 
 
 def test_flags_and_score(spark):
