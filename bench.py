@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from riskloom.operators import graph, knowledge, marts, routing, search
 from riskloom.operators.communities import louvain
 from riskloom.operators.enrich import enrich
-from riskloom.plans.lineage import materialise, scratch_path
+from riskloom.plans.lineage import clear_scratch, materialise, scratch_path
 from riskloom.plans.pipelines import write_marts
 from riskloom.sources import tpch
 
@@ -79,6 +79,7 @@ def main() -> None:
     asked = tpch.questions(spark, SF_DIR)
     timed("rag_context", lambda: run(search.retrieve_context(asked, embedded)))
     timed("route_queries", lambda: run(routing.route_queries(asked)))
+    clear_scratch(spark)
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),

@@ -275,6 +275,25 @@ def _trailing(months: int) -> str:
     return f"SELECT *, {months} AS months FROM (SELECT * FROM t ORDER BY month DESC LIMIT {months})"
 
 
+def _mart_report() -> str:
+    """Rows and columns of each written mart."""
+    one = "transaction_count, avg_risk_score"
+    marts = [
+        ("metrics", "least(1, count(*))", "total_transactions, fraud_count, avg_risk_score, high_risk_count"),
+        ("risk_by_channel", "count(DISTINCT transaction_type)", f"transaction_type, {one}"),
+        ("temporal_risk", f"count(DISTINCT {MONTH})", f"month, {one}"),
+        ("geographical_risk", "count(DISTINCT country)", f"country, {one}, high_risk_count"),
+        ("risk_distribution",
+         "count(DISTINCT CASE WHEN risk_score = 0 THEN 0 WHEN risk_score <= 0.25 THEN 1 WHEN risk_score <= 0.5 THEN 2 "
+         "WHEN risk_score <= 0.75 THEN 3 ELSE 4 END)", "risk_bucket, transaction_count"),
+        ("critical_events", "least(10, count(*))", LEDGER),
+        ("graph_pull", "least(300, count(*) FILTER (WHERE risk_score >= 0.2))", GRAPH),
+    ]
+    return _with(ENRICHED, " UNION ALL ".join(
+        f"SELECT '{name}' AS mart, {rows} AS num_rows, '{columns}' AS column_names FROM e"
+        for name, rows, columns in marts))
+
+
 def oracle_sql() -> dict[str, str]:
     trend = f"SELECT {MONTH} AS month, count(*) AS transaction_count, {MEAN4} FROM e GROUP BY ALL"
     change = "CASE WHEN lag({c}) OVER w <> 0 THEN round(100.0::double * ({c} - lag({c}) OVER w) / lag({c}) OVER w, 1) END AS {c}_change"
@@ -362,6 +381,7 @@ ORDER BY avg_risk_score DESC, customer_id LIMIT 10"""),
         "region_heatmap": _heatmap(),
         "records": _with(ENRICHED + "," + TOP, f"SELECT cast({record} AS varchar) AS record FROM top"),
         "load_report": _with(TX, f"SELECT count(*) AS num_rows, '{columns}' AS column_names FROM tx"),
+        "write_marts": _mart_report(),
         "write_by_month": _with(TX, """
 SELECT count(*) AS cnt, cast(sum(fraud_flag) AS bigint) AS fraud_cnt, round(avg(fraud_flag), 4) AS fraud_rate FROM tx"""),
         "graph_edges": _with(SUSPICIOUS, f"SELECT {SHOWN_EDGES} FROM ed"),

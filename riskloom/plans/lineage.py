@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+RUN = uuid.uuid4().hex
+
 
 @functools.cache
 def _local_folder() -> str:
@@ -25,8 +27,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder()
 
 
+def _run_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/riskloom-{RUN}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/riskloom/{uuid.uuid4().hex}/{name}"
+    return f"{_run_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this driver process stored with ``materialise``; call it when no result is needed any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:

@@ -153,6 +153,8 @@ def test_lists_on_disk(spark, tmp_path):
     base = vectors(spark, [(i, rng.normal(size=4).tolist()) for i in range(60)])
     centroids = search.write_lists(base, str(tmp_path / "lists"), 3)
     stored = spark.read.parquet(str(tmp_path / "lists"))
+    queries = base.withColumnRenamed("id", "query_id")
+    assert hits(search.search_lists(stored, centroids, queries, probes=3)) == hits(search.vector_search(base, queries))
     assert len(centroids) == 3 and stored.count() == 60 and stored.select("list").distinct().count() == 3
 
 

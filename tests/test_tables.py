@@ -1,6 +1,10 @@
 import datetime as dt
 import json
 
+import pytest
+
+from riskloom.plans import lineage
+from riskloom.plans.lineage import clear_scratch, materialise, scratch_path
 from riskloom.plans.numbering import running_total
 from riskloom.plans.pipelines import MARTS, write_marts
 from riskloom.operators.enrich import enrich
@@ -58,6 +62,14 @@ def test_running_total_is_exact(spark):
     assert {r["k"]: r["before"] for r in rows} == expected
 
 
+def test_scratch_is_cleared(spark):
+    stored = materialise(spark.range(5), "five")
+    assert stored.count() == 5 and scratch_path(spark, "x").startswith(lineage.shared_folder(spark))
+    clear_scratch(spark)
+    with pytest.raises(Exception, match="(?i)not.*(exist|found)"):
+        stored.collect()
+
+
 def test_all_marts_are_written(spark, tmp_path):
     enriched = enrich(tpch.transactions(spark, SMALL), tpch.account_rows(spark, SMALL))
     report = {r["mart"]: r["num_rows"] for r in write_marts(enriched.cache(), str(tmp_path)).collect()}
