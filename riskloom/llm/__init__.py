@@ -1 +1,11 @@
-"""Operators for preparing training data; nothing else in the library imports this package."""
+"""Operators for preparing training data; nothing else in the library imports this package.
+
+Functions that run in tasks are sent to the executors by value, so a cluster needs no copy
+of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

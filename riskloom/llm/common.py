@@ -6,6 +6,7 @@ and hashing words costs a few array passes and no Python object per word.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ SPACES = b" \t\n\x0b\x0c\r"
 #: Words of a text, as a pattern for Spark's and Python's regular expressions.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that are hashed at a time; keeps the arrays in the processor's cache.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,13 +69,12 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out, dtype=np.uint64) if n else out
-
-
-_FORTH, _BACK = _powers(_BASE, PIECE), _powers(_INVERSE, PIECE)
+@functools.lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse."""
+    forth, back = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
+    forth[:1] = back[:1] = 1
+    return np.multiply.accumulate(forth), np.multiply.accumulate(back)
 
 
 @dataclass
@@ -102,7 +102,7 @@ def running(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ``(total[j] - total[i]) * back[i]`` is a hash of the bytes from i to j, wherever they stand.
     """
     n = len(part)
-    forth, back = (_FORTH, _BACK) if n <= PIECE else (_powers(_BASE, n), _powers(_INVERSE, n))
+    forth, back = _powers(max(n, PIECE))
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[part] * forth[:n], dtype=np.uint64, out=total[1:])
     return total, back
@@ -122,7 +122,7 @@ def _hashed(part: np.ndarray, table: np.ndarray, inside: np.ndarray, bounds: np.
     after[-1:] = True
     after[:-1] = ~inside[1:]
     ends = np.flatnonzero(inside & (after | edge[1:]))
-    forth, back = (_FORTH, _BACK) if n <= PIECE else (_powers(_BASE, n), _powers(_INVERSE, n))
+    forth, back = _powers(max(n, PIECE))
     value = table[part] * forth[:n]
     total = np.cumsum(value, dtype=np.uint64)
     return starts, ends + 1, mix((total[ends] - total[starts] + value[starts]) * back[starts])

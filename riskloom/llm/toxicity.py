@@ -309,11 +309,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Null and empty texts get the score of a passage without any n-gram.
     """
-    scorer = docs.sparkSession.sparkContext.broadcast(model.flat())
+    weights = docs.sparkSession.sparkContext.broadcast(vars(model.flat()))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(**weights.value)
         for batch in batches:
-            values = scorer.value.score(batch.column(text)) if batch.num_rows else np.zeros(0)
+            values = scorer.score(batch.column(text)) if batch.num_rows else np.zeros(0)
             rest = [batch.column(c) for c in batch.schema.names if c != text]
             names = [c for c in batch.schema.names if c != text]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(values)], [*names, "score"])
