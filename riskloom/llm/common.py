@@ -6,7 +6,6 @@ and hashing words costs a few array passes and no Python object per word.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -69,7 +68,6 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-@functools.lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse."""
     forth, back = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
@@ -102,13 +100,13 @@ def running(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ``(total[j] - total[i]) * back[i]`` is a hash of the bytes from i to j, wherever they stand.
     """
     n = len(part)
-    forth, back = _powers(max(n, PIECE))
+    forth, back = _powers(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[part] * forth[:n], dtype=np.uint64, out=total[1:])
     return total, back
 
 
-def _hashed(part: np.ndarray, table: np.ndarray, inside: np.ndarray, bounds: np.ndarray):
+def _hashed(part: np.ndarray, table: np.ndarray, inside: np.ndarray, bounds: np.ndarray, powers):
     """Start, end and hash of every run of ``inside`` bytes that crosses no bound."""
     n = len(part)
     edge = np.zeros(n + 1, bool)
@@ -122,7 +120,7 @@ def _hashed(part: np.ndarray, table: np.ndarray, inside: np.ndarray, bounds: np.
     after[-1:] = True
     after[:-1] = ~inside[1:]
     ends = np.flatnonzero(inside & (after | edge[1:]))
-    forth, back = _powers(max(n, PIECE))
+    forth, back = powers
     value = table[part] * forth[:n]
     total = np.cumsum(value, dtype=np.uint64)
     return starts, ends + 1, mix((total[ends] - total[starts] + value[starts]) * back[starts])
@@ -134,33 +132,24 @@ def words(buffer: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Spans:
     Two different words share a hash with a chance of about 2**-52 or less, which takes the
     place of comparing strings everywhere in this package.
     """
-    table = _LOWERED if lower else _AS_IS
-    hashes, starts, ends, docs = [], [], [], []
-    for first, last in pieces(offsets):
-        low = offsets[first]
-        part = buffer[low: offsets[last]]
-        if not len(part):
-            continue
-        s, e, h = _hashed(part, table, ~IS_SPACE[part], offsets[first:last] - low)
-        hashes.append(h)
-        starts.append(s + low)
-        ends.append(e + low)
-        docs.append(np.searchsorted(offsets[first: last + 1], s + low, "right") - 1 + first)
-    if not hashes:
-        none = np.zeros(0, np.int64)
-        return Spans(np.zeros(0, np.uint64), none, none, none)
-    return Spans(np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends), np.concatenate(docs))
+    return _runs(buffer, offsets, _LOWERED if lower else _AS_IS, lambda part: ~IS_SPACE[part])
 
 
 def lines(buffer: np.ndarray, offsets: np.ndarray) -> Spans:
     """Every non-empty line between line feeds, hashed with all its bytes."""
+    return _runs(buffer, offsets, _BYTE, lambda part: part != 10)
+
+
+def _runs(buffer: np.ndarray, offsets: np.ndarray, table: np.ndarray, inside) -> Spans:
     hashes, starts, ends, docs = [], [], [], []
-    for first, last in pieces(offsets):
+    ranges = list(pieces(offsets))
+    powers = _powers(max((int(offsets[b] - offsets[a]) for a, b in ranges), default=0))
+    for first, last in ranges:
         low = offsets[first]
         part = buffer[low: offsets[last]]
         if not len(part):
             continue
-        s, e, h = _hashed(part, _BYTE, part != 10, offsets[first:last] - low)
+        s, e, h = _hashed(part, table, inside(part), offsets[first:last] - low, powers)
         hashes.append(h)
         starts.append(s + low)
         ends.append(e + low)
