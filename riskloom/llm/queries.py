@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.llm import toxicity
+from riskloom.llm import quality, secrets, toxicity
 from riskloom.llm.common import held_out, only
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find_secrets(only(_table(spark, d, "documents"), "doc_id", "text")).drop("mask")
+
+
 def op3_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = _table(spark, d, "documents"), _table(spark, d, "labels")
     model = toxicity.fit(docs, labels, learnable=~held_out("doc_id", 5, 0))
@@ -22,8 +26,14 @@ def op3_toxicity(spark: SparkSession, d: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    trees = quality.fit(docs, _table(spark, d, "labels"))
+    return quality.judge(only(docs, "doc_id", "text"), trees).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity,)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_toxicity, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
