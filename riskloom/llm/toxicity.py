@@ -30,11 +30,11 @@ from pyspark.sql.types import DoubleType, StructType
 from riskloom.llm.common import PIECE, buffer_of, mix, only, pieces, running, words
 
 #: Most labelled rows of either class that a model is fitted on: those with the smallest hashes of their id.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 3_000, 5_000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2_000, 3_000
 #: Passages of one sampled text that training sees at most, evenly spaced over the text.
-TRAIN_PASSAGES = 40
+TRAIN_PASSAGES = 20
 #: Passages in the first turn of training, which does not know yet which ones matter.
-FIRST_PASSAGES = 8_000
+FIRST_PASSAGES = 6_000
 #: Rows of the embedding table, and their width.
 BUCKETS, SIZE = 1 << 18, 8
 SHORTEST, LONGEST = 3, 6
@@ -225,10 +225,9 @@ def train(passages: pa.Array, text_of: np.ndarray, toxic: np.ndarray, share: flo
         ids = found.ids[np.repeat(ids_end[chosen] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())]
         row = np.repeat(np.arange(len(chosen), dtype=np.int32), sizes)
         per_word = counts[ids]
-        place = np.repeat(places[ids] - np.r_[0, np.cumsum(per_word)[:-1]], per_word) + np.arange(per_word.sum())
-        buckets = grams[place]
-        value = np.repeat((1 / np.maximum(found.sizes[chosen], PASSAGE // 2))[row] / per_word, per_word)
-        row = np.repeat(row, per_word)
+        buckets = grams[np.repeat(places[ids] - np.r_[0, np.cumsum(per_word)[:-1]], per_word) + np.arange(per_word.sum())]
+        value = (1 / np.maximum(found.sizes[chosen], PASSAGE // 2))[row] / per_word
+        value, row = np.repeat(value.astype(np.float32), per_word), np.repeat(row, per_word)
         curvature = np.bincount(buckets, value * value * weight[row], BUCKETS) + ridge
         momentum, momentum_out, momentum_bias = np.zeros((BUCKETS, SIZE)), np.zeros(SIZE), 0.0
         for _ in range(epochs):
