@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.llm import quality, secrets, toxicity
+from riskloom.llm import quality, secrets, topk, toxicity, warc
 from riskloom.llm.common import held_out, only
 
 
@@ -26,6 +26,16 @@ def op3_toxicity(spark: SparkSession, d: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_warc(spark: SparkSession, d: str) -> DataFrame:
+    return warc.round_trip(_table(spark, d, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_top_k(spark: SparkSession, d: str) -> DataFrame:
+    vectors = topk.integers(_table(spark, d, "embeddings"))
+    return topk.top_k(vectors, vectors.where("id % 100 = 0"), 10)
+
+
 def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents")
     trees = quality.fit(docs, _table(spark, d, "labels"))
@@ -33,8 +43,31 @@ def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_toxicity, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_toxicity, op4_warc, op7_top_k, op10_quality_rules)}
+
+
+OP4 = """
+SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+       CASE WHEN revisits THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN revisits THEN first END AS refers_to
+FROM (SELECT *, strlen(coalesce(html, '')) >= 100 AND page_id <> first AS revisits
+      FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages))
+"""
+
+OP7 = """
+WITH usable AS (
+    SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": OP4, "op7_top_k": OP7}
