@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: White space between words: space and \t \n \v \f \r.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -170,3 +171,33 @@ def windows(hashes: np.ndarray, docs: np.ndarray, size: int) -> tuple[np.ndarray
     for i in range(size):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[at + i])
     return out, at
+
+
+def count_words(texts: pa.Array) -> np.ndarray:
+    """Words per text; null is empty."""
+    buffer, offsets = buffer_of(texts)
+    out = np.zeros(len(offsets) - 1, np.int64)
+    for first, last in pieces(offsets):
+        part = ~IS_SPACE[buffer[offsets[first]: offsets[last]]]
+        local = offsets[first:last + 1] - offsets[first]
+        before = np.zeros(len(part), bool)
+        before[1:] = part[:-1]
+        bounds = local[:-1]
+        before[bounds[bounds < len(part)]] = False
+        total = np.zeros(len(part) + 1, np.int64)
+        np.cumsum(part & ~before, out=total[1:])
+        out[first:last] = np.diff(total[local])
+    return out
+
+
+def with_words(df: DataFrame, text: str = "text", out: str = "size", keep_text: bool = False) -> DataFrame:
+    """``df`` with the number of words of its text, by default without the text."""
+    passed = [f for f in df.schema.fields if f.name != out and (keep_text or f.name != text)]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(f.name) for f in passed] + [pa.array(count_words(batch.column(text)))],
+                [*[f.name for f in passed], out])
+
+    return df.mapInArrow(add, StructType([*passed, StructField(out, LongType())]))

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.llm import quality, secrets, topk, toxicity, warc
-from riskloom.llm.common import held_out, only
+from riskloom.llm import mixing, quality, secrets, topk, toxicity, warc
+from riskloom.llm.common import held_out, only, with_words
+from riskloom.plans.lineage import materialise
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -36,6 +37,13 @@ def op7_top_k(spark: SparkSession, d: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("id % 100 = 0"), 10)
 
 
+def op9_mixing(spark: SparkSession, d: str) -> DataFrame:
+    docs = only(_table(spark, d, "documents"), "doc_id", "text", "source")
+    rows = materialise(with_words(mixing.keyed(docs)), "sized")
+    return mixing.apply_plan(rows, mixing.plan(rows)).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "shards")
+
+
 def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents")
     trees = quality.fit(docs, _table(spark, d, "labels"))
@@ -43,7 +51,7 @@ def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_toxicity, op4_warc, op7_top_k, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_toxicity, op4_warc, op7_top_k, op9_mixing, op10_quality_rules)}
 
 
 OP4 = """
