@@ -201,3 +201,17 @@ def with_words(df: DataFrame, text: str = "text", out: str = "size", keep_text:
                 [*[f.name for f in passed], out])
 
     return df.mapInArrow(add, StructType([*passed, StructField(out, LongType())]))
+
+
+def fingerprints(found: Spans, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each text's sequence of words; 0 for a text without words."""
+    counts = np.bincount(found.docs, minlength=n)
+    place = (np.arange(len(found.docs)) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)).astype(np.uint64)
+    out = []
+    for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        each = mix(found.hashes ^ mix(place * np.uint64(salt) + np.uint64(1)))
+        total = np.zeros(len(each) + 1, np.uint64)
+        np.cumsum(each, dtype=np.uint64, out=total[1:])
+        ends = np.cumsum(counts)
+        out.append(total[ends] - total[ends - counts])
+    return out[0], out[1]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.llm import mixing, quality, secrets, topk, toxicity, warc
+from riskloom.llm import mixing, packing, quality, secrets, sharding, topk, toxicity, warc
 from riskloom.llm.common import held_out, only, with_words
 from riskloom.plans.lineage import materialise
 
@@ -32,6 +32,16 @@ def op4_warc(spark: SparkSession, d: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.measured(_table(spark, d, "documents")))
+
+
+def op6_sharding(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    rows = docs.select("doc_id", sharding.hash_bits("doc_id").alias("hash"), F.octet_length("text").alias("bytes"))
+    return sharding.shards(rows).drop("hash")
+
+
 def op7_top_k(spark: SparkSession, d: str) -> DataFrame:
     vectors = topk.integers(_table(spark, d, "embeddings"))
     return topk.top_k(vectors, vectors.where("id % 100 = 0"), 10)
@@ -51,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_toxicity, op4_warc, op7_top_k, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_toxicity, op4_warc, op5_packing, op6_sharding, op7_top_k, op9_mixing, op10_quality_rules)}
 
 
 OP4 = """
@@ -62,12 +72,29 @@ FROM (SELECT *, strlen(coalesce(html, '')) >= 100 AND page_id <> first AS revisi
       FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages))
 """
 
+OP6 = """
+WITH hashed AS (
+    SELECT doc_id, strlen(coalesce(text, '')) AS bytes,
+           CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS hash
+    FROM documents),
+buckets AS (
+    SELECT depth, hash >> (60 - depth) AS prefix, CAST(sum(bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_rows
+    FROM hashed, (SELECT unnest(range(0, 61)) AS depth) GROUP BY ALL),
+shortest AS (
+    SELECT h.doc_id, h.bytes, h.hash, min(b.depth) AS depth
+    FROM hashed h JOIN buckets b ON b.prefix = h.hash >> (60 - b.depth)
+    WHERE b.shard_bytes <= 1048576 OR b.shard_rows = 1 GROUP BY ALL)
+SELECT s.doc_id, s.bytes, CAST(s.depth AS INTEGER) AS depth, b.shard_bytes, b.shard_rows,
+       CASE WHEN s.depth = 0 THEN '' ELSE lpad(bin(b.prefix), CAST(s.depth AS INTEGER), '0') END AS shard
+FROM shortest s JOIN buckets b ON b.depth = s.depth AND b.prefix = s.hash >> (60 - s.depth)
+"""
+
 OP7 = """
 WITH usable AS (
-    SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
     FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
     SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
     FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
@@ -78,4 +105,4 @@ WHERE rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4, "op7_top_k": OP7}
+    return {"op4_warc": OP4, "op6_sharding": OP6, "op7_top_k": OP7}
