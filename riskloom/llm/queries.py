@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.llm import mixing, packing, quality, secrets, sharding, topk, toxicity, warc
+from riskloom.llm import mixing, neardup, packing, quality, secrets, sharding, topk, toxicity, warc
 from riskloom.llm.common import held_out, only, with_words
 from riskloom.plans.lineage import materialise
 
@@ -47,6 +47,10 @@ def op7_top_k(spark: SparkSession, d: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("id % 100 = 0"), 10)
 
 
+def op8_bagminhash(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(_table(spark, d, "documents"))
+
+
 def op9_mixing(spark: SparkSession, d: str) -> DataFrame:
     docs = only(_table(spark, d, "documents"), "doc_id", "text", "source")
     rows = materialise(with_words(mixing.keyed(docs)), "sized")
@@ -61,7 +65,7 @@ def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_toxicity, op4_warc, op5_packing, op6_sharding, op7_top_k, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_toxicity, op4_warc, op5_packing, op6_sharding, op7_top_k, op8_bagminhash, op9_mixing, op10_quality_rules)}
 
 
 OP4 = """
