@@ -195,7 +195,7 @@ def with_words(df: DataFrame, text: str = "text", out: str = "size", keep_text:
     passed = [f for f in df.schema.fields if f.name != out and (keep_text or f.name != text)]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, text):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(f.name) for f in passed] + [pa.array(count_words(batch.column(text)))],
                 [*[f.name for f in passed], out])
@@ -215,3 +215,11 @@ def fingerprints(found: Spans, n: int) -> tuple[np.ndarray, np.ndarray]:
         ends = np.cumsum(counts)
         out.append(total[ends] - total[ends - counts])
     return out[0], out[1]
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in slices of at most ``limit`` bytes of text, or one longer text."""
+    for batch in batches:
+        _, offsets = buffer_of(batch.column(text))
+        for first, last in pieces(offsets, limit):
+            yield batch.slice(first, last - first)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from riskloom.llm.common import buffer_of, fingerprints, mix, only, uniform, windows, words
+from riskloom.llm.common import buffer_of, fingerprints, in_parts, mix, only, uniform, windows, words
 from riskloom.plans.lineage import materialise
 
 #: Words of a shingle, and the least similarity of a link (fixed values).
@@ -145,7 +145,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                          StructField("bands", ArrayType(LongType()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, "text"):
             n = batch.num_rows
             prints, counts, hashes, owners = shingles(batch.column("text"))
             texts, keys = bands_of(*_bags(hashes, owners), n, bands, rows)
@@ -168,7 +168,7 @@ def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     schema = StructType([StructField("node", BinaryType()), StructField("elements", ArrayType(LongType()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, "text"):
             n = batch.num_rows
             prints, counts, hashes, owners = shingles(batch.column("text"))
             order = np.lexsort((hashes, owners))

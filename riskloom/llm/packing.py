@@ -14,10 +14,13 @@ from __future__ import annotations
 
 from collections import Counter, deque
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+from riskloom.llm.common import buffer_of, fingerprints, in_parts, only, words
 from riskloom.plans.lineage import materialise
 
 #: Words of a bin, and documents of a pack on average.
@@ -147,17 +150,12 @@ def measured(docs: DataFrame) -> DataFrame:
     The cluster of a document is a hash of its lower-cased words, so copies share it; a
     document without words has none.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    from riskloom.llm.common import buffer_of, fingerprints, only, words
-
     rows = only(docs, "doc_id", "source", "text")
     schema = StructType([rows.schema["doc_id"], rows.schema["source"], StructField("cluster", LongType()),
                          StructField("size", LongType())])
 
     def measure(batches):
-        for batch in batches:
+        for batch in in_parts(batches, "text"):
             buffer, offsets = buffer_of(batch.column("text"))
             found = words(buffer, offsets)
             size = np.bincount(found.docs, minlength=batch.num_rows)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from riskloom.llm.common import IS_SPACE, buffer_of, lines, mix, only, pieces, windows, words
+from riskloom.llm.common import IS_SPACE, buffer_of, in_parts, lines, mix, only, pieces, windows, words
 
 #: Most labelled rows that trees are fitted on: those with the smallest hashes of their id.
 SAMPLE_ROWS = 20_000
@@ -218,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Trees:
                         + [StructField(f, DoubleType()) for f in FEATURES])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, "text"):
             _, x = statistics(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int64())]
@@ -244,7 +244,7 @@ def judge(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Trees(**model)
-        for batch in batches:
+        for batch in in_parts(batches, text):
             counts, x = statistics(batch.column(text))
             failed = base_failed(counts)
             good = forest.score(x)

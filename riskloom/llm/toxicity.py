@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pyspark.sql.types import DoubleType, StructType
 
-from riskloom.llm.common import PIECE, buffer_of, mix, only, pieces, running, words
+from riskloom.llm.common import PIECE, buffer_of, in_parts, mix, only, pieces, running, words
 
 #: Most labelled rows of either class that a model is fitted on: those with the smallest hashes of their id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2_000, 3_000
@@ -312,8 +312,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(**weights.value)
-        for batch in batches:
-            values = scorer.score(batch.column(text)) if batch.num_rows else np.zeros(0)
+        for batch in in_parts(batches, text):
+            values = scorer.score(batch.column(text))
             rest = [batch.column(c) for c in batch.schema.names if c != text]
             names = [c for c in batch.schema.names if c != text]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(values)], [*names, "score"])
