@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.llm import mixing, neardup, packing, quality, secrets, sharding, topk, toxicity, warc
+from riskloom.llm import lm, mixing, neardup, packing, quality, secrets, sharding, topk, toxicity, warc
 from riskloom.llm.common import held_out, only, with_words
 from riskloom.plans.lineage import materialise
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, d: str) -> DataFrame:
+    return lm.score(_table(spark, d, "documents").withColumn("held_out", held_out("doc_id", 7, 2)))
+
+
 def op2_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return secrets.find_secrets(only(_table(spark, d, "documents"), "doc_id", "text")).drop("mask")
 
@@ -65,7 +69,7 @@ def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_toxicity, op4_warc, op5_packing, op6_sharding, op7_top_k, op8_bagminhash, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_toxicity, op4_warc, op5_packing, op6_sharding, op7_top_k, op8_bagminhash, op9_mixing, op10_quality_rules)}
 
 
 OP4 = """
