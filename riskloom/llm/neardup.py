@@ -246,14 +246,8 @@ def _crowded(members: DataFrame, level: int) -> DataFrame:
     return members.join(crowded, "bucket")
 
 
-def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
-    """``doc_id, exact_id, group_id, copies`` for every row of ``docs(doc_id, text)``.
-
-    ``group_id`` is the smallest id of all texts that links join to the row's text, and
-    ``exact_id`` the smallest of those with the same lower-cased words, of which there are
-    ``copies``. Texts without words, null ones too, equal nothing: their ids stand for
-    themselves. Null ids are never the smallest; a group of null ids only has a null id.
-    """
+def _labelled(docs: DataFrame, bands: int, rows: int, small: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, node`` of every row, and ``node, exact_id, copies, component`` of every text with words."""
     marks = materialise(signed(docs, bands, rows), "signed")
     texts = materialise(marks.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("exact_id"), F.count("*").alias("copies"), F.min("bands").alias("bands")), "texts")
@@ -292,9 +286,49 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, small: int = S
         named = marks.sparkSession.createDataFrame([], "node binary, component binary")
     label = materialise(texts.select("node", "exact_id", "copies").join(named, "node", "left").withColumn(
         "component", F.coalesce("component", "node")), "labelled")
+    return marks.select("doc_id", "node"), label
+
+
+def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
+    """``doc_id, exact_id, group_id, copies`` for every row of ``docs(doc_id, text)``.
+
+    ``group_id`` is the smallest id of all texts that links join to the row's text, and
+    ``exact_id`` the smallest of those with the same lower-cased words, of which there are
+    ``copies``. Texts without words, null ones too, equal nothing: their ids stand for
+    themselves. Null ids are never the smallest; a group of null ids only has a null id.
+    """
+    marks, label = _labelled(docs, bands, rows, small)
     first = label.groupBy("component").agg(F.min("exact_id").alias("group_id"))
     label = materialise(label.join(first, "component").select("node", "exact_id", "group_id", "copies"), "groups")
     with_words = marks.where("node IS NOT NULL").select("doc_id", "node").join(label, "node").drop("node")
     without = marks.where("node IS NULL").select(
         "doc_id", F.col("doc_id").alias("exact_id"), F.col("doc_id").alias("group_id"), F.lit(1).cast("bigint").alias("copies"))
     return with_words.select("doc_id", "exact_id", "group_id", "copies").unionByName(without)
+
+
+def deduplicate(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
+    """One row of each group of ``groups``, with all columns; that with the smallest id, null ids last.
+
+    Rows without words are kept. Of repeated rows one stays.
+    """
+    marks, label = _labelled(docs, bands, rows, small)
+    best = F.min(F.struct(F.col("exact_id").isNull().alias("none"), "exact_id", "node"))
+    kept = materialise(label.groupBy("component").agg(best.alias("s")).select(
+        F.col("s.node").alias("_node"), F.col("s.exact_id").alias("_id")), "kept")
+    schema = StructType([*docs.schema.fields, StructField("_node", BinaryType())])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_parts(batches, "text"):
+            found = words(*buffer_of(batch.column("text")))
+            counts = np.bincount(found.docs, minlength=batch.num_rows)
+            node = _binary(np.stack(fingerprints(found, batch.num_rows), axis=1), counts == 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, node], schema.names)
+
+    named = docs.mapInArrow(name, schema)
+    # The id is a key of the join too, so the copies of one text spread over the tasks.
+    found = named.where("_node IS NOT NULL").join(
+        kept, (named["_node"] == kept["_node"]) & named["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    repeated = marks.where("node IS NOT NULL").groupBy("node", "doc_id").count().where("count > 1")
+    if not repeated.isEmpty():
+        found = found.dropDuplicates(["_node"])
+    return found.unionByName(named.where("_node IS NULL")).drop("_node")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from riskloom.llm import lm, mixing, neardup, packing, quality, secrets, sharding, topk, toxicity, warc
 from riskloom.llm.common import held_out, only, with_words
 from riskloom.plans.lineage import materialise
@@ -69,7 +70,8 @@ def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_toxicity, op4_warc, op5_packing, op6_sharding, op7_top_k, op8_bagminhash, op9_mixing, op10_quality_rules)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_toxicity, op4_warc, op5_packing, op6_sharding, op7_top_k,
+        op8_bagminhash, op9_mixing, op10_quality_rules)}
 
 
 OP4 = """
@@ -113,4 +115,5 @@ WHERE rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4, "op6_sharding": OP6, "op7_top_k": OP7}
+    piped = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return piped | {"op4_warc": OP4, "op6_sharding": OP6, "op7_top_k": OP7}

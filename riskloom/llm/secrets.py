@@ -19,9 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from riskloom.llm.common import in_parts
 from riskloom.plans.lineage import materialise
 
 KINDS = ["assign", "access", "hex"]
@@ -219,17 +222,21 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     schema = StructType([*passed, StructField("base", _span_type("start", "kind", "end", "from", "to", "value")),
                          StructField("candidates", _span_type("start", "value"))])
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    arrow = to_arrow_schema(schema)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_parts(batches, text):
             base, rest = [], []
-            for value in batch[text]:
+            for value in batch.column(text).to_pylist():
                 value = value or ""
                 found = base_spans(value)
                 base.append([(*s, value[s[3]:s[4]]) for s in found])
                 rest.append(candidates(value, found))
-            yield batch.drop(columns=text).assign(base=base, candidates=rest)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(f.name) for f in passed], pa.array(base, arrow.field("base").type),
+                 pa.array(rest, arrow.field("candidates").type)], schema.names)
 
-    return docs.mapInPandas(find, schema)
+    return docs.mapInArrow(find, schema)
 
 
 def learn(scanned: DataFrame) -> dict[int, Automaton]:
@@ -267,6 +274,38 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, joined where they touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def redact(docs: DataFrame, automata: dict[int, Automaton], text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with ``mark`` in place of the value of every secret; null stays null."""
+    names = docs.columns
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_parts(batches, text):
+            out = []
+            for value in batch.column(text).to_pylist():
+                if value:
+                    base = base_spans(value)
+                    spans = [s[3:] for s in base] + [
+                        (at, at + len(run)) for at, run in candidates(value, base) if classify(run, automata) is not None]
+                    for a, b in reversed(merged(spans)):
+                        value = value[:a] + mark + value[b:]
+                out.append(value)
+            columns = [pa.array(out, pa.string()) if n == text else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.mapInArrow(cover, docs.schema)
+
+
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the text, with counts of base matches by kind, their digest, all spans, and ``mask``.
 
@@ -294,13 +333,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
                     if kind is not None:
                         spans.append((c["start"], kind, c["start"] + len(c["value"])))
                         values.append(spans[-1][::2])
-                merged: list[list[int]] = []
-                for a, b in sorted(values):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                rows.append((*counts, digest, _joined(spans), [tuple(m) for m in merged]))
+                rows.append((*counts, digest, _joined(spans), merged(values)))
             out = pd.DataFrame(rows, columns=[f.name for f in added], index=batch.index)
             yield pd.concat([batch.drop(columns=["base", "candidates"]), out], axis=1)
 
