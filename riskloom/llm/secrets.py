@@ -39,8 +39,8 @@ CANDIDATE = r"[A-Za-z0-9+/_.=-]{16,}"
 SAMPLE = 1_000
 #: Confidence of the merge test; smaller values merge more.
 ALPHA = 0.05
-#: Part of the labelled credentials that may score below the threshold.
-MISSED = 0.02
+#: The threshold is this much below the score that all but this part of the labelled credentials reach.
+SLACK, MISSED = 0.5, 0.02
 #: Log2 units per character by which a credential's automaton must beat the ordinary one.
 MARGIN = 0.5
 
@@ -173,7 +173,7 @@ def infer(values: list[str]) -> Automaton | None:
         arcs[state] = {s: (arcs[state][s][0], math.log2((n + 1) / total)) for s, n in counts.items()}
         ends[state] = math.log2((end_counts[state] + 1) / total)
     out = Automaton(arcs, ends)
-    out.threshold = float(np.quantile([out.likelihood(v) for v in values], MISSED))
+    out.threshold = float(np.quantile([out.likelihood(v) for v in values], MISSED)) - SLACK
     return out
 
 
@@ -255,7 +255,11 @@ def learn(scanned: DataFrame) -> dict[int, Automaton]:
     values: dict[int, list[str]] = {}
     for row in rows.collect():
         values.setdefault(row["kind"], []).append(row["value"])
-    return {kind: automaton for kind, some in values.items() if (automaton := infer(some))}
+    automata = {kind: automaton for kind, some in values.items() if kind >= 0 and (automaton := infer(some))}
+    # Runs that look like credentials say nothing about ordinary ones.
+    plain = [v for v in values.get(-1, []) if not any(a.likelihood(v) >= a.threshold for a in automata.values())]
+    ordinary = infer(plain)
+    return automata | ({-1: ordinary} if ordinary else {})
 
 
 def classify(value: str, automata: dict[int, Automaton]) -> int | None:
