@@ -8,10 +8,12 @@ process of its width; an arrival counts if its level is below the weight. A proc
 followed only until its arrivals come later than everything the text has so far.
 
 Texts that share a band of registers are candidates, and the exact overlap decides. Instead
-of all pairs of a bucket, every member is compared with one leader; what leaders link
-becomes one component. Small buckets that still hold several components are settled by the
-pairs across components; large ones are split by a further, independent signature and
-treated alike. Copies of one text are one member throughout.
+of all pairs of a bucket, every member is compared with one leader, and what is linked
+becomes one component. Buckets that still hold several components try other leaders from
+their largest one. What is left is a few texts beside a component, whose pairs are
+compared unless the distances to a leader rule them out, or a bucket of many texts that
+only share a passage, which is split by a further, independent signature and treated
+alike. Copies of one text are one member throughout.
 
 With 64 bands of 8 registers a pair at similarity 0.8 shares no band with probability 8e-6.
 """
@@ -34,8 +36,10 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 64, 8
 #: Texts whose shingles are handled at once: at most so many shingles, unless one text has more.
 BATCH_SHINGLES, BATCH_TEXTS = 1 << 17, 512
-#: Members up to which a bucket that leaders did not settle is settled by pairs across components.
-SMALL = 32
+#: Further leaders that every unsettled bucket tries.
+TURNS = 1
+#: A bucket with at most so many pairs across components per member is settled by comparing those pairs.
+LISTED = 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -186,37 +190,38 @@ def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
 
-def linked(pairs: DataFrame, elements: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The ``pairs(a, b)`` whose multisets of shingles have at least this weighted Jaccard similarity."""
+def compared(pairs: DataFrame, elements: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """``pairs(a, b)`` with ``distance``, one less the weighted Jaccard similarity, and whether they are ``linked``."""
     left = elements.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     right = elements.select(F.col("node").alias("b"), F.col("elements").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("all"))
-    return joined.where(F.col("both") >= similar * (F.col("all") - F.col("both"))).select("a", "b")
+    joined = pairs.join(left, "a").join(right, "b").select(
+        "a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("all"))
+    union = F.col("all") - F.col("both")
+    return joined.select("a", "b", (1 - F.col("both") / union).alias("distance"),
+                         (F.col("both") >= similar * union).alias("linked"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` of every node of ``links(a, b)``; a component is named after its least node.
 
     Large-star and small-star steps in turn: every step is a join and an aggregation over the
-    links, stored in between, until nothing changes.
+    links, stored in between, until all links are stars.
     """
     edges = materialise(links.where("a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large, "large")
+        large = materialise(both.join(least, "u").where("v > u").select(
+            F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        edges = materialise(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+        edges = materialise(large.join(least, "u").where("v <> m").select(
+            F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))).distinct(), "small")
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before or state[0] == 0:
+        # Done when no centre of a star belongs to another star.
+        if edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-        before = state
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
@@ -246,42 +251,63 @@ def _crowded(members: DataFrame, level: int) -> DataFrame:
     return members.join(crowded, "bucket")
 
 
-def _labelled(docs: DataFrame, bands: int, rows: int, small: int) -> tuple[DataFrame, DataFrame]:
+def _unsettled(members: DataFrame, named: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with their component, the bucket's largest one,
+    its number of members and of pairs across components."""
+    own = members.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = own.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    open_buckets = sizes.groupBy("bucket").agg(
+        F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("square"),
+        F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    pairs = ((F.col("n") * F.col("n") - F.col("square")) / 2).alias("pairs")
+    return materialise(own.join(open_buckets.select("bucket", "n", "main", pairs), "bucket"), "unsettled")
+
+
+def _labelled(docs: DataFrame, bands: int, rows: int, listed: int) -> tuple[DataFrame, DataFrame]:
     """``doc_id, node`` of every row, and ``node, exact_id, copies, component`` of every text with words."""
     marks = materialise(signed(docs, bands, rows), "signed")
     texts = materialise(marks.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("exact_id"), F.count("*").alias("copies"), F.min("bands").alias("bands")), "texts")
     members = texts.select("node", F.explode("bands").alias("bucket"))
     candidates = materialise(_crowded(members, 0), "candidates")
-    links, level, done = None, 0, None
     elements = materialise(shingle_table(docs, candidates.select("node").distinct().join(
         texts.select("node", F.col("exact_id").alias("doc_id")), "node")), "shingles")
-    named = None
+    none = marks.sparkSession.createDataFrame([], "a binary, b binary, distance double, linked boolean")
+    done, named, level = none, None, 0
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal done, named
+        new = materialise(compared(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(
+            done, ["a", "b"], "left_anti"), elements), "new")
+        if not new.isEmpty():
+            done = materialise(done.unionByName(new), "compared")
+        if named is None or not new.where("linked").isEmpty():
+            named = materialise(components(done.where("linked").select("a", "b")), "named")
+
     while not candidates.isEmpty():
-        pairs = candidates.where("node <> leader").select(
-            F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        pairs = materialise(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        done = pairs if done is None else materialise(done.unionByName(pairs), "compared")
-        found = linked(pairs, elements)
-        links = materialise(found if links is None else found.unionByName(links), "links")
-        named = components(links)
-        own = candidates.where("node <> leader").select("bucket", "node").join(named, "node", "left").withColumn(
-            "component", F.coalesce("component", "node"))
-        open_buckets = own.groupBy("bucket").agg(
-            F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).where(
-            "c0 <> c1").select("bucket", "n")
-        rest = materialise(own.join(open_buckets, "bucket"), "unsettled")
-        few = rest.where(F.col("n") <= small)
-        other = few.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
-        across = few.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca")).join(other, "bucket").where(
-            "a < b AND ca <> cb").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
-        across = materialise(across, "across")
-        if not across.isEmpty():
-            done = materialise(done.unionByName(across), "compared")
-            links = materialise(links.unionByName(linked(across, elements)), "links")
-            named = components(links)
+        compare(candidates.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")))
+        # The distance to the leader bounds that of two members from below, as it is a metric.
+        known = done.select(F.col("a").alias("low"), F.col("b").alias("high"), "distance")
+        candidates = materialise(candidates.withColumns(
+            {"low": F.least("node", "leader"), "high": F.greatest("node", "leader")}).join(
+            known, ["low", "high"], "left").select("bucket", "node", F.coalesce("distance", F.lit(0.0)).alias("distance")), "measured")
+        for turn in range(TURNS):
+            rest = _unsettled(candidates, named)
+            best = F.min(F.when(F.col("component") == F.col("main"), F.struct(
+                F.xxhash64("bucket", "node", F.lit(turn)).alias("h"), F.col("node").alias("leader"))))
+            leaders = rest.groupBy("bucket").agg(best.alias("s")).select("bucket", "s.leader")
+            compare(rest.where("component <> main").join(leaders, "bucket").select(
+                F.col("node").alias("a"), F.col("leader").alias("b")))
+        rest = _unsettled(candidates, named)
+        few = F.col("pairs") <= listed * F.col("n")
+        left = rest.where(few).select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("distance").alias("da"))
+        right = rest.where(few).select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("distance").alias("db"))
+        near = F.abs(F.col("da") - F.col("db")) <= 1 - SIMILAR + 1e-9
+        compare(left.join(right, "bucket").where((F.col("ca") < F.col("cb")) & near).select("a", "b"))
         level += 1
-        candidates = materialise(_crowded(_refined(rest.where(F.col("n") > small), elements, level), level), "candidates")
+        many = rest.where(~few).select("bucket", "node")
+        candidates = candidates.limit(0) if many.isEmpty() else materialise(
+            _crowded(_refined(many, elements, level), level), "candidates")
     if named is None:
         named = marks.sparkSession.createDataFrame([], "node binary, component binary")
     label = materialise(texts.select("node", "exact_id", "copies").join(named, "node", "left").withColumn(
@@ -289,7 +315,7 @@ def _labelled(docs: DataFrame, bands: int, rows: int, small: int) -> tuple[DataF
     return marks.select("doc_id", "node"), label
 
 
-def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
+def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, listed: int = LISTED) -> DataFrame:
     """``doc_id, exact_id, group_id, copies`` for every row of ``docs(doc_id, text)``.
 
     ``group_id`` is the smallest id of all texts that links join to the row's text, and
@@ -297,7 +323,7 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, small: int = S
     ``copies``. Texts without words, null ones too, equal nothing: their ids stand for
     themselves. Null ids are never the smallest; a group of null ids only has a null id.
     """
-    marks, label = _labelled(docs, bands, rows, small)
+    marks, label = _labelled(docs, bands, rows, listed)
     first = label.groupBy("component").agg(F.min("exact_id").alias("group_id"))
     label = materialise(label.join(first, "component").select("node", "exact_id", "group_id", "copies"), "groups")
     with_words = marks.where("node IS NOT NULL").select("doc_id", "node").join(label, "node").drop("node")
@@ -306,12 +332,12 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, small: int = S
     return with_words.select("doc_id", "exact_id", "group_id", "copies").unionByName(without)
 
 
-def deduplicate(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
+def deduplicate(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, listed: int = LISTED) -> DataFrame:
     """One row of each group of ``groups``, with all columns; that with the smallest id, null ids last.
 
     Rows without words are kept. Of repeated rows one stays.
     """
-    marks, label = _labelled(docs, bands, rows, small)
+    marks, label = _labelled(docs, bands, rows, listed)
     best = F.min(F.struct(F.col("exact_id").isNull().alias("none"), "exact_id", "node"))
     kept = materialise(label.groupBy("component").agg(best.alias("s")).select(
         F.col("s.node").alias("_node"), F.col("s.exact_id").alias("_id")), "kept")

@@ -247,8 +247,8 @@ def test_crowded_buckets_are_settled(spark):
             texts.append(" ".join([*words, word()]))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     want = brute_groups(texts)
-    for small in (2, 32):
-        got = {r.doc_id: r.group_id for r in neardup.groups(docs, small=small).collect()}
+    for listed in (1, 16):
+        got = {r.doc_id: r.group_id for r in neardup.groups(docs, listed=listed).collect()}
         assert [got[i] for i in range(len(texts))] == want
 
 
