@@ -257,13 +257,12 @@ FROM h""")
 
 
 def _prompt() -> str:
-    from riskloom.operators.routing import FLASH_OUTRO, PRO_INTRO, PRO_OUTRO, SYSTEM_PROMPT
     nl = "chr(10) || chr(10)"
     question = "'User Question: ' || query"
-    pro = (f"'{SYSTEM_PROMPT}' || {nl} || '{PRO_INTRO}' || {nl} || '--- KNOWLEDGE BASE CONTEXT ---' || chr(10) || "
+    pro = (f"'Use only what the context says.' || {nl} || 'Context follows.' || {nl} || '--- KNOWLEDGE BASE CONTEXT ---' || chr(10) || "
            f"coalesce(context, '{fixed.NO_CONTEXT}') || chr(10) || '--- END CONTEXT ---' || {nl} || "
-           f"'Source documents used: ' || coalesce(listed, '') || {nl} || {question} || {nl} || '{PRO_OUTRO}'")
-    flash = f"'{SYSTEM_PROMPT}' || {nl} || {question} || {nl} || '{FLASH_OUTRO}'"
+           f"'Source documents used: ' || coalesce(listed, '') || {nl} || {question} || {nl} || 'Name the files you relied on.'")
+    flash = f"'Use only what the context says.' || {nl} || {question} || {nl} || 'Answer in one sentence.'"
     return _recursive(CONTEXT, f"""
 SELECT query_id, model_class,
        CASE model_class WHEN 'flash' THEN 'Gemini Flash ({fixed.FLASH_MODEL})' ELSE 'Gemini Pro ({fixed.PRO_MODEL})' END AS model,
@@ -275,6 +274,13 @@ def _trailing(months: int) -> str:
     return f"SELECT *, {months} AS months FROM (SELECT * FROM t ORDER BY month DESC LIMIT {months})"
 
 
+def _critical(source: str) -> str:
+    return f"""
+SELECT row_number() OVER (ORDER BY risk_score DESC, amount DESC, transaction_id) AS rank, transaction_id,
+       transaction_type, {CHANNEL} AS channel, country, {CODE} AS country_code, printf('%.2f', risk_score) AS score,
+       {_dollars('amount', 0)} AS amount, {TIME} AS time, '{fixed.LEDGER_STATUS}' AS status FROM {source}"""
+
+
 def _mart_report() -> str:
     """Rows and columns of each written mart."""
     one = "transaction_count, avg_risk_score"
@@ -307,7 +313,7 @@ def oracle_sql() -> dict[str, str]:
     enriched = _with(ENRICHED, """
 SELECT * EXCLUDE (vf, df) REPLACE (cast(amount AS double) AS amount, round(rolling_avg_amount, 8) AS rolling_avg_amount) FROM e""")
     record = ("to_json({transaction_id: transaction_id, timestamp: strftime(timestamp, '%Y-%m-%d %H:%M:%S'), "
-              "account_id: account_id, customer_id: customer_id, transaction_type: transaction_type, "
+              "account_id: account_id, customer_id: customer_id, amount: amount, transaction_type: transaction_type, "
               "merchant_category: merchant_category, country: country, fraud_flag: fraud_flag, "
               "volatility_index: volatility_index, risk_score: risk_score})")
     columns = "transaction_id, timestamp, account_id, customer_id, amount, transaction_type, merchant_category, " \
@@ -332,12 +338,8 @@ SELECT country, count(*) AS transaction_count, {MEAN4}, {HIGH} AS high_risk_coun
         "compact_ledger": _with(ENRICHED + "," + TOP, f"""
 SELECT transaction_id, timestamp, account_id, {_dollars('amount', 2)} AS amount, transaction_type, country,
        printf('%.2f', volatility_index) AS volatility_index, printf('%.4f', risk_score) AS risk_score FROM top"""),
-        "critical_ledger": _with(ENRICHED + "," + TOP, f"""
-SELECT cast(row_number() OVER (ORDER BY risk_score DESC, amount DESC, transaction_id) AS int) AS rank, transaction_id,
-       transaction_type, {CHANNEL} AS channel, country, {CODE} AS country_code, printf('%.2f', risk_score) AS score,
-       {_dollars('amount', 0)} AS amount, {TIME} AS time, '{fixed.LEDGER_STATUS}' AS status FROM top"""),
-        "critical_ledger_all": _with(ENRICHED, f"""
-SELECT transaction_id, {CHANNEL} AS channel, {CODE} AS country_code, {_dollars('amount', 0)} AS amount, {TIME} AS time FROM e"""),
+        "critical_ledger": _with(ENRICHED + "," + TOP, _critical("top")),
+        "critical_ledger_all": _with(ENRICHED, _critical("e")),
         "event_channels": f"""
 SELECT event_type, count(*) AS n, {_rules('event_type', fixed.CHANNEL_RULES, fixed.CHANNEL_DEFAULT)} AS channel
 FROM events GROUP BY event_type""",
@@ -379,7 +381,7 @@ SELECT (SELECT name FROM c ORDER BY avg_risk_score DESC, name DESC LIMIT 1) AS t
 SELECT customer_id, count(*) AS transaction_count, {MEAN4} FROM e GROUP BY ALL
 ORDER BY avg_risk_score DESC, customer_id LIMIT 10"""),
         "region_heatmap": _heatmap(),
-        "records": _with(ENRICHED + "," + TOP, f"SELECT cast({record} AS varchar) AS record FROM top"),
+        "records": _with(ENRICHED, f"SELECT cast({record} AS varchar) AS record FROM e"),
         "load_report": _with(TX, f"SELECT count(*) AS num_rows, '{columns}' AS column_names FROM tx"),
         "write_marts": _mart_report(),
         "write_by_month": _with(TX, """

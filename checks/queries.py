@@ -15,17 +15,34 @@ from riskloom.sources import corpus, tables, tpch
 SEPARATOR = "\n"
 MAX_WORDS = 60
 NEIGHBOUR_SEED = "ACC-00007"
+# One question per routing keyword and topic word, and some that only look like one.
 LITERAL_QUESTIONS = [
-    "What is the current risk score summary for high-risk accounts?",
-    "Explain the fraud detection patterns for international wire transfers and our country risk rules.",
-    "What are the risks with international wire transfers?",
-    "What is the KYC escalation process?",
-    "Describe the credit risk warning signs.",
-    "  HOW MUCH volume went through ACC-00042  ",
-    "Explain accounting listings",
+    "Which accounts have the highest risk score?",
+    "Give me a quick overview of cash deposits",
+    "Are current limits too low?",
+    "Write a summary of last week",
+    "how much did ACC-00042 move  ",
+    "Please calculate exposure per branch",
+    "Total outgoing volume by month",
+    "Do not discount late payments",
+    "On average, who pays late?",
+    "Describe blacklisted merchants",
+    "  SHOW ME card refunds",
+    "What is the reporting deadline?",
+    "Any status on case 17?",
+    "Unbalanced books since spring",
+    "Why do WIRE payments fail?",
+    "Explain KYC steps, wired money aside",
+    "When must a case be escalated?",
+    "Which credit lines shrink?",
+    "Early warning of default",
     "Why do shell firms matter?",
     "   ",
 ]
+PROMPT_TEXTS = {
+    "system_text": "Use only what the context says.", "introduction": "Context follows.",
+    "closing": "Name the files you relied on.", "quick_closing": "Answer in one sentence.",
+}
 
 
 def _tx(spark: SparkSession, d: str) -> DataFrame:
@@ -123,12 +140,8 @@ def critical_ledger(spark, d):
 
 
 def critical_ledger_all(spark, d):
-    """Every event with its display columns; the rank needs a report and is left out."""
-    from riskloom.functions import scoring
-    time_text = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")
-    return _enriched(spark, d).select(
-        "transaction_id", scoring.channel().alias("channel"), scoring.country_code().alias("country_code"),
-        scoring.dollars(F.col("amount")).alias("amount"), scoring.ledger_time(time_text).alias("time"))
+    """Every event, ranked; the "all" form of the ledger."""
+    return marts.critical_ledger(_enriched(spark, d))
 
 
 def event_channels(spark, d):
@@ -163,7 +176,7 @@ def region_heatmap(spark, d):
 
 
 def records(spark, d):
-    return tables.records(marts.critical_events(_enriched(spark, d)).drop("amount"))
+    return tables.records(_enriched(spark, d).select(*marts.LEDGER_COLUMNS))
 
 
 def load_report(spark, d):
@@ -198,7 +211,8 @@ def graph_view_all(spark, d):
 
 def graph_view_edges(spark, d):
     """Edges of the default graph page."""
-    return _shown_edges(graph.edge_table(graph.pairs(graph.graph_view(_enriched(spark, d)))))
+    return _shown_edges(graph.edge_table(graph.pairs(
+        graph.graph_view(_enriched(spark, d), max_edges=fixed.DEFAULT_MAX_EDGES))))
 
 
 def neighbours_2hop(spark, d):
@@ -371,7 +385,7 @@ def model_class(spark, d):
 
 def prompts(spark, d):
     embedded = materialise(knowledge.embed(_chunks(spark, d)), "embedded")
-    return pipelines.ask(_questions(spark, d), embedded).select("query_id", "model_class", "model", "prompt")
+    return pipelines.ask(_questions(spark, d), embedded, **PROMPT_TEXTS).select("query_id", "model_class", "model", "prompt")
 
 
 def write_marts(spark, d):

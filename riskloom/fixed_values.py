@@ -142,3 +142,8 @@ TOPIC_DEFAULT = "other"
 FLASH_MODEL = "gemini-2.5-flash"
 PRO_MODEL = "gemini-2.5-pro"
 FLASH_LABEL_WORDS = ["Flash", "Simulated"]
+
+# ---- frame of a prompt (fixed values) ----
+PROMPT_CONTEXT = ("--- KNOWLEDGE BASE CONTEXT ---", "--- END CONTEXT ---")
+PROMPT_SOURCES = "Source documents used: "
+PROMPT_QUESTION = "User Question: "

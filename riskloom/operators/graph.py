@@ -34,8 +34,8 @@ def check_bounds(min_risk: float, max_edges: int | None) -> None:
 
 
 def graph_view(enriched: DataFrame, min_risk: float = fixed.SUSPICIOUS_RISK,
-               max_edges: int | None = fixed.DEFAULT_MAX_EDGES) -> DataFrame:
-    """The transactions behind a graph: riskiest first, ties by id, at most ``max_edges``."""
+               max_edges: int | None = None) -> DataFrame:
+    """The transactions behind a graph; with ``max_edges`` only so many, riskiest first, ties by id."""
     check_bounds(min_risk, max_edges)
     chosen = suspicious(enriched, min_risk)
     if max_edges is None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskloom import fixed_values as fixed
 from riskloom.functions import scoring
+from riskloom.plans.numbering import running_total
 from riskloom.plans.selection import quantiles
 
 LEDGER_COLUMNS = [
@@ -26,28 +27,70 @@ def _month() -> Column:
     return F.date_format("timestamp", "yyyy-MM").alias("month")
 
 
+def measures(enriched: DataFrame, *keys: Column) -> DataFrame:
+    """Counts and exact sums per group, from which the aggregate marts follow."""
+    return enriched.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        scoring.count_if(F.col("fraud_flag") == 1).alias("fraud"),
+        F.sum(F.round(F.col("risk_score") * 10_000).cast("bigint")).alias("points"),
+        F.count("risk_score").alias("scored"),
+        scoring.count_if(scoring.is_high_risk()).alias("high"))
+
+
+def summary(enriched: DataFrame) -> DataFrame:
+    """``measures`` by type, month, country and severity: the one scan behind five marts."""
+    return measures(enriched, F.col("transaction_type"), _month(), F.col("country"), scoring.severity().alias("risk_bucket"))
+
+
+def _sum(name: str) -> Column:
+    return F.coalesce(F.sum(name), F.lit(0))
+
+
+def _mean() -> Column:
+    return F.sum("points").cast("double") / (F.sum("scored") * 10_000.0)
+
+
+def _figures() -> list[Column]:
+    return [_sum("n").alias("transaction_count"), F.round(_mean(), 4).alias("avg_risk_score")]
+
+
+def kpi_of(parts: DataFrame) -> DataFrame:
+    return parts.agg(
+        _sum("n").alias("total_transactions"), _sum("fraud").alias("fraud_count"),
+        F.coalesce(_mean(), F.lit(0.0)).alias("avg_risk_score"), _sum("high").alias("high_risk_count"))
+
+
+def channels_of(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("transaction_type").agg(*_figures()).orderBy(F.desc("transaction_count"), "transaction_type")
+
+
+def trend_of(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("month").agg(*_figures()).orderBy("month")
+
+
+def countries_of(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("country").agg(*_figures(), _sum("high").alias("high_risk_count")).orderBy(
+        F.desc("avg_risk_score"), "country")
+
+
+def distribution_of(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("risk_bucket").agg(_sum("n").alias("transaction_count")).orderBy("risk_bucket")
+
+
 def kpi_summary(enriched: DataFrame) -> DataFrame:
-    return enriched.agg(
-        F.count("*").alias("total_transactions"),
-        scoring.count_if(F.col("fraud_flag") == 1).alias("fraud_count"),
-        F.coalesce(scoring.mean_score(), F.lit(0.0)).alias("avg_risk_score"),
-        scoring.count_if(scoring.is_high_risk()).alias("high_risk_count"),
-    )
+    return kpi_of(measures(enriched))
 
 
 def risk_by_channel(enriched: DataFrame) -> DataFrame:
-    by_type = enriched.groupBy("transaction_type").agg(_count(), _mean4())
-    return by_type.orderBy(F.desc("transaction_count"), "transaction_type")
+    return channels_of(measures(enriched, F.col("transaction_type")))
 
 
 def monthly_trend(enriched: DataFrame) -> DataFrame:
-    return enriched.groupBy(_month()).agg(_count(), _mean4()).orderBy("month")
+    return trend_of(measures(enriched, _month()))
 
 
 def country_risk(enriched: DataFrame) -> DataFrame:
-    by_country = enriched.groupBy("country").agg(
-        _count(), _mean4(), scoring.count_if(scoring.is_high_risk()).alias("high_risk_count"))
-    return by_country.orderBy(F.desc("avg_risk_score"), "country")
+    return countries_of(measures(enriched, F.col("country")))
 
 
 def risk_distribution(enriched: DataFrame) -> DataFrame:
@@ -77,11 +120,12 @@ def compact_ledger(enriched: DataFrame, rows: int = fixed.LEDGER_ROWS) -> DataFr
 
 
 def critical_ledger(events: DataFrame) -> DataFrame:
-    """Display rows of a top-k events mart, ranked. ``events`` is a report, not the whole table."""
-    by_risk = Window.orderBy(F.desc("risk_score"), F.desc("amount"), "transaction_id")
+    """Display rows of any number of events, ranked; the rank comes from totals of sorted ranges."""
+    order = [F.desc("risk_score"), F.desc("amount"), F.col("transaction_id")]
+    numbered = running_total(events.select(*LEDGER_COLUMNS), order, F.lit(1).cast("bigint"), "_before")
     time_text = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")
-    return events.select(
-        F.row_number().over(by_risk).alias("rank"),
+    return numbered.select(
+        (F.col("_before") + 1).alias("rank"),
         "transaction_id",
         "transaction_type",
         scoring.channel().alias("channel"),
@@ -130,11 +174,14 @@ def fraud_check(tx: DataFrame) -> DataFrame:
 def describe(table: DataFrame, column: str, decimals: int = 6) -> DataFrame:
     """count, mean, std, min, quartiles and max of a column, one row per statistic.
 
-    The quartiles are exact but never gather the column in one task, unlike ``percentile``.
+    NaN counts as missing. The quartiles are exact but never gather the column in one
+    task, unlike ``percentile``.
     """
-    q1, q2, q3 = quantiles(table, column, [0.25, 0.5, 0.75])
-    v = F.col(column).cast("double")
-    stats = table.agg(
+    v = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+    known = table.select(v.alias("v"))
+    q1, q2, q3 = quantiles(known, "v", [0.25, 0.5, 0.75])
+    v = F.col("v")
+    stats = known.agg(
         F.count(v).cast("double").alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"), F.max(v).alias("max"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from riskloom import fixed_values as fixed
 from riskloom.operators import graph, marts
@@ -14,26 +14,47 @@ from riskloom.operators.search import retrieve_context
 from riskloom.plans.lineage import materialise
 from riskloom.sources.tables import write_files
 
-MARTS = {
-    "metrics": marts.kpi_summary,
-    "risk_by_channel": marts.risk_by_channel,
-    "temporal_risk": marts.monthly_trend,
-    "geographical_risk": marts.country_risk,
-    "risk_distribution": marts.risk_distribution,
-    "critical_events": marts.critical_events,
-    "graph_pull": lambda enriched: graph.graph_pull(enriched).drop("volatility_index"),
+SUMMARIES = {
+    "metrics": marts.kpi_of,
+    "risk_by_channel": marts.channels_of,
+    "temporal_risk": marts.trend_of,
+    "geographical_risk": marts.countries_of,
+    "risk_distribution": marts.distribution_of,
 }
+TOPS = {
+    "critical_events": (fixed.LEDGER_ROWS, marts.LEDGER_COLUMNS),
+    "graph_pull": (fixed.GRAPH_PULL, graph.GRAPH_COLUMNS),
+}
+MARTS = [*SUMMARIES, *TOPS]
+
+
+def _tops(enriched: DataFrame) -> DataFrame:
+    """The rows of both top-k marts from one scan, with the mart's name in ``_mart``."""
+    pulled = F.when(F.col("risk_score") >= fixed.SUSPICIOUS_RISK, F.lit("graph_pull"))
+    tagged = enriched.withColumn("_mart", F.explode(F.array(F.lit("critical_events"), pulled))).where(
+        F.col("_mart").isNotNull())
+    amount = F.when(F.col("_mart") == "critical_events", F.col("amount"))
+    order = Window.partitionBy("_mart").orderBy(F.desc("risk_score"), F.desc(amount), "transaction_id")
+    # The constant bound lets Spark cut each task's rows before the shuffle.
+    ranked = tagged.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= fixed.GRAPH_PULL)
+    wanted = F.create_map(*[F.lit(x) for name, (rows, _) in TOPS.items() for x in (name, rows)])
+    return ranked.where(F.col("_rank") <= F.element_at(wanted, F.col("_mart")))
 
 
 def write_marts(enriched: DataFrame, folder: str) -> DataFrame:
     """Writes all seven marts below ``folder`` and returns ``mart, num_rows, column_names``.
 
-    ``enriched`` should be a stored table: every mart reads only its own columns of it.
+    Two scans of ``enriched``: one sums up, the other ranks. Each mart is then cut from a
+    small stored table.
     """
     spark = enriched.sparkSession
+    summary, tops = materialise(marts.summary(enriched), "summary"), materialise(_tops(enriched), "tops")
+    built = {name: build(summary) for name, build in SUMMARIES.items()}
+    for name, (_, columns) in TOPS.items():
+        built[name] = tops.where(F.col("_mart") == name).orderBy("_rank").select(*columns)
     out = None
-    for name, build in MARTS.items():
-        path = write_files(build(enriched), f"{folder}/{name}")
+    for name, mart in built.items():
+        path = write_files(mart, f"{folder}/{name}")
         written = spark.read.parquet(path)
         row = written.agg(F.count("*").alias("num_rows")).select(
             F.lit(name).alias("mart"), "num_rows", F.lit(", ".join(written.columns)).alias("column_names"))
@@ -53,10 +74,10 @@ class FraudRings:
 
 
 def fraud_rings(enriched: DataFrame, min_risk: float = fixed.SUSPICIOUS_RISK,
-                max_edges: int | None = fixed.DEFAULT_MAX_EDGES, weight: str = "gross") -> FraudRings:
+                max_edges: int | None = None, weight: str = "gross") -> FraudRings:
     """The graph page: riskiest transactions, their graph, communities and ledger.
 
-    ``max_edges=None`` takes every transaction of at least ``min_risk``.
+    Every transaction of at least ``min_risk`` takes part unless the caller sets ``max_edges``.
     """
     merged = materialise(graph.pairs(graph.graph_view(enriched, min_risk, max_edges)), "pairs")
     partition = materialise(louvain(merged, weight), "partition")

@@ -44,7 +44,8 @@ def write_by_month(enriched: DataFrame, path: str) -> str:
 
 
 def create_namespace(spark: SparkSession, name: str) -> None:
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}")
+    quoted = name.replace("`", "``")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{quoted}`")
 
 
 def create_table(spark: SparkSession, name: str, schema: T.StructType, path: str | None = None) -> None:

@@ -28,7 +28,7 @@ def test_quantiles_of_nothing_and_one_value(spark):
 
 def test_describe_matches_pandas(spark):
     import pandas as pd
-    values = [1.5, 2.0, 2.0, 7.25, None]
+    values = [1.5, 2.0, 2.0, 7.25, None, float("nan")]
     found = {r["statistic"]: r["value"] for r in marts.describe(
         spark.createDataFrame([(v,) for v in values], "v double"), "v").collect()}
     wanted = pd.Series(values, dtype=float).describe()

@@ -11,8 +11,7 @@ def questions(spark, *texts):
 
 def test_routes(spark):
     asked = questions(
-        spark, "What is the current risk score summary for high-risk accounts?",
-        "Explain the fraud detection patterns for international wire transfers.",
+        spark, "Which accounts have the highest risk score?", "Why do wire payments fail?",
         "Our accounting listings", "  SHOW ME the money ", "", "Which countries matter?", "Which nations matter?")
     classes = [r["model_class"] for r in routing.route_queries(asked).orderBy("query_id").collect()]
     assert classes == ["flash", "pro", "flash", "flash", "pro", "flash", "pro"]
@@ -38,9 +37,9 @@ def test_ask(spark):
         "chunk_id string, content string, filename string")
     embedded = knowledge.embed(chunks)
     asked = questions(spark, "Explain wire transfers", "total volume")
-    rows = {r["query_id"]: r for r in ask(asked, embedded, top_k=1, system_prompt="SYSTEM").collect()}
+    rows = {r["query_id"]: r for r in ask(asked, embedded, top_k=1, system_text="SYSTEM", closing="END").collect()}
     deep = rows["0"]["prompt"]
     assert deep.startswith("SYSTEM\n\n") and "[Source: wire.txt]\nwire transfers cross borders" in deep
     assert "Source documents used: wire.txt\n\nUser Question: Explain wire transfers" in deep
-    assert rows["1"]["prompt"].startswith("SYSTEM\n\nUser Question: total volume")
+    assert deep.endswith("wire transfers\n\nEND") and rows["1"]["prompt"] == "SYSTEM\n\nUser Question: total volume"
     assert rows["1"]["context"] is None and rows["1"]["model"].startswith("Gemini Flash")

@@ -7,6 +7,7 @@ from riskloom.plans import lineage
 from riskloom.plans.lineage import clear_scratch, materialise, scratch_path
 from riskloom.plans.numbering import running_total
 from riskloom.plans.pipelines import MARTS, write_marts
+from riskloom.operators import graph, marts
 from riskloom.operators.enrich import enrich
 from riskloom.sources import corpus, tables, tpch
 from pyspark.sql import functions as F
@@ -62,6 +63,29 @@ def test_running_total_is_exact(spark):
     assert {r["k"]: r["before"] for r in rows} == expected
 
 
+def test_written_marts_equal_their_builders(spark, tmp_path):
+    enriched = enrich(tpch.transactions(spark, SMALL), tpch.account_rows(spark, SMALL)).cache()
+    write_marts(enriched, str(tmp_path))
+    builders = {"metrics": marts.kpi_summary, "risk_by_channel": marts.risk_by_channel,
+                "temporal_risk": marts.monthly_trend, "geographical_risk": marts.country_risk,
+                "risk_distribution": marts.risk_distribution, "critical_events": marts.critical_events,
+                "graph_pull": lambda e: graph.graph_pull(e).drop("volatility_index")}
+    assert list(builders) == MARTS
+    for name, build in builders.items():
+        written = spark.read.parquet(str(tmp_path / name))
+        wanted = build(enriched)
+        assert written.columns == wanted.columns
+        assert sorted(map(str, written.collect())) == sorted(map(str, wanted.collect())), name
+
+
+def test_ledger_ranks_every_row(spark):
+    enriched = enrich(tpch.transactions(spark, SMALL), tpch.account_rows(spark, SMALL))
+    rows = marts.critical_ledger(enriched).select("rank", "transaction_id").collect()
+    wanted = [r["transaction_id"] for r in marts.riskiest(enriched, None).collect()]
+    assert [r["transaction_id"] for r in sorted(rows)] == wanted
+    assert sorted(r["rank"] for r in rows) == list(range(1, len(wanted) + 1))
+
+
 def test_scratch_is_cleared(spark):
     stored = materialise(spark.range(5), "five")
     assert stored.count() == 5 and scratch_path(spark, "x").startswith(lineage.shared_folder(spark))
@@ -73,4 +97,4 @@ def test_scratch_is_cleared(spark):
 def test_all_marts_are_written(spark, tmp_path):
     enriched = enrich(tpch.transactions(spark, SMALL), tpch.account_rows(spark, SMALL))
     report = {r["mart"]: r["num_rows"] for r in write_marts(enriched.cache(), str(tmp_path)).collect()}
-    assert report.keys() == MARTS.keys() and report["metrics"] == 1 and report["graph_pull"] == 300
+    assert list(report) == MARTS and report["metrics"] == 1 and report["graph_pull"] == 300
