@@ -9,7 +9,6 @@ from riskloom.functions.scoring import risk_score
 from riskloom.plans.lineage import materialise
 from riskloom.plans.skew import HOT_ROWS, hot_keys
 
-MAX_BUCKETS = 16_384
 ORPHAN_CELLS = 4_096
 
 
@@ -28,9 +27,10 @@ def rolling_average(tx: DataFrame, account_rows: DataFrame | None = None, hot_ro
 
     Order is time, then transaction id. The mean comes from differences of exact decimal
     running totals, so each row costs the same whatever the frame. Accounts above
-    ``hot_rows`` are cut into time slices, each preceded by copies of the last rows of
-    the slice before; then no task has to sort a whole hot account. Rows without an
-    account get no average and are spread instead of meeting in one task.
+    ``hot_rows`` are cut into slices by time and id, each preceded by copies of the last
+    rows before it; then no task has to sort a whole hot account, even if all its rows have
+    one timestamp. Rows without an account get no average and are spread instead of
+    meeting in one task.
     """
     if hot_rows < rows:
         raise ValueError("hot_rows must be at least the window length")
@@ -42,7 +42,7 @@ def rolling_average(tx: DataFrame, account_rows: DataFrame | None = None, hot_ro
     if hot is None:
         sliced = base.withColumn("_slice", F.when(F.col("account_id").isNull(), orphan_cell).otherwise(0))
     else:
-        sliced = _with_halo(base, hot, rows - 1, orphan_cell)
+        sliced = _with_halo(base, hot, max(rows - 1, 1), orphan_cell)
     order = Window.partitionBy("account_id", "_slice").orderBy("timestamp", "transaction_id")
     running = order.rowsBetween(Window.unboundedPreceding, 0)
     totals = sliced.withColumn("_sum", F.sum("_money").over(running)).withColumn(
@@ -58,83 +58,32 @@ def rolling_average(tx: DataFrame, account_rows: DataFrame | None = None, hot_ro
     return out.select(*tx.columns, mean.alias("rolling_avg_amount"))
 
 
-def _micros(tx: DataFrame) -> Column:
-    """A number that grows with the order of ``timestamp``."""
-    at = F.col("timestamp")
-    if isinstance(tx.schema["timestamp"].dataType, T.TimestampType):
-        return F.unix_micros(at)
-    seconds = F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
-    return (F.unix_date(at.cast("date")).cast("bigint") * 86_400 + seconds) * 1_000_000
-
-
-def _position(at: Column, low: str, width: str) -> Column:
-    """Cell of an even grid; rows without a time, or without a grid, come first."""
-    return F.coalesce(F.floor((at - F.col(low)) / F.col(width)), F.lit(0))
-
-
-def _placed(base: DataFrame, grid: DataFrame, fine: DataFrame, how: str) -> DataFrame:
-    """Adds the grid cell and the cell of the finer grid within it; both grow with time."""
-    at = _micros(base)
-    coarse = base.join(F.broadcast(grid), "account_id", how).withColumn("_cell", _position(at, "_low", "_width"))
-    return coarse.join(F.broadcast(fine), ["account_id", "_cell"], "left").withColumn(
-        "_sub", _position(at, "_fine_low", "_fine_width"))
-
-
-def _slices(base: DataFrame, hot: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Time grid of each hot account, finer grids of its crowded cells, and the slice of each cell.
+def _with_halo(base: DataFrame, hot: DataFrame, halo: int, orphan_cell: Column) -> DataFrame:
+    """``base`` with ``_slice``, each slice of a hot account preceded by the last rows before it.
 
-    A few stray times may stretch the first grid; the finer one then still splits the rest.
-    All three have at most a few rows per part of a hot account, whatever the table size.
-    Every slice but an account's first and last holds at least ``least`` rows.
+    Rows of hot accounts are range-partitioned by account, time and id, a total order that
+    splits any account, and stored with their partition number, which is the slice.
     """
-    at = _micros(base)
-    spans = (
-        base.join(F.broadcast(hot.select("account_id", "parts")), "account_id")
-        .groupBy("account_id", "parts")
-        .agg(F.min(at).alias("_low"), F.max(at).alias("_high"), F.count("*").alias("_rows"))
-    )
-    grid = materialise(spans.select(
-        "account_id", "_low", _width("_low", "_high", F.col("parts")).alias("_width"),
-        F.ceil(F.col("_rows") / F.col("parts")).alias("_step")), "grid")
-    coarse = base.join(F.broadcast(grid), "account_id").withColumn("_cell", _position(at, "_low", "_width"))
-    crowded = coarse.groupBy("account_id", "_step", "_cell").agg(
-        F.min(at).alias("_low"), F.max(at).alias("_high"), F.count("*").alias("_rows")
-    ).where((F.col("_rows") > F.col("_step")) & (F.col("_low") < F.col("_high")))
-    fine = materialise(crowded.select(
-        "account_id", "_cell", F.col("_low").alias("_fine_low"),
-        _width("_low", "_high", F.ceil(F.col("_rows") / F.col("_step"))).alias("_fine_width")), "fine")
-    histogram = _placed(base, grid, fine, "inner").groupBy(
-        "account_id", "_step", F.struct("_cell", "_sub").alias("_at")).agg(F.count("*").alias("_rows"))
-    by_time = Window.partitionBy("account_id").orderBy("_at")
-    start = F.coalesce(F.sum("_rows").over(by_time.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    draft = histogram.withColumn("_draft", F.floor(start / F.col("_step")))
-    together = Window.partitionBy("account_id", "_draft")
-    first = F.min("_at").over(together) == F.col("_at")
-    big = (first & (F.sum("_rows").over(together) >= least)).cast("int")
-    numbered = draft.withColumn("_big", big).select(
-        "account_id", "_at._cell", "_at._sub", F.sum("_big").over(by_time).cast("int").alias("_slice"))
-    return grid, fine, materialise(numbered, "slices")
-
-
-def _width(low: str, high: str, parts: Column) -> Column:
-    cells = F.least(F.lit(MAX_BUCKETS), 4 * parts)
-    return F.ceil((F.col(high) - F.col(low) + 1) / cells)
-
-
-def _with_halo(base: DataFrame, hot: DataFrame, halo: int, orphan_cell: Column) -> DataFrame:
-    grid, fine, slices = _slices(base, hot, halo)
-    cell = ["account_id", "_cell", "_sub"]
-    slice_of = F.when(F.col("account_id").isNull(), orphan_cell).otherwise(F.coalesce("_slice", F.lit(0)))
-    main = _placed(base, grid, fine, "left").join(F.broadcast(slices), cell, "left").select(
-        *base.columns, slice_of.alias("_slice"), F.lit(False).alias("_halo"))
-    from_end = Window.partitionBy("account_id", "_slice").orderBy(
-        F.desc("timestamp"), F.desc("transaction_id"))
-    keys = ["account_id", "timestamp", "transaction_id", "_money"]
-    tails = (
-        _placed(base.select(*keys), grid, fine, "inner")
-        .join(F.broadcast(slices), cell)
-        .withColumn("_back", F.row_number().over(from_end))
-        .where(F.col("_back") <= halo)
-        .select(*keys, (F.col("_slice") + 1).alias("_slice"), F.lit(True).alias("_halo"))
-    )
-    return main.unionByName(tails, allowMissingColumns=True)
+    keys = ["account_id", "timestamp", "transaction_id"]
+    parts = max(1, int(hot.agg(F.sum("parts")).first()[0] or 0))
+    few = hot.select("account_id").withColumn("_hot", F.lit(True))  # bounded by MAX_HOT_KEYS
+    marked = base.join(F.broadcast(few), "account_id", "left")
+    cold = marked.where(F.col("_hot").isNull()).withColumn(
+        "_slice", F.when(F.col("account_id").isNull(), orphan_cell).otherwise(0))
+    ranged = marked.where(F.col("_hot")).repartitionByRange(parts, *keys).withColumn("_slice", F.spark_partition_id())
+    placed = materialise(ranged.drop("_hot"), "slices")
+    from_end = Window.partitionBy("account_id", "_slice").orderBy(F.desc("timestamp"), F.desc("transaction_id"))
+    # At most ``halo`` rows of each slice are numbered through; slices number a few per part.
+    tails = placed.select(*keys, "_money", "_slice").withColumn("_back", F.row_number().over(from_end)).where(
+        F.col("_back") <= halo)
+    in_time = Window.partitionBy("account_id").orderBy("_slice", F.desc("_back"))
+    tails = materialise(tails.withColumn("_rank", F.row_number().over(in_time)), "tails")
+    before = tails.groupBy("account_id", F.col("_slice").alias("_next")).agg((F.min("_rank") - 1).alias("_before")).where(
+        "_before > 0").withColumn("_group", F.floor(F.col("_before") / halo))
+    # A row belongs to the slices that begin at most ``halo`` ranks after it.
+    group = F.explode(F.array(F.floor(F.col("_rank") / halo), F.floor(F.col("_rank") / halo) + 1))
+    copies = tails.withColumn("_group", group).join(before, ["account_id", "_group"]).where(
+        (F.col("_before") >= F.col("_rank")) & (F.col("_before") < F.col("_rank") + halo))
+    haloes = copies.select(*keys, "_money", F.col("_next").alias("_slice"), F.lit(True).alias("_halo"))
+    main = cold.drop("_hot").unionByName(placed).withColumn("_halo", F.lit(False))
+    return main.unionByName(haloes, allowMissingColumns=True)

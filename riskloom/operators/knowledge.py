@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskloom import fixed_values as fixed
 from riskloom.functions import text
+from riskloom.plans.lineage import materialise
 from riskloom.plans.numbering import running_total
 
 # Python tasks carry this module's helpers with them, so executors need not have it installed.
@@ -43,17 +44,23 @@ def chunk_counts(documents: DataFrame, max_words: int = fixed.CHUNK_WORDS,
 
 
 def chunk_table(documents: DataFrame, max_words: int = fixed.CHUNK_WORDS,
-                separator: str = text.BLANK_LINE, key: str = "filename") -> DataFrame:
-    """Chunks numbered through the whole corpus, in order of ``key``, as ``chunk_id, content, filename``.
+                separator: str = text.BLANK_LINE, key: str | None = None) -> DataFrame:
+    """Chunks numbered through the whole corpus, as ``chunk_id, content, filename``.
 
-    ``key`` must be unique per document. Only counts are sorted; the texts are shuffled
-    once, to meet their document's first number.
+    Documents are numbered, not names: equal names are different documents. They come in
+    order of ``path`` if there is one, else of ``filename``, or of ``key``; ties by content.
+    Every text is packed once, and its chunks are stored with its place.
     """
-    counts = chunk_counts(documents, max_words, separator, key)
-    first = running_total(counts.select(key, "chunks"), [F.col(key)], F.col("chunks"), "first")
-    chunks = chunk_documents(documents, max_words, separator, key)
-    number = F.col("first") + F.col("position")
-    return chunks.join(first.select(key, "first"), key).select(
+    order = key or ("path" if "path" in documents.columns else "filename")
+    parts = text.packed(F.col("content"), max_words, separator)
+    packed = materialise(documents.select(F.col(order).alias("_key"), "filename", parts.alias("_parts"), F.xxhash64(
+        "content").alias("_hash")).withColumn("_doc", F.monotonically_increasing_id()), "packed")
+    sized = packed.select("_key", "_hash", "_doc", F.greatest(F.size("_parts"), F.lit(0)).cast("bigint").alias("_chunks"))
+    # Equal documents stand in any order, which gives the same chunks the same numbers.
+    first = running_total(sized, [F.col("_key"), F.col("_hash"), F.col("_doc")], F.col("_chunks"), "_first")
+    pieces = packed.select("_doc", "filename", F.posexplode("_parts").alias("_position", "content"))
+    number = F.col("_first") + F.col("_position")
+    return pieces.join(first.select("_doc", "_first"), "_doc").select(
         F.format_string(fixed.CHUNK_ID_FORMAT, number).alias("chunk_id"), "content", "filename")
 
 

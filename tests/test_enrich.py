@@ -73,19 +73,38 @@ def test_split_accounts_without_zone(spark):
     same(averages(enrich.rolling_average(tx, hot_rows=60)), expected(rows))
 
 
-@pytest.mark.parametrize("stray", [[], [-50_000_000, 500_000_000]])
-def test_slices_are_bounded(spark, stray):
-    rows = [row(i, "hot", i, "1.00") for i in range(1000)]
-    rows += [row(5000 + i, "hot", minutes, "9.00") for i, minutes in enumerate(stray)]
+@pytest.mark.parametrize("minutes", [
+    [5] * 1000, [int(1.013 ** i) for i in range(1000)], list(range(1000)), [0] * 10 + [10**6] * 990])
+def test_slices_are_bounded(spark, monkeypatch, minutes):
+    """One timestamp, log-spread times and strays: no slice above twice its share of one account."""
+    rows = [row(i, "hot", m, f"{i % 90}.25") for i, m in enumerate(minutes)]
     tx = spark.createDataFrame(rows, TRANSACTION_SCHEMA)
     hot = spark.createDataFrame([("hot", len(rows), 10)], "account_id string, rows long, parts long")
-    grid, fine, slices = enrich._slices(tx, hot, 49)
-    sizes = (enrich._placed(tx, grid, fine, "inner").join(slices, ["account_id", "_cell", "_sub"])
-             .groupBy("_slice").count().collect())
-    assert len(sizes) >= 7 and max(r["count"] for r in sizes) <= 250
+    base = tx.withColumn("_money", F.col("amount"))
+    sliced = enrich._with_halo(base, hot, 49, F.lit(0))
+    sizes = [r["count"] for r in sliced.where(~F.col("_halo")).groupBy("_slice").count().collect()]
+    assert sum(sizes) == 1000 and len(sizes) >= 9 and max(sizes) <= 200
+    assert all(r["count"] == 49 for r in sliced.where("_halo").groupBy("_slice").count().collect())
     same(averages(enrich.rolling_average(tx, hot_rows=100)), expected(rows))
 
 
+def test_small_slices_take_their_halo_from_several(spark):
+    rows = sample({"hot": 400, "other": 60})
+    tx = spark.createDataFrame(rows, TRANSACTION_SCHEMA)
+    hot = spark.createDataFrame([("hot", 400, 40)], "account_id string, rows long, parts long")
+    sliced = enrich._with_halo(tx.withColumn("_money", F.col("amount")), hot, 49, F.lit(0)).where("account_id = 'hot'")
+    order = ["timestamp", "transaction_id"]
+    by_slice = {}
+    for r in sliced.orderBy(F.col("_slice"), *order).collect():
+        by_slice.setdefault(r["_slice"], ([], []))[r["_halo"]].append(r["transaction_id"])
+    seen = []
+    for number in sorted(by_slice):
+        own, halo = by_slice[number]
+        assert halo == seen[-49:]
+        seen += own
+    same(averages(enrich.rolling_average(tx, hot_rows=50)), expected(rows))
+
+
 def test_flags_and_score(spark):
     rows = [
         row(1, "A", 1, "10.00", 0, 1.5), row(2, "B", 1, "10.00", 1, 1.6), row(3, "C", 1, "10.00", 0, float("nan")),
