@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.queries import LITERAL_QUESTIONS, MAX_WORDS, NEIGHBOUR_SEED
+from checks.queries import LITERAL_QUESTIONS, MAX_WORDS, NEIGHBOUR_SEED, RULE_COUNTRIES, RULE_WORDS
 from riskloom import fixed_values as fixed
 from riskloom.functions.text import SPACE
 
@@ -112,9 +112,10 @@ def _words(text: str) -> str:
     return f"[x FOR x IN regexp_split_to_array({text}, '{SPACE}+') IF x <> '']"
 
 
-def _chunks(separator: str, max_words: int) -> str:
+def _chunks(separator: str, max_words: int, name: str = "concat('doc_', doc_id, '.txt')", text: str = "text") -> str:
     """Greedy packing as recursion over numbered paragraphs."""
-    return DOCS + f""",
+    return f"""
+docs AS (SELECT {name} AS filename, {text} AS content FROM documents),
 para AS (
   SELECT filename, row_number() OVER (PARTITION BY filename ORDER BY o) AS i, t, len({_words('t')}) AS n
   FROM (SELECT filename, generate_subscripts(a, 1) AS o, {_strip('unnest(a)')} AS t
@@ -319,6 +320,9 @@ SELECT * EXCLUDE (vf, df) REPLACE (cast(amount AS double) AS amount, round(rolli
     columns = "transaction_id, timestamp, account_id, customer_id, amount, transaction_type, merchant_category, " \
               "country, fraud_flag, volatility_index"
     no_group = _with(SUSPICIOUS + ",\none AS (SELECT DISTINCT id, 0 AS community FROM ends),", _ledger("one"))
+    found = _recursive(CONTEXT, f"""
+SELECT query_id, query, coalesce(context, '{fixed.NO_CONTEXT}') AS context, coalesce(sources, '') AS sources
+FROM qs LEFT JOIN ctx USING (query_id) LEFT JOIN src USING (query_id)""")
     return {
         "transactions": _with(TX, f"SELECT * REPLACE ({AMOUNT}) FROM tx"),
         "enriched": enriched,
@@ -433,12 +437,44 @@ SELECT (SELECT count(*) FROM docs) AS documents, (SELECT cast(sum(len({_words('c
         "embedded_chunks": _recursive(CHUNKS + "," + _embedding("ce", "ch", "chunk_id", "content"), """
 SELECT chunk_id, '' AS embedding_status, cast(slot AS int) AS slot, round(cast(v AS double), 5) AS value FROM ce_s"""),
         "embed_status": "SELECT 0 AS error_count",
+        "embed_failures": _recursive(CHUNKS, "SELECT count(*) AS error_count FROM ch WHERE contains(content, 'thtion')"),
+        "knowledge_base": _recursive(_chunks("\\n", MAX_WORDS, "concat('d', lpad(cast(doc_id AS varchar), 12, '0'))"), """
+SELECT chunk_id, content, concat('part_', right(filename, 1), '.txt') AS filename,
+       CASE WHEN contains(content, 'thtion') THEN 'RuntimeError: refused' ELSE '' END AS embedding_status,
+       CASE WHEN contains(content, 'thtion') THEN 0 ELSE 1 END AS listed FROM ch"""),
+        "blank_line_chunks": _recursive(
+            _chunks(f"\\n{SPACE}*\\n", 300, "concat('doc_', doc_id, '.txt')", "replace(text, chr(10), chr(10) || ' ' || chr(10))"),
+            "SELECT * FROM ch"),
+        "document_routes": f"""
+WITH qs AS (
+  SELECT concat('d', doc_id) AS query_id,
+         concat(substr(text, 1, 40), ' ', ({_array(RULE_WORDS)})[cast(doc_id % {len(RULE_WORDS)} AS int) + 1]) AS query FROM documents
+  UNION ALL SELECT concat('c-', conv_id, '-', turn), text FROM conversations)
+SELECT query_id, {ROUTE} AS model_class, {_rules('query', fixed.TOPIC_RULES, fixed.TOPIC_DEFAULT)} AS topic FROM qs""",
+        "ruled_ledger": f"""
+WITH r AS (
+  SELECT concat('Case ', ({_array(RULE_WORDS)})[cast(l_suppkey % {len(RULE_WORDS)} AS int) + 1]) AS transaction_type,
+         ({_array(RULE_COUNTRIES)})[cast(l_partkey % {len(RULE_COUNTRIES)} AS int) + 1] AS country FROM lineitem)
+SELECT transaction_type, country, count(*) AS n,
+       CASE regexp_extract(transaction_type, 'Case (.*)', 1) WHEN 'structuring' THEN 'Wire Transfer' WHEN 'laundering' THEN 'Wire Transfer'
+         WHEN 'smurfing' THEN 'Wire Transfer' WHEN 'wire' THEN 'Wire Transfer' WHEN 'takeover' THEN 'Card Purchase'
+         WHEN 'card' THEN 'Card Purchase' WHEN 'purchase' THEN 'Card Purchase' WHEN 'layering' THEN 'Shell Transfer'
+         WHEN 'investment' THEN 'Shell Transfer' WHEN 'shell' THEN 'Shell Transfer' ELSE 'Transfer' END AS channel,
+       CASE country WHEN 'Nigeria' THEN 'ng' WHEN 'Iran' THEN 'ir' WHEN 'Myanmar' THEN 'mm' WHEN 'Russia' THEN 'ru'
+         WHEN 'China' THEN 'cn' WHEN 'United Arab Emirates' THEN 'ae' WHEN 'Germany' THEN 'de'
+         WHEN 'United Kingdom' THEN 'gb' WHEN 'Singapore' THEN 'sg' ELSE 'us' END AS country_code
+FROM r GROUP BY ALL""",
+        "refused_bounds": _with(ENRICHED, """
+SELECT risk AS min_risk, edges AS max_edges,
+       CASE WHEN risk < 0 OR risk > 1 OR edges < 10 OR edges > 500 THEN NULL
+            ELSE least(coalesce(edges, 9223372036854775807), (SELECT count(*) FROM e WHERE risk_score >= risk)) END AS num_rows
+FROM (VALUES (0.3::double, 10), (0.3, 500), (0.3, 9), (0.3, 501), (-0.1, 100), (1.1, 100), (1.0, NULL)) AS v(risk, edges)"""),
+        "empty_rings": "SELECT 0 AS nodes, 0 AS edges, 0 AS rings",
         "vector_topk": SEARCH,
         "vector_topk_blocked": SEARCH,
         "ivf_topk_all_lists": SEARCH,
-        "rag_context": _recursive(CONTEXT, f"""
-SELECT query_id, query, coalesce(context, '{fixed.NO_CONTEXT}') AS context, coalesce(sources, '') AS sources
-FROM qs LEFT JOIN ctx USING (query_id) LEFT JOIN src USING (query_id)"""),
+        "rag_context": found,
+        "rag_context_lists": found,
         "route_queries": _with(QUESTIONS, f"SELECT query_id, query, {ROUTE} AS model_class FROM qs"),
         "answer_topic": _with(QUESTIONS, f"SELECT query_id, query, {_rules('query', fixed.TOPIC_RULES, fixed.TOPIC_DEFAULT)} AS topic FROM qs"),
         "model_class": _with(QUESTIONS, f"""

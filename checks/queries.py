@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom import fixed_values as fixed
@@ -12,6 +16,8 @@ from riskloom.plans import pipelines
 from riskloom.plans.lineage import materialise, scratch_path
 from riskloom.sources import corpus, tables, tpch
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # for the embedder below
+
 SEPARATOR = "\n"
 MAX_WORDS = 60
 NEIGHBOUR_SEED = "ACC-00007"
@@ -39,6 +45,13 @@ LITERAL_QUESTIONS = [
     "Why do shell firms matter?",
     "   ",
 ]
+#: A word some chunks have, on which the registered embedder fails.
+REFUSED = "thtion"
+#: Words and names that meet every channel, route and topic rule, and some that meet none.
+RULE_WORDS = ["structuring", "laundering", "smurfing", "wire", "takeover", "card", "purchase", "layering", "investment",
+              "shell", "salary", "kyc", "escalated", "credit", "warning", "list", "balance", "show me", "rent"]
+RULE_COUNTRIES = ["Nigeria", "Iran", "Myanmar", "Russia", "China", "United Arab Emirates", "Germany", "United Kingdom",
+                  "Singapore", "United States", "Peru", "iran"]
 PROMPT_TEXTS = {
     "system_text": "Use only what the context says.", "introduction": "Context follows.",
     "closing": "Name the files you relied on.", "quick_closing": "Answer in one sentence.",
@@ -347,7 +360,7 @@ def vector_topk_blocked(spark, d):
     """The same search with both sides cut into small blocks."""
     vectors = _vectors(spark, d)
     base = vectors.select(F.col("vec_id").alias("id"), "embedding")
-    return _shown_hits(search.vector_search(base, base.withColumnRenamed("id", "query_id"), block_floats=16_000))
+    return _shown_hits(search.block_search(base, base.withColumnRenamed("id", "query_id"), block_floats=16_000))
 
 
 def ivf_topk(spark, d):
@@ -368,6 +381,92 @@ def rag_context(spark, d):
     return out.select("query_id", "query", "context", F.array_join("sources", ",").alias("sources"))
 
 
+def rag_context_lists(spark, d):
+    """The same through stored lists, all of them probed."""
+    base = pipelines.build_knowledge_base(tpch.documents(spark, d), scratch_path(spark, "base"), MAX_WORDS, SEPARATOR)
+    out = search.retrieve_context(_questions(spark, d), base.embedded, lists=base.lists, probes=fixed.VECTOR_LISTS)
+    return out.select("query_id", "query", "context", F.array_join("sources", ",").alias("sources"))
+
+
+def _refusing(texts, task_type):
+    """Fails on texts with a given word, as a model may."""
+    if any(REFUSED in t for t in texts):
+        raise RuntimeError("refused")
+    return np.ones((len(texts), 2))
+
+
+def embed_failures(spark, d):
+    return knowledge.embedding_error_count(knowledge.embed(_chunks(spark, d), _refusing))
+
+
+def knowledge_base(spark, d):
+    """From written text files of a few names to chunks, vectors and their status."""
+    rows = tpch.table(spark, d, "documents").select(
+        F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("doc"), F.col("text").alias("value"))
+    folder = scratch_path(spark, "texts")
+    rows.write.partitionBy("doc").text(folder)
+    read = corpus.read_text_corpus(spark, folder)
+    docs = read.select(F.regexp_extract("path", r"doc=([^/]+)/", 1).alias("path"), F.concat(
+        F.lit("part_"), F.regexp_extract("path", r"(\d)/[^/]+$", 1), F.lit(".txt")).alias("filename"),
+        F.regexp_replace("content", r"\n\z", "").alias("content"))
+    base = pipelines.build_knowledge_base(docs, scratch_path(spark, "base"), MAX_WORDS, SEPARATOR, _refusing, lists=2)
+    listed = base.lists[0].groupBy("id").agg(F.count("*").alias("listed"))
+    return base.embedded.join(listed, F.col("chunk_id") == F.col("id"), "left").select(
+        "chunk_id", "content", "filename", "embedding_status", F.coalesce("listed", F.lit(0)).alias("listed"))
+
+
+def blank_line_chunks(spark, d):
+    """The default separator and limit on texts that have blank lines."""
+    docs = tpch.documents(spark, d).withColumn("content", F.regexp_replace("content", "\n", "\n \n"))
+    return knowledge.chunk_table(docs)
+
+
+def document_routes(spark, d):
+    """Route and topic of every document and conversation turn, with words that meet each rule."""
+    return routing.answer_topic(routing.route_queries(_sentences(spark, d))).select("query_id", "model_class", "topic")
+
+
+def _sentences(spark, d):
+    words = F.array(*[F.lit(w) for w in RULE_WORDS])
+    docs = tpch.table(spark, d, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("query_id"),
+        F.concat(F.substring("text", 1, 40), F.lit(" "), F.element_at(words, (F.col("doc_id") % len(RULE_WORDS) + 1).cast("int"))).alias("query"))
+    turns = tpch.table(spark, d, "conversations").select(F.concat_ws(
+        "-", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), F.col("text").alias("query"))
+    return docs.unionByName(turns)
+
+
+def ruled_ledger(spark, d):
+    """Channel and country code where every rule and every default matches."""
+    from riskloom.functions import scoring
+    words = F.array(*[F.lit(w) for w in RULE_WORDS])
+    names = F.array(*[F.lit(n) for n in RULE_COUNTRIES])
+    parts = tpch.table(spark, d, "lineitem").select(
+        F.concat(F.lit("Case "), F.element_at(words, (F.col("l_suppkey") % len(RULE_WORDS) + 1).cast("int"))).alias("transaction_type"),
+        F.element_at(names, (F.col("l_partkey") % len(RULE_COUNTRIES) + 1).cast("int")).alias("country"))
+    return parts.groupBy("transaction_type", "country").agg(F.count("*").alias("n")).withColumns(
+        {"channel": scoring.channel(), "country_code": scoring.country_code()})
+
+
+def refused_bounds(spark, d):
+    """Which graph limits are refused, next to how many rows the accepted ones give."""
+    enriched = materialise(_enriched(spark, d), "enriched")
+    rows = []
+    for risk, edges in ((0.3, 10), (0.3, 500), (0.3, 9), (0.3, 501), (-0.1, 100), (1.1, 100), (1.0, None)):
+        try:
+            rows.append((risk, edges, graph.graph_view(enriched, risk, edges).count()))
+        except ValueError:
+            rows.append((risk, edges, None))
+    return spark.createDataFrame(rows, "min_risk double, max_edges int, num_rows bigint")
+
+
+def empty_rings(spark, d):
+    """A graph without edges has no nodes, edges or rings."""
+    rings = pipelines.fraud_rings(_enriched(spark, d).where("risk_score < 0.1"), 0.2)
+    return rings.nodes.agg(F.count("*").alias("nodes")).crossJoin(rings.edges.agg(F.count("*").alias("edges"))).crossJoin(
+        rings.communities.agg(F.count("*").alias("rings")))
+
+
 def route_queries(spark, d):
     return routing.route_queries(_questions(spark, d))
 
@@ -404,7 +503,10 @@ def stored_tables(spark, d):
     name = "riskloom_check.chunks_staging"
     tables.create_table(spark, name, tables.CHUNK_SCHEMA, scratch_path(spark, "staging"))
     tables.replace_table(_chunks(spark, d), name, scratch_path(spark, "staging"))
-    return knowledge.chunks_per_file(spark.read.table(name))
+    counts = materialise(knowledge.chunks_per_file(spark.read.table(name)), "counts")
+    spark.sql(f"DROP TABLE {name}")
+    spark.sql("DROP DATABASE riskloom_check")
+    return counts
 
 
 def read_text_corpus(spark, d):
@@ -432,7 +534,8 @@ def queries() -> dict:
         ring_members, louvain_partition, louvain_modularity, louvain_check,
         fraud_ring_totals, fraud_rings, fraud_ring_nodes, corpus_stats,
         document_words, default_chunks, chunks_per_file, document_chunks, chunk_sample, embedded_chunks,
-        embed_status, vector_topk, vector_topk_blocked, ivf_topk, ivf_topk_all_lists, rag_context,
+        embed_status, embed_failures, knowledge_base, blank_line_chunks, document_routes, ruled_ledger,
+        refused_bounds, empty_rings, rag_context_lists, vector_topk, vector_topk_blocked, ivf_topk, ivf_topk_all_lists, rag_context,
         route_queries, answer_topic, model_class, prompts, write_marts, write_by_month, stored_tables,
         read_text_corpus,
     ]

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom import fixed_values as fixed
 from riskloom.functions import text
@@ -20,6 +19,8 @@ from riskloom.plans.numbering import running_total
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 Embedder = Callable[[list[str], str], np.ndarray]
+#: Characters of text that an embedder gets at a time.
+PART_CHARS = 1_000_000
 
 
 def chunk_documents(documents: DataFrame, max_words: int = fixed.CHUNK_WORDS,
@@ -97,50 +98,55 @@ def chunk_sample(chunks: DataFrame, rows: int = fixed.LEDGER_ROWS) -> DataFrame:
     return chunks.orderBy(F.length("chunk_id"), "chunk_id").limit(rows).select("chunk_id", "filename", shown)
 
 
-def hashing_embedder(dimensions: int = 64) -> Embedder:
-    """A deterministic stand-in for a model: counts of hashed words, scaled to unit length."""
-
-    def embed(texts: list[str], task_type: str) -> np.ndarray:
-        words = [content.split() for content in texts]
-        slots = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dimensions for w in set().union(*words)}
-        places = [row * dimensions + slots[w] for row, here in enumerate(words) for w in here]
-        counts = np.bincount(np.asarray(places, dtype="int64"), minlength=len(texts) * dimensions)
-        out = counts.astype("float64").reshape(-1, dimensions)
-        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
-        return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
-
-    return embed
+def hashed_words(content: Column, dimensions: int = 64) -> Column:
+    """Counts of hashed words, scaled to unit length; a deterministic stand-in for a model."""
+    slot = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint") % dimensions
+    places = F.sequence(F.lit(0), F.lit(dimensions - 1))
+    # One-element arrays bind the intermediate arrays, so they are computed once.
+    counts = F.transform(F.array(F.transform(text.words(content), slot)), lambda slots: F.transform(
+        places, lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double")))
+    scaled = F.transform(counts, lambda c: F.transform(F.array(F.sqrt(F.aggregate(
+        c, F.lit(0.0), lambda total, x: total + x * x))), lambda length: F.transform(
+        c, lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0)).cast("float"))))
+    return F.flatten(scaled)[0]
 
 
 def embed(rows: DataFrame, embedder: Embedder | None = None, task_type: str = fixed.TASK_DOCUMENT,
           column: str = "content") -> DataFrame:
     """``rows`` plus ``embedding`` and ``embedding_status``, empty on success or the error text.
 
-    ``embedder(texts, task_type)`` runs on Arrow batches. Where a batch fails, its texts
-    are tried one by one, so one bad text does not spoil the others.
+    Without an ``embedder`` words are hashed, without Python. ``embedder(texts, task_type)``
+    runs on parts of Arrow batches of bounded size. Where a part fails, its texts are tried
+    one by one, so one bad text does not spoil the others.
     """
-    embedder = embedder or hashing_embedder()
+    if embedder is None:
+        known = F.col(column).isNotNull()
+        return rows.withColumn("embedding", F.when(known, hashed_words(F.col(column)))).withColumn(
+            "embedding_status", F.when(known, "").otherwise("ValueError: no text"))
 
     def one(content: str | None) -> tuple:
         try:
             if content is None:
                 raise ValueError("no text")
-            return embedder([content], task_type)[0].astype("float32"), ""
+            return np.asarray(embedder([content], task_type)[0], dtype="float32"), ""
         except Exception as error:  # the model's own failure, reported per row
             return None, f"{type(error).__name__}: {error}"
 
+    def part(texts: list) -> list[tuple]:
+        try:
+            if any(t is None for t in texts):
+                raise ValueError("no text")
+            vectors = np.asarray(embedder(texts, task_type), dtype="float32")
+            if len(vectors) != len(texts):
+                raise ValueError("one vector per text expected")
+            return [(v, "") for v in vectors]
+        except Exception:  # fall back to single texts
+            return [one(t) for t in texts]
+
     def batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts = frame[column].tolist()
-            try:
-                if any(t is None for t in texts):
-                    raise ValueError("no text")
-                vectors = np.asarray(embedder(texts, task_type), dtype="float32")
-                if len(vectors) != len(texts):
-                    raise ValueError("one vector per text expected")
-                pairs = [(v, "") for v in vectors]
-            except Exception:  # fall back to single texts
-                pairs = [one(t) for t in texts]
+            place = frame[column].str.len().fillna(0).cumsum() // PART_CHARS
+            pairs = [pair for _, some in frame.groupby(place.to_numpy(), sort=True) for pair in part(some[column].tolist())]
             yield frame.assign(embedding=[v for v, _ in pairs], embedding_status=[s for _, s in pairs])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)

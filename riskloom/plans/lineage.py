@@ -6,6 +6,7 @@ import functools
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 RUN = uuid.uuid4().hex
@@ -34,6 +35,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_run_folder(spark)}/{uuid.uuid4().hex}/{name}"
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """For tasks that read stored files themselves: the file system of a URI or plain path, and the path in it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return (fs.LocalFileSystem(), path) if "://" not in path else fs.FileSystem.from_uri(path)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes what this driver process stored with ``materialise``; call it when no result is needed any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))

@@ -1,4 +1,4 @@
-"""The three end-to-end flows: enrichment to marts, fraud rings, grounded questions."""
+"""The end-to-end flows: enrichment to marts, fraud rings, knowledge base, grounded questions."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from riskloom import fixed_values as fixed
+from riskloom.functions.text import BLANK_LINE
 from riskloom.operators import graph, marts
 from riskloom.operators.communities import louvain
+from riskloom.operators.knowledge import chunk_table, embed
 from riskloom.operators.routing import prompts, route_queries
-from riskloom.operators.search import retrieve_context
+from riskloom.operators.search import retrieve_context, write_lists
 from riskloom.plans.lineage import materialise
 from riskloom.sources.tables import write_files
 
@@ -86,14 +88,36 @@ def fraud_rings(enriched: DataFrame, min_risk: float = fixed.SUSPICIOUS_RISK,
         graph.ring_ledger(merged, partition), merged, partition)
 
 
+@dataclass
+class KnowledgeBase:
+    """Stored chunks, their vectors with a status, and the list partitioning of the vectors."""
+
+    chunks: DataFrame
+    embedded: DataFrame
+    lists: tuple[DataFrame, list[list[float]]]
+
+
+def build_knowledge_base(documents: DataFrame, folder: str, max_words: int = fixed.CHUNK_WORDS,
+                         separator: str = BLANK_LINE, embedder=None, lists: int = fixed.VECTOR_LISTS) -> KnowledgeBase:
+    """From documents, such as those of ``read_text_corpus``, to a searchable base below ``folder``.
+
+    Chunks go to ``staging``, their vectors and the status of each to ``embeddings``, and the
+    vectors of the usable ones by list to ``lists``. What was there is replaced.
+    """
+    spark = documents.sparkSession
+    chunks = spark.read.parquet(write_files(chunk_table(documents, max_words, separator), f"{folder}/staging"))
+    embedded = spark.read.parquet(write_files(embed(chunks, embedder), f"{folder}/embeddings"))
+    usable = embedded.where("embedding_status = ''").select(F.col("chunk_id").alias("id"), "embedding")
+    centroids = write_lists(usable, f"{folder}/lists", lists)
+    return KnowledgeBase(chunks, embedded, (spark.read.parquet(f"{folder}/lists"), centroids))
+
+
 def ask(questions: DataFrame, embedded: DataFrame, top_k: int = fixed.TOP_K, embedder=None,
-        **prompt_options) -> DataFrame:
+        lists: tuple[DataFrame, list[list[float]]] | None = None, **prompt_options) -> DataFrame:
     """Questions with route, context for the ``pro`` ones, prompt and model label."""
     routed = materialise(route_queries(questions), "routed")
     deep = routed.where(F.col("model_class") == "pro")
-    grounded = retrieve_context(deep, embedded, top_k, embedder)
+    grounded = retrieve_context(deep, embedded, top_k, embedder, lists)
     quick = routed.where(F.col("model_class") == "flash").withColumns({
         "context": F.lit(None).cast("string"), "sources": F.lit(None).cast("array<string>")})
     return prompts(grounded.unionByName(quick), **prompt_options)
-
-

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -65,6 +66,29 @@ def test_chunk_numbers_follow_file_order(spark):
     assert tuple(knowledge.corpus_stats(docs, 1).first()) == (4, 6, 6)
 
 
+def test_equal_names_are_different_documents(spark):
+    docs = spark.createDataFrame([("x/a.txt", "a.txt", "1\n\n2"), ("a.txt", "a.txt", "3\n\n4"), ("b", "a.txt", "3\n\n4")],
+                                 "path string, filename string, content string").repartition(3)
+    rows = sorted(tuple(r) for r in knowledge.chunk_table(docs, 1).collect())
+    assert rows == [(f"chunk_000{i}", c, "a.txt") for i, c in enumerate("343412")]
+    same = sorted(r["chunk_id"] for r in knowledge.chunk_table(docs.drop("path"), 1).collect())
+    assert same == [f"chunk_000{i}" for i in range(6)]
+
+
+def test_hashed_words_match_a_plain_count(spark):
+    texts = ["a b a", "", "  ", "é\u00a0x x", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
+    for r in knowledge.embed(rows).collect():
+        if r["content"] is None:
+            assert r["embedding"] is None and r["embedding_status"] == "ValueError: no text"
+            continue
+        counts = np.zeros(64)
+        for w in r["content"].split():
+            counts[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64] += 1
+        length = np.linalg.norm(counts)
+        assert r["embedding_status"] == "" and np.allclose(r["embedding"], counts / length if length else counts)
+
+
 def test_large_document_stays_linear(spark):
     content = "\n\n".join(f"word{i} and more" for i in range(30_000))
     docs = spark.createDataFrame([("big.txt", content)], "filename string, content string")
@@ -121,7 +145,7 @@ def test_search_matches_brute_force(spark):
     b, q = vectors(spark, base).repartition(5), vectors(spark, queries, "query_id")
     assert hits(search.vector_search(b, q)) == wanted
     assert wanted[50] == [7, 1000, 1001, 1002, 1003]
-    assert hits(search.vector_search(b, q, block_floats=80)) == wanted
+    assert hits(search.block_search(b, q, block_floats=80)) == wanted
     assert hits(search.list_search(b, q, probes=5, block_floats=160)) == wanted
     near = hits(search.list_search(b, q, probes=3))
     found = sum(len(set(near[k]) & set(v)) for k, v in wanted.items())
