@@ -12,7 +12,7 @@ from riskloom import fixed_values as fixed
 from riskloom.operators import enrich as enrichment
 from riskloom.operators import graph, knowledge, marts, routing, search
 from riskloom.operators.communities import louvain, modularity
-from riskloom.plans import pipelines
+from riskloom.plans import lineage, pipelines
 from riskloom.plans.lineage import materialise, scratch_path
 from riskloom.sources import corpus, tables, tpch
 
@@ -91,6 +91,17 @@ def _partition_by_country(spark: SparkSession, d: str) -> DataFrame:
     return ends.groupBy("id").agg(number.alias("community"))
 
 
+_FOUND: dict[tuple, pipelines.FraudRings] = {}
+
+
+def _rings(spark: SparkSession, d: str) -> pipelines.FraudRings:
+    """Rings of the whole table; found once per session, as several queries show them."""
+    key = (spark.sparkContext.applicationId, d, lineage.clearings)
+    if key not in _FOUND:
+        _FOUND[key] = pipelines.fraud_rings(_enriched(spark, d))
+    return _FOUND[key]
+
+
 def _shown_ledger(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("aggregate_volume", F.round("aggregate_volume", 2)).withColumn(
         "vulnerability_risk_rating", F.round("vulnerability_risk_rating", 6))
@@ -280,12 +291,12 @@ def ring_members(spark, d):
 
 def louvain_partition(spark, d):
     """Communities over every suspicious transaction."""
-    return louvain(materialise(_pairs(spark, d), "pairs"))
+    return _rings(spark, d).partition
 
 
 def louvain_modularity(spark, d):
-    merged = materialise(_pairs(spark, d), "pairs")
-    return modularity(merged, materialise(louvain(merged), "partition"))
+    rings = _rings(spark, d)
+    return modularity(rings.pairs, rings.partition)
 
 
 def louvain_check(spark, d):
@@ -294,8 +305,8 @@ def louvain_check(spark, d):
     Nodes missing or double, gaps in the numbers, single moves that gain, merges of two that
     gain, and whether modularity is no better than that of one ring.
     """
-    merged = materialise(_pairs(spark, d), "pairs")
-    part = materialise(louvain(merged), "partition")
+    rings = _rings(spark, d)
+    merged, part = rings.pairs, rings.partition
     w = merged.select("customer_id", "account_id", F.col("gross").cast("double").alias("w")).where("w > 0")
     ways = w.select(F.col("customer_id").alias("id"), F.col("account_id").alias("other"), "w").unionByName(
         w.select(F.col("account_id").alias("id"), F.col("customer_id").alias("other"), "w"))
@@ -340,7 +351,7 @@ def fraud_ring_totals(spark, d):
 
 def fraud_rings(spark, d):
     """Ring ledger of the whole table."""
-    return pipelines.fraud_rings(_enriched(spark, d)).communities
+    return _rings(spark, d).communities
 
 
 def fraud_rings_pull(spark, d):
@@ -350,7 +361,7 @@ def fraud_rings_pull(spark, d):
 
 
 def fraud_ring_nodes(spark, d):
-    return pipelines.fraud_rings(_enriched(spark, d)).nodes
+    return _rings(spark, d).nodes
 
 
 def fraud_ring_nodes_check(spark, d):

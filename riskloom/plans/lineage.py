@@ -10,6 +10,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 RUN = uuid.uuid4().hex
+#: How often scratch was cleared; stored results of before are gone.
+clearings = 0
 
 
 @functools.cache
@@ -44,6 +46,8 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes what this driver process stored with ``materialise``; call it when no result is needed any more."""
+    global clearings
+    clearings += 1
     folder = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
