@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom import fixed_values as fixed
 from riskloom.functions import scoring
+from riskloom.plans.lineage import materialise
 from riskloom.plans.skew import HOT_ROWS, hot_keys, lookup
 
 GRAPH_COLUMNS = [
@@ -130,14 +131,15 @@ def links(edges: DataFrame) -> DataFrame:
 def neighbourhood(edges: DataFrame, seeds: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Nodes one or two links away from any seed, as ``id, distance``; seeds have 0.
 
-    ``seeds`` are the user's selection, so the first hop is a filter; the second joins the
-    first ring to the links, around hot nodes.
+    ``seeds`` are the user's selection, so the first hop is a filter, stored as it is small;
+    the second joins it to the links, around those of its nodes that are hot.
     """
     step = links(edges)
     chosen = F.col("id").isin(seeds)
-    first = step.where(chosen).select(F.col("other").alias("id")).distinct()
-    counts = step.groupBy("id").agg(F.count("*").alias("rows"))
-    second = lookup(step, first, "id", hot_keys(counts, "id", hot_rows), "inner", ["other"])
+    first = materialise(step.where(chosen).select(F.col("other").alias("id")).distinct(), "ring")
+    near = step.join(first, "id", "left_semi")
+    counts = near.groupBy("id").agg(F.count("*").alias("rows"))
+    second = lookup(near, first, "id", hot_keys(counts, "id", hot_rows), "inner", ["other"])
     zero = edges.sparkSession.createDataFrame([(s,) for s in seeds], "id string")
     known = step.select("id").where(chosen).distinct()
     reached = (
