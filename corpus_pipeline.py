@@ -20,7 +20,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the fixed rules or the trees reject."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
-    return quality.judge(docs, quality.fit(docs, labels)).where("kept").select(docs.columns)
+    own = {c: f"_own_{c}" for c in docs.columns if c in quality.ADDED}
+    judged = quality.judge(docs.withColumnsRenamed(own), quality.fit(docs, labels)).where("kept")
+    return judged.drop(*quality.ADDED).withColumnsRenamed({v: k for k, v in own.items()}).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +41,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and drops documents to meet the sources' targets; rows stand in the shuffled order of their shards."""
-    keyed = mixing.keyed(docs)
-    made = mixing.plan(materialise(with_words(keyed.select("source", "key", "text")), "sized"))
-    taken = mixing.apply_plan(keyed, made).withColumn("_shard", F.explode("shards"))
-    return taken.repartition("_shard").sortWithinPartitions(
-        "_shard", F.xxhash64(F.lit(mixing.SEED), "_shard", "key")).select(docs.columns)
+    made = mixing.plan(materialise(with_words(mixing.keyed(docs).select("source", "key", "text")), "sized"))
+    # The document travels as one value, so its columns cannot clash with the plan's.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    key = F.xxhash64("doc_id", "text").alias("key")
+    taken = mixing.apply_plan(docs.select(whole, "source", key), made)
+    return taken.withColumn("shard", F.explode("shards")).repartition("shard").sortWithinPartitions(
+        "shard", F.xxhash64(F.lit(mixing.SEED), "shard", "key")).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,7 +91,7 @@ class Plan:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, ...)`` with the ``key`` that decides blocks and order."""
+    """``docs(doc_id, text, ...)`` with the ``key`` that decides blocks and order; it replaces one of that name."""
     return docs.withColumn("key", F.xxhash64("doc_id", "text"))
 
 

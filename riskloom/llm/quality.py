@@ -26,6 +26,8 @@ MIN_WORDS = 50
 MAX_REPEATED = 50
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: Columns that judging adds.
+ADDED = [*COUNTS, "base_failed", "quality_score", "kept"]
 #: What the trees see, and the sign of the constraint: -1 never raises the score as it grows.
 FEATURES = {
     "log_words": 0, "word_length": 0, "symbol_share": -1, "dup_line_share": -1, "repeat_share": -1,
@@ -238,8 +240,7 @@ def judge(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
     added = [StructField(c, LongType()) for c in COUNTS] + [
         StructField("base_failed", BooleanType()), StructField("quality_score", DoubleType()),
         StructField("kept", BooleanType())]
-    names = {f.name for f in added}
-    passed = [f for f in docs.schema.fields if f.name not in names]
+    passed = [f for f in docs.schema.fields if f.name not in ADDED]
     model = vars(trees)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

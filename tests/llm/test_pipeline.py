@@ -3,6 +3,8 @@
 import collections
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from riskloom.llm import mixing, queries
 from riskloom.llm.common import with_words
@@ -62,6 +64,18 @@ def test_stages_take_empty_and_odd_documents(spark):
     assert corpus_pipeline.quality_rules(spark, spark.createDataFrame(odd, schema), SF).count() == 0
 
 
+def test_stages_keep_columns_of_clashing_names(spark):
+    names = ["kept", "key", "size", "shard", "copies", "node", "block", "row", "spans"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(f"own {i}"))
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert {tuple(r[n] for n in names) for r in out.collect()} == {tuple(f"own {i}" for i in range(len(names)))}, name
+
+
 def test_every_operator_is_registered(spark):
     names = list(queries.queries())
     assert names[0] == "pipeline" and [n.split("_")[0] for n in names[1:]] == [f"op{i}" for i in range(1, 11)]
