@@ -480,6 +480,13 @@ FROM (VALUES (0.3::double, 10), (0.3, 500), (0.3, 9), (0.3, 501), (-0.1, 100), (
         "vector_topk": SEARCH,
         "vector_topk_blocked": SEARCH,
         "ivf_topk_all_lists": SEARCH,
+        "ivf_recall": "SELECT 1 AS reached",
+        "list_assignment": """
+SELECT id, cast(list AS int) AS list FROM (
+  SELECT b.vec_id AS id, c.vec_id AS list, row_number() OVER (
+           PARTITION BY b.vec_id ORDER BY 1 - list_cosine_similarity(b.embedding::double[], c.embedding::double[]), c.vec_id) AS place
+  FROM embeddings b JOIN embeddings c ON c.vec_id < 5)
+WHERE place <= 2""",
         "rag_context": found,
         "rag_context_lists": found,
         "route_queries": _with(QUESTIONS, f"SELECT query_id, query, {ROUTE} AS model_class FROM qs"),

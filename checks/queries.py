@@ -422,6 +422,23 @@ def ivf_topk(spark, d):
     return _shown_hits(search.list_search(base, base.withColumnRenamed("id", "query_id")))
 
 
+def list_assignment(spark, d):
+    """The two nearest of five given centroids for every vector."""
+    base = _vectors(spark, d).select(F.col("vec_id").alias("id"), "embedding")
+    centroids = [r["embedding"] for r in base.where("id < 5").orderBy("id").collect()]
+    return search.assign_lists(base, centroids, 2).select("id", "list")
+
+
+def ivf_recall(spark, d):
+    """Whether three of five lists find at least 70 % of the true neighbours."""
+    base = _vectors(spark, d).select(F.col("vec_id").alias("id"), "embedding")
+    queries = base.withColumnRenamed("id", "query_id")
+    found = materialise(search.list_search(base, queries, probes=3).select("query_id", "id"), "found")
+    exact = materialise(search.vector_search(base, queries).select("query_id", "id"), "exact")
+    share = exact.join(found, ["query_id", "id"], "left_semi").count() / max(exact.count(), 1)
+    return spark.createDataFrame([(int(share >= 0.7),)], "reached int")
+
+
 def ivf_topk_all_lists(spark, d):
     """Probing every list is exact."""
     base = _vectors(spark, d).select(F.col("vec_id").alias("id"), "embedding")
@@ -589,7 +606,7 @@ def queries() -> dict:
         nation_rings, fraud_ring_totals, fraud_rings, fraud_rings_pull, fraud_ring_nodes, fraud_ring_nodes_check, corpus_stats,
         document_words, default_chunks, chunks_per_file, document_chunks, chunk_sample, embedded_chunks,
         embed_status, embed_failures, knowledge_base, blank_line_chunks, document_routes, ruled_ledger,
-        refused_bounds, empty_rings, rag_context_lists, vector_topk, vector_topk_blocked, ivf_topk, ivf_topk_all_lists, rag_context,
+        refused_bounds, empty_rings, rag_context_lists, vector_topk, vector_topk_blocked, ivf_topk, list_assignment, ivf_recall, ivf_topk_all_lists, rag_context,
         route_queries, answer_topic, model_class, prompts, write_marts, write_by_month, stored_tables,
         read_text_corpus,
     ]
