@@ -36,6 +36,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 64, 8
 #: Texts whose shingles are handled at once: at most so many shingles, unless one text has more.
 BATCH_SHINGLES, BATCH_TEXTS = 1 << 17, 512
+#: Links in a file of a step that joins them to components.
+FILE_ROWS = 200_000
 #: Further leaders that every unsettled bucket tries.
 TURNS = 1
 #: A bucket with at most so many pairs across components per member is settled by comparing those pairs.
@@ -206,19 +208,21 @@ def components(links: DataFrame) -> DataFrame:
     """``node, component`` of every node of ``links(a, b)``; a component is named after its least node.
 
     Large-star and small-star steps in turn: every step is a join and an aggregation over the
-    links, stored in between, until all links are stars.
+    links, stored in between, until all links are stars. The links never grow in number, so
+    a step writes as many files as their rows need.
     """
     edges = materialise(links.where("a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    files = max(1, -(-edges.count() // FILE_ROWS))
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = materialise(both.join(least, "u").where("v > u").select(
-            F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+            F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(files), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         edges = materialise(large.join(least, "u").where("v <> m").select(
             F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v"))).distinct(), "small")
+            least.select("u", F.col("m").alias("v"))).distinct().coalesce(files), "small")
         # Done when no centre of a star belongs to another star.
         if edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
@@ -273,16 +277,18 @@ def _labelled(docs: DataFrame, bands: int, rows: int, listed: int) -> tuple[Data
     elements = materialise(shingle_table(docs, candidates.select("node").distinct().join(
         texts.select("node", F.col("exact_id").alias("doc_id")), "node")), "shingles")
     none = marks.sparkSession.createDataFrame([], "a binary, b binary, distance double, linked boolean")
-    done, named, level = none, None, 0
+    done, level = none, 0
 
     def compare(pairs: DataFrame) -> None:
-        nonlocal done, named
+        nonlocal done
         new = materialise(compared(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(
             done, ["a", "b"], "left_anti"), elements), "new")
         if not new.isEmpty():
             done = materialise(done.unionByName(new), "compared")
-        if named is None or not new.where("linked").isEmpty():
-            named = materialise(components(done.where("linked").select("a", "b")), "named")
+
+    def join_links() -> DataFrame:
+        found = components(done.where("linked").select("a", "b"))
+        return materialise(found.coalesce(max(1, -(-found.count() // FILE_ROWS))), "named")
 
     while not candidates.isEmpty():
         compare(candidates.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")))
@@ -291,6 +297,7 @@ def _labelled(docs: DataFrame, bands: int, rows: int, listed: int) -> tuple[Data
         candidates = materialise(candidates.withColumns(
             {"low": F.least("node", "leader"), "high": F.greatest("node", "leader")}).join(
             known, ["low", "high"], "left").select("bucket", "node", F.coalesce("distance", F.lit(0.0)).alias("distance")), "measured")
+        named = join_links()
         for turn in range(TURNS):
             rest = _unsettled(candidates, named)
             best = F.min(F.when(F.col("component") == F.col("main"), F.struct(
@@ -298,6 +305,7 @@ def _labelled(docs: DataFrame, bands: int, rows: int, listed: int) -> tuple[Data
             leaders = rest.groupBy("bucket").agg(best.alias("s")).select("bucket", "s.leader")
             compare(rest.where("component <> main").join(leaders, "bucket").select(
                 F.col("node").alias("a"), F.col("leader").alias("b")))
+            named = join_links()
         rest = _unsettled(candidates, named)
         few = F.col("pairs") <= listed * F.col("n")
         left = rest.where(few).select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("distance").alias("da"))
@@ -308,8 +316,7 @@ def _labelled(docs: DataFrame, bands: int, rows: int, listed: int) -> tuple[Data
         many = rest.where(~few).select("bucket", "node")
         candidates = candidates.limit(0) if many.isEmpty() else materialise(
             _crowded(_refined(many, elements, level), level), "candidates")
-    if named is None:
-        named = marks.sparkSession.createDataFrame([], "node binary, component binary")
+    named = join_links()
     label = materialise(texts.select("node", "exact_id", "copies").join(named, "node", "left").withColumn(
         "component", F.coalesce("component", "node")), "labelled")
     return marks.select("doc_id", "node"), label
