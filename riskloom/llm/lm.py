@@ -36,7 +36,7 @@ from riskloom.plans.lineage import materialise
 #: Length of the longest n-gram.
 ORDER = 2
 #: Counts that the shorter history's distribution is worth.
-STRENGTH = 40.0
+STRENGTH = 200.0
 #: Bytes of text of a block, and of all texts per range of hashes and order.
 BLOCK_BYTES, RANGE_BYTES = 4 << 20, 32 << 20
 #: Stands for the end of a text, and before its first word.
