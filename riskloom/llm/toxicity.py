@@ -32,9 +32,9 @@ from riskloom.llm.common import PIECE, buffer_of, in_parts, mix, only, pieces, r
 #: Most labelled rows of either class that a model is fitted on: those with the smallest hashes of their id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2_000, 3_000
 #: Passages of one sampled text that training sees at most, evenly spaced over the text.
-TRAIN_PASSAGES = 20
+TRAIN_PASSAGES = 16
 #: Passages in the first turn of training, which does not know yet which ones matter.
-FIRST_PASSAGES = 6_000
+FIRST_PASSAGES = 5_000
 #: Rows of the embedding table, and their width.
 BUCKETS, SIZE = 1 << 18, 8
 SHORTEST, LONGEST = 3, 6
@@ -115,6 +115,8 @@ def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, Bags]:
     codes, values = pd.factorize(found.hashes)
     first = np.zeros(len(values), np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
+    bounds = found.starts[first], found.ends[first]
+    found.hashes = found.starts = found.ends = values[:0]  # training runs on the driver, where memory is short
     counts = np.bincount(found.docs, minlength=len(texts))
     place = np.arange(len(codes)) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
     step = PASSAGE // 2
@@ -131,7 +133,7 @@ def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, Bags]:
     sizes = np.diff(np.r_[starts, len(ids)])
     docs = np.searchsorted(base, passage[starts], "right") - 1
     lowered = np.where((buffer >= 65) & (buffer <= 90), buffer + 32, buffer).astype(np.uint8)
-    return lowered, found.starts[first], found.ends[first], Bags(ids, starts, sizes, docs)
+    return lowered, *bounds, Bags(ids, starts, sizes, docs)
 
 
 @dataclass
