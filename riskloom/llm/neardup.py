@@ -12,14 +12,16 @@ of all pairs of a bucket, every member is compared with one leader, and what is
 becomes one component. Buckets that still hold several components try other leaders from
 their largest one. What is left is a few texts beside a component, whose pairs are
 compared unless the distances to a leader rule them out, or a bucket of many texts that
-only share a passage, which is split by a further, independent signature and treated
-alike. Copies of one text are one member throughout.
+only share a passage. Those texts meet again by their rarest shingles only, as many as any
+similar text must share one of (prefix filter), and what is left is compared. Copies of one
+text are one member throughout.
 
 With 64 bands of 8 registers a pair at similarity 0.8 shares no band with probability 8e-6.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,7 @@ BANDS, ROWS = 64, 8
 BATCH_SHINGLES, BATCH_TEXTS = 1 << 17, 512
 #: Links in a file of a step that joins them to components.
 FILE_ROWS = 200_000
-#: Further leaders that every unsettled bucket tries.
+#: Further leaders that an unsettled bucket tries, as long as they link anything.
 TURNS = 1
 #: A bucket with at most so many pairs across components per member is settled by comparing those pairs.
 LISTED = 16
@@ -230,28 +232,35 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def _refined(members: DataFrame, elements: DataFrame, level: int) -> DataFrame:
-    """``bucket, node`` after splitting the buckets of ``members`` by another signature."""
-    nodes = elements.join(members.select("node").distinct(), "node", "left_semi")
-    schema = StructType([StructField("node", BinaryType()), StructField("bands", ArrayType(LongType()))])
+def _prefixes(nodes: DataFrame, elements: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """``bucket, node``: the rarest elements of each of ``nodes``, as many as decide.
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sizes = batch["elements"].map(len).to_numpy()
-            flat = np.concatenate([np.asarray(e, np.int64) for e in batch["elements"]] or [np.zeros(0, np.int64)])
-            texts, keys = bands_of(flat.view(np.uint64), np.ones(len(flat), np.int64),
-                                   np.repeat(np.arange(len(batch)), sizes), len(batch), seed=level)
-            yield pd.DataFrame({"node": batch["node"].to_numpy()[texts], "bands": list(keys)})
-
-    again = nodes.mapInPandas(sign, schema).select("node", F.explode("bands").alias("band"))
-    return members.select("bucket", "node").join(again, "node").select(
-        F.xxhash64("bucket", "band").alias("bucket"), "node")
-
-
-def _crowded(members: DataFrame, level: int) -> DataFrame:
+    Of n elements, similar texts share one of the first n - ceil(similar * n) + 1 in any common
+    order, so nothing is lost; with rare elements first, a passage that many texts share is
+    not among them.
+    """
+    own = elements.join(nodes, "node", "left_semi")
+    rows = own.select("node", F.size("elements").alias("n"), F.explode("elements").alias("bucket"))
+    common = rows.groupBy("bucket").agg(F.count("*").alias("texts")).where("texts > 1")
+    shared = rows.join(common, "bucket")
+    by_node = Window.partitionBy("node")
+    # Elements of one text only come first of all, but lead nowhere.
+    alone = F.col("n") - F.count("*").over(by_node)
+    place = F.row_number().over(by_node.orderBy("texts", "bucket"))
+    decide = F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1
+    return shared.withColumns({"place": place, "alone": alone}).where(
+        F.col("place") + F.col("alone") <= decide).select("bucket", "node")
+
+
+def _release(spark) -> None:
+    """Lets Spark drop the shuffle files of plans whose results are stored."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _crowded(members: DataFrame) -> DataFrame:
     """``bucket, node, leader`` of the buckets with several members."""
-    leader = F.min(F.struct(F.xxhash64("node", F.lit(level)).alias("h"), "node"))["node"] if level else F.min("node")
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("n"), leader.alias("leader")).where("n > 1").drop("n")
+    crowded = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1").drop("n")
     return members.join(crowded, "bucket")
 
 
@@ -273,49 +282,73 @@ def _labelled(docs: DataFrame, bands: int, rows: int, listed: int) -> tuple[Data
     texts = materialise(marks.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("exact_id"), F.count("*").alias("copies"), F.min("bands").alias("bands")), "texts")
     members = texts.select("node", F.explode("bands").alias("bucket"))
-    candidates = materialise(_crowded(members, 0), "candidates")
+    candidates = materialise(_crowded(members), "candidates")
     elements = materialise(shingle_table(docs, candidates.select("node").distinct().join(
         texts.select("node", F.col("exact_id").alias("doc_id")), "node")), "shingles")
     none = marks.sparkSession.createDataFrame([], "a binary, b binary, distance double, linked boolean")
-    done, level = none, 0
+    done = none
+    _release(marks.sparkSession)
 
-    def compare(pairs: DataFrame) -> None:
+    def compare(pairs: DataFrame) -> bool:
+        """Compares new pairs; whether any of them is linked."""
         nonlocal done
         new = materialise(compared(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(
             done, ["a", "b"], "left_anti"), elements), "new")
-        if not new.isEmpty():
-            done = materialise(done.unionByName(new), "compared")
+        if new.isEmpty():
+            return False
+        done = materialise(done.unionByName(new), "compared")
+        _release(marks.sparkSession)
+        return not new.where("linked").isEmpty()
 
     def join_links() -> DataFrame:
         found = components(done.where("linked").select("a", "b"))
         return materialise(found.coalesce(max(1, -(-found.count() // FILE_ROWS))), "named")
 
-    while not candidates.isEmpty():
-        compare(candidates.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")))
-        # The distance to the leader bounds that of two members from below, as it is a metric.
-        known = done.select(F.col("a").alias("low"), F.col("b").alias("high"), "distance")
-        candidates = materialise(candidates.withColumns(
-            {"low": F.least("node", "leader"), "high": F.greatest("node", "leader")}).join(
-            known, ["low", "high"], "left").select("bucket", "node", F.coalesce("distance", F.lit(0.0)).alias("distance")), "measured")
-        named = join_links()
+    def other_leaders(members: DataFrame, named: DataFrame) -> DataFrame:
+        """Components after the members outside a bucket's largest one have met leaders from it."""
         for turn in range(TURNS):
-            rest = _unsettled(candidates, named)
+            # Buckets of one component mostly agree on its leader, so a text meets a few new ones a turn.
+            rest = _unsettled(members, named)
             best = F.min(F.when(F.col("component") == F.col("main"), F.struct(
-                F.xxhash64("bucket", "node", F.lit(turn)).alias("h"), F.col("node").alias("leader"))))
+                F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("leader"))))
             leaders = rest.groupBy("bucket").agg(best.alias("s")).select("bucket", "s.leader")
-            compare(rest.where("component <> main").join(leaders, "bucket").select(
-                F.col("node").alias("a"), F.col("leader").alias("b")))
+            if not compare(rest.where("component <> main").join(leaders, "bucket").select(
+                    F.col("node").alias("a"), F.col("leader").alias("b"))):
+                break
             named = join_links()
-        rest = _unsettled(candidates, named)
-        few = F.col("pairs") <= listed * F.col("n")
-        left = rest.where(few).select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("distance").alias("da"))
-        right = rest.where(few).select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("distance").alias("db"))
-        near = F.abs(F.col("da") - F.col("db")) <= 1 - SIMILAR + 1e-9
-        compare(left.join(right, "bucket").where((F.col("ca") < F.col("cb")) & near).select("a", "b"))
-        level += 1
-        many = rest.where(~few).select("bucket", "node")
-        candidates = candidates.limit(0) if many.isEmpty() else materialise(
-            _crowded(_refined(many, elements, level), level), "candidates")
+        return named
+
+    def across(rest: DataFrame, members: DataFrame) -> None:
+        """Compares the members of different components that distances to a leader do not rule out."""
+        shared = members.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+        rest = materialise(rest.select("bucket", "node", "component", "distance").join(
+            rest.select("node").distinct().join(shared, "node"), "node"), "listed")
+        left = rest.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "component", "distance", "buckets")])
+        right = rest.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "distance", "buckets")])
+        near = F.abs(F.col("distance_a") - F.col("distance_b")) <= 1 - SIMILAR + 1e-9
+        # Two texts may share many buckets; the first of them names the pair.
+        first = F.col("bucket") == F.array_min(F.array_intersect("buckets_a", "buckets_b"))
+        compare(left.join(right, "bucket").where((F.col("component_a") < F.col("component_b")) & near & first).select(
+            F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+
+    compare(candidates.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    # The distance to the leader bounds that of two members from below, as it is a metric.
+    known = done.select(F.col("a").alias("low"), F.col("b").alias("high"), "distance")
+    members = materialise(candidates.withColumns(
+        {"low": F.least("node", "leader"), "high": F.greatest("node", "leader")}).join(
+        known, ["low", "high"], "left").select("bucket", "node", F.coalesce("distance", F.lit(0.0)).alias("distance")), "measured")
+    named = other_leaders(members, join_links())
+    rest = _unsettled(members, named)
+    few = F.col("pairs") <= listed * F.col("n")
+    # A pair whose first common bucket is crowded is left to the prefixes.
+    many = materialise(rest.where(~few).select("node").distinct(), "many")
+    across(rest.where(few), members)
+    if not many.isEmpty():
+        named = join_links()
+        members = materialise(_crowded(_prefixes(many, elements)).select(
+            "bucket", "node", F.lit(0.0).alias("distance")), "prefixes")
+        named = other_leaders(members, named)
+        across(_unsettled(members, named), members)
     named = join_links()
     label = materialise(texts.select("node", "exact_id", "copies").join(named, "node", "left").withColumn(
         "component", F.coalesce("component", "node")), "labelled")
