@@ -43,7 +43,7 @@ FILE_ROWS = 200_000
 #: Further leaders that an unsettled bucket tries, as long as they link anything.
 TURNS = 1
 #: A bucket with at most so many pairs across components per member is settled by comparing those pairs.
-LISTED = 16
+LISTED = 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
