@@ -3,10 +3,11 @@
 import collections
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskloom.llm import mixing, queries
+from riskloom.llm import mixing, quality, queries
 from riskloom.llm.common import with_words
 
 SF = "/root/testdata/sf0.001"
@@ -28,9 +29,12 @@ def test_stages_and_run(spark):
     labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     before, after = steps["quality_rules"]
     left = {r.doc_id for r in after}
-    good = [r.doc_id for r in before if labels.get(r.doc_id) and labels[r.doc_id].quality == 1 and len(r.text.split()) >= 50]
+    # The fixed rules reject some texts whatever their label.
+    failed = quality.base_failed(quality.statistics(pa.array([r.text for r in before]))[0])
+    good = [r.doc_id for r, f in zip(before, failed) if not f and labels.get(r.doc_id) and labels[r.doc_id].quality == 1]
     bad = [i for i, r in labels.items() if r.quality == 0]
-    assert sum(i in left for i in good) >= 0.97 * len(good) and sum(i in left for i in bad) <= 0.1 * len(bad)
+    # Eleven bad labels are few to learn from here; the test below has more.
+    assert all(i in left for i in good) and sum(i in left for i in bad) <= 0.3 * len(bad)
     before, after = steps["near_duplicates"]
     words = lambda r: tuple(r.text.lower().split())
     assert len({words(r) for r in after}) == len(after) <= len({words(r) for r in before})
@@ -54,6 +58,15 @@ def test_stages_and_run(spark):
     assert corpus_pipeline.run(spark, SF).count() == len(after)
 
 
+def test_quality_verdicts_follow_the_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    judged = quality.judge(docs, quality.fit(docs, labels)).join(labels, "doc_id").where("NOT base_failed")
+    counts = {(r["quality"], r["kept"]): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+    assert counts[1, True] >= 0.99 * (counts[1, True] + counts.get((1, False), 0))
+    assert counts.get((0, True), 0) <= 0.02 * counts[0, False]
+
+
 def test_stages_take_empty_and_odd_documents(spark):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     odd = [(None, None, None, None, None), (1, "", "en", None, 0), (2, "w " * 60, None, "s", 120), (2, "w " * 60, None, "s", 120)]
