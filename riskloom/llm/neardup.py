@@ -225,8 +225,9 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialise(large.join(least, "u").where("v <> m").select(
             F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))).distinct().coalesce(files), "small")
-        # Done when no centre of a star belongs to another star.
-        if edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        # Done when every node has one centre, and no centre of a star belongs to another star.
+        several = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
+        if several.isEmpty() and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

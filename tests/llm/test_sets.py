@@ -252,6 +252,21 @@ def test_crowded_buckets_are_settled(spark):
         assert [got[i] for i in range(len(texts))] == want
 
 
+def test_components_match_union_find(spark):
+    rng = random.Random(14)
+    path = [(1, 5), (5, 3), (3, 6), (6, 2)]  # after one round no centre is a leaf, but 3 has two centres
+    order = rng.sample(range(30), 30)
+    graphs = [path, list(zip(order, order[1:])), [(10, 11), (12, 10), *path]]
+    graphs += [[tuple(rng.sample(range(25), 2)) for _ in range(20)] for _ in range(2)]
+    for links in graphs:
+        root = {x: x for link in links for x in link}
+        for _ in root:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        got = neardup.components(spark.createDataFrame(links, "a int, b int")).collect()
+        assert sorted((r.node, r.component) for r in got) == sorted(root.items())
+
+
 def test_groups_of_odd_rows(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (5, "a b c d e f"), (6, "x y"), (6, "x y"), (6, "p q r s t u"),
             (None, "only null ids here ok"), (None, None)]
