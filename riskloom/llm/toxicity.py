@@ -8,7 +8,7 @@ and layer are trained together.
 A mean over a whole long text would drown a few insults, so a text is read as overlapping
 passages that cover all of it and is as toxic as its most toxic passage. As labels are per
 text, training alternates between choosing the strongest passages of each text and
-learning from them. The last fifth of the sample is kept out of training and maps the
+learning from them; every passage of a sampled text takes part. The last fifth of the sample is kept out of training and maps the
 strongest passage's logit to the probability of the text.
 
 Once trained, a passage's logit is a mean of one number per word, so scoring computes one
@@ -28,13 +28,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from riskloom.llm.common import PIECE, buffer_of, in_parts, mix, only, pieces, running, words
+from riskloom.plans.lineage import materialise
 
 #: Most labelled rows of either class that a model is fitted on: those with the smallest hashes of their id.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2_000, 3_000
-#: Passages of one sampled text that training sees at most, evenly spaced over the text.
-TRAIN_PASSAGES = 16
-#: Passages in the first turn of training, which does not know yet which ones matter.
-FIRST_PASSAGES = 5_000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 3_000, 5_000
 #: Rows of the embedding table, and their width.
 BUCKETS, SIZE = 1 << 18, 8
 SHORTEST, LONGEST = 3, 6
@@ -116,7 +113,6 @@ def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, Bags]:
     first = np.zeros(len(values), np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
     bounds = found.starts[first], found.ends[first]
-    found.hashes = found.starts = found.ends = values[:0]  # training runs on the driver, where memory is short
     counts = np.bincount(found.docs, minlength=len(texts))
     place = np.arange(len(codes)) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
     step = PASSAGE // 2
@@ -177,9 +173,11 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(passages: pa.Array, text_of: np.ndarray, toxic: np.ndarray, share: float, turns: int = 4,
+def train(found: Bags, grams: np.ndarray, counts: np.ndarray, toxic: np.ndarray, share: float, turns: int = 4,
           epochs: int = 12, rate: float = 0.02, ridge: float = 1e-7, seed: int = 7) -> Model:
-    """Fits a model to passages; ``text_of`` numbers the text of each, ``toxic`` labels the texts.
+    """Fits a model to passages; ``found.docs`` numbers the text of each, ``toxic`` labels the texts.
+
+    ``grams`` are the buckets of all words, one word after the other, and ``counts`` how many each has.
 
     ``share`` is the part of toxic rows in the whole training data, which the probabilities
     follow. Without both classes every text gets that share. Steps are divided by each
@@ -189,32 +187,27 @@ def train(passages: pa.Array, text_of: np.ndarray, toxic: np.ndarray, share: flo
     share = float(np.clip(share, 1e-3, 1 - 1e-3))
     model.offset = float(np.log(share / (1 - share)))
     fit = np.arange(len(toxic)) % 5 != 4
-    if not len(passages) or len(set(toxic[fit].tolist())) < 2:
+    if not len(found.starts) or len(set(toxic[fit].tolist())) < 2:
         return model
     rng = np.random.default_rng(seed)
-    buffer, starts, ends, found = bags(passages)
-    grams, counts = [], []
-    for _, some, each in subwords(buffer, starts, ends):
-        grams.append(some)
-        counts.append(each)
-    grams, counts = np.concatenate(grams), np.concatenate(counts)
     places = np.r_[0, np.cumsum(counts)[:-1]]
-    # Every given passage is one bag here, as it is no longer than a passage.
-    owner = text_of[found.docs]
+    owner = found.docs
     model.output = np.full(SIZE, 1 / np.sqrt(SIZE)) + rng.uniform(-0.05, 0.05, SIZE)
     model.table = np.zeros((BUCKETS, SIZE))
     ids_end = found.starts + found.sizes
 
-    def logits() -> np.ndarray:
-        buckets = model.table @ model.output
-        return found.means(np.add.reduceat(buckets[grams], places) / counts)
+    def word_logits() -> np.ndarray:
+        return np.add.reduceat((model.table @ model.output)[grams], places) / counts
+
+    def by_bucket(words: np.ndarray) -> np.ndarray:
+        return np.bincount(grams, np.repeat(words, counts), BUCKETS)
 
     usable = np.flatnonzero(fit[owner])
     for turn in range(turns):
         if turn == 0:
-            chosen = usable if len(usable) <= FIRST_PASSAGES else np.sort(rng.choice(usable, FIRST_PASSAGES, False))
+            chosen = usable  # it is not known yet which ones matter
         else:
-            strength = logits()[usable]
+            strength = found.means(word_logits())[usable]
             order = usable[np.lexsort((-strength, owner[usable]))]
             rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
             chosen = order[rank < np.where(toxic[owner[order]] > 0, 1, 3)]
@@ -225,18 +218,15 @@ def train(passages: pa.Array, text_of: np.ndarray, toxic: np.ndarray, share: flo
         weight = np.where(target > 0, 0.5 / positive, 0.5 / negative) / per_text[owner[chosen]]
         sizes = found.sizes[chosen]
         ids = found.ids[np.repeat(ids_end[chosen] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())]
-        row = np.repeat(np.arange(len(chosen), dtype=np.int32), sizes)
-        per_word = counts[ids]
-        buckets = grams[np.repeat(places[ids] - np.r_[0, np.cumsum(per_word)[:-1]], per_word) + np.arange(per_word.sum())]
-        value = (1 / np.maximum(found.sizes[chosen], PASSAGE // 2))[row] / per_word
-        value, row = np.repeat(value.astype(np.float32), per_word), np.repeat(row, per_word)
-        curvature = np.bincount(buckets, value * value * weight[row], BUCKETS) + ridge
+        starts = np.cumsum(sizes) - sizes
+        part = 1 / np.maximum(sizes, PASSAGE // 2)
+        # Gradients go from passages to words and from words to buckets, so n-grams are held once a word.
+        curvature = by_bucket(np.bincount(ids, np.repeat(part * part * weight, sizes), len(counts)) / counts ** 2) + ridge
         momentum, momentum_out, momentum_bias = np.zeros((BUCKETS, SIZE)), np.zeros(SIZE), 0.0
         for _ in range(epochs):
-            each = model.table @ model.output
-            z = np.bincount(row, each[buckets] * value, len(chosen)) + model.bias
+            z = np.add.reduceat(word_logits()[ids], starts) * part + model.bias
             error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weight
-            pull = np.bincount(buckets, value * error[row], BUCKETS)
+            pull = by_bucket(np.bincount(ids, np.repeat(part * error, sizes), len(counts)) / counts)
             momentum = 0.9 * momentum + (pull / curvature)[:, None] * model.output
             momentum_out = 0.9 * momentum_out + pull @ model.table
             momentum_bias = 0.9 * momentum_bias + error.sum()
@@ -244,7 +234,7 @@ def train(passages: pa.Array, text_of: np.ndarray, toxic: np.ndarray, share: flo
             model.output -= 0.01 * rate * momentum_out
             model.bias -= 0.2 * momentum_bias
     top = np.full(len(toxic), -np.inf)
-    np.maximum.at(top, owner, logits() + model.bias)
+    np.maximum.at(top, owner, found.means(word_logits()) + model.bias)
     top = np.where(np.isinf(top), model.bias, top)
     kept = ~fit if len(set(toxic[~fit].tolist())) == 2 else fit
     prior = np.where(toxic[kept] > 0, share / max(toxic[kept].mean(), 1e-9),
@@ -266,17 +256,43 @@ def _logistic(x: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[fl
     return slope / spread, float(beta[1]) - slope * centre / spread
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for key, toxic, text in zip(batch["key"], batch["toxic"], batch["text"]):
-            found = (text or "").encode().split()
-            step = PASSAGE // 2
-            parts = range(0, max(len(found) - step, 1), step)
-            if len(parts) > TRAIN_PASSAGES:
-                parts = [parts[i] for i in np.linspace(0, len(parts) - 1, TRAIN_PASSAGES).astype(int)]
-            rows += [(key, toxic, b" ".join(found[i:i + PASSAGE]).decode("utf-8", "replace")) for i in parts]
-        yield pd.DataFrame(rows, columns=["key", "toxic", "passage"])
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each passage as the numbers of its words, and each word of a batch with its n-grams."""
+    schema = pa.schema([("key", pa.int64()), ("toxic", pa.int32()), ("place", pa.int64()),
+                        ("words", pa.list_(pa.int64())), ("grams", pa.list_(pa.int32()))])
+    for batch in in_parts(batches, "text"):
+        buffer, starts, ends, found = bags(batch.column("text"))
+        grams, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for _, some, each in subwords(buffer, starts, ends):
+            grams.append(some)
+            counts.append(each)
+        grams, counts = np.concatenate(grams), np.concatenate(counts)
+        # A word is numbered by its n-grams, as words with the same ones have the same logit.
+        at = np.r_[0, np.cumsum(counts)]
+        total, back = np.zeros(len(counts), np.uint64), np.arange(len(grams)) - np.repeat(at[:-1], counts)
+        if len(counts):
+            total = np.add.reduceat(mix(grams.astype(np.uint64) + mix(back.astype(np.uint64) + np.uint64(1))), at[:-1])
+        number = total.view(np.int64)
+        first = np.r_[True, found.docs[1:] != found.docs[:-1]] if len(found.docs) else np.zeros(0, bool)
+        heads = np.flatnonzero(first)
+        place = np.arange(len(found.docs)) - np.repeat(heads, np.diff(np.r_[heads, len(found.docs)]))
+        owner = pa.array(found.docs)
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.r_[found.starts, len(found.ids)].astype(np.int32)), pa.array(number[found.ids]))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("key").take(owner).cast(pa.int64()), batch.column("toxic").take(owner).cast(pa.int32()),
+             pa.array(place, pa.int64()), lists, pa.nulls(len(place), pa.list_(pa.int32()))], schema=schema)
+        blank = pa.array(np.setdiff1d(np.arange(batch.num_rows), found.docs))  # no passage, but a label
+        n = len(blank)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("key").take(blank).cast(pa.int64()), batch.column("toxic").take(blank).cast(pa.int32()),
+             pa.array(np.zeros(n, np.int64)), pa.array([[]] * n, pa.list_(pa.int64())),
+             pa.nulls(n, pa.list_(pa.int32()))], schema=schema)
+        alone = pa.ListArray.from_arrays(pa.array(np.arange(len(number) + 1, dtype=np.int32)), pa.array(number))
+        each = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(grams))
+        n = len(number)
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), alone, each], schema=schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None) -> Model:
@@ -284,8 +300,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None) ->
 
     ``learnable`` limits the label rows that are used. At most ``SAMPLE_TOXIC`` and
     ``SAMPLE_CLEAN`` ids are taken, by hash of the id; an id with several labels counts as
-    toxic if any says so; null ids and labels are left out. Passages of the sample, at most
-    ``TRAIN_PASSAGES`` a text, come to the driver.
+    toxic if any says so; null ids and labels are left out. All passages of the sample come to
+    the driver, as numbers of words, and the n-grams of every word once.
     """
     rows = only(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     if learnable is not None:
@@ -296,13 +312,24 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None) ->
     sample = marked.where("toxic = 1").orderBy(key, "doc_id").limit(SAMPLE_TOXIC).unionByName(
         marked.where("toxic = 0").orderBy(key, "doc_id").limit(SAMPLE_CLEAN))
     texts = only(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id")
-    got = texts.select(key.alias("key"), "toxic", "text").mapInPandas(
-        _cut, "key bigint, toxic int, passage string").toPandas()
-    got = got.sort_values(["key", "passage"], kind="stable")
-    text_of, keys = pd.factorize(got["key"])
-    toxic = got.groupby(text_of)["toxic"].max().to_numpy() if len(got) else np.zeros(0, int)
+    found = materialise(texts.select(key.alias("key"), "toxic", "text").mapInArrow(
+        _passages, "key bigint, toxic int, place bigint, words array<bigint>, grams array<int>"), "passages")
+    got = found.where("key IS NOT NULL").select("key", "toxic", "place", "words").orderBy(
+        "key", "place", "words").toArrow().combine_chunks()
+    known = found.where("key IS NULL").select(F.col("words")[0].alias("word"), "grams").dropDuplicates(
+        ["word"]).orderBy("word").toArrow().combine_chunks()
+    listed = lambda column: column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    passages, grams = listed(got["words"]), listed(known["grams"])
+    text_of, keys = pd.factorize(got["key"].to_numpy())
+    toxic = np.zeros(len(keys), np.int64)
+    np.maximum.at(toxic, text_of, got["toxic"].to_numpy())
+    counts = grams.value_lengths().to_numpy().astype(np.int64)
+    sizes_of = passages.value_lengths().to_numpy().astype(np.int64)
+    ids = np.searchsorted(known["word"].to_numpy(), passages.flatten().to_numpy()).astype(np.int32)
+    some = sizes_of > 0
+    bag = Bags(ids, (np.cumsum(sizes_of) - sizes_of)[some], sizes_of[some], text_of[some])
     share = sizes.get(1, 0) / max(sum(sizes.values()), 1)
-    return train(pa.array(got["passage"], pa.large_string()), text_of, toxic, share)
+    return train(bag, grams.flatten().to_numpy(), counts, toxic, share)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

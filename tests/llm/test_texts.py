@@ -171,6 +171,26 @@ def test_toxicity_generalises_and_reads_misspellings(spark):
     assert got[1] > 0.5 > got[2] and got[3] == got[4] and all(0 <= v <= 1 for v in got.values())
 
 
+def test_toxicity_learns_from_every_passage(spark):
+    # Insults stand where 16 evenly spaced ones of the 99 passages of a text miss them.
+    rng = random.Random(5)
+    read = {w for i in np.linspace(0, 98, 16).astype(int) for w in range(30 * i, 30 * i + 60)}
+    missed = sorted(set(range(3000)) - read)
+    vocabulary = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
+    rows = []
+    for i in range(120):
+        words = [rng.choice(vocabulary) for _ in range(3000)]
+        for at in rng.sample(missed, 40) if i % 2 else []:
+            words[at] = "grumbold"
+        rows.append((i, " ".join(words), i % 2))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels, learnable=F.col("doc_id") % 6 > 1)
+    scored = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    held = [(scored[i] >= 0.5) == bool(x) for i, _, x in rows if i % 6 <= 1]
+    assert sum(held) >= 0.9 * len(held)
+
+
 def test_toxicity_without_labels_or_with_one_class(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None), (None, "c")], "doc_id bigint, text string")
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id bigint, toxic int")
