@@ -33,3 +33,11 @@ def test_list_search_recall(spark):
     near = {(r["query_id"], r["id"]) for r in queries["ivf_topk"](spark, SMALL).collect()}
     exact = {(r["query_id"], r["id"]) for r in queries["vector_topk"](spark, SMALL).collect()}
     assert len(near & exact) / len(exact) > 0.6
+
+
+def test_default_probes_find_nine_of_ten(spark):
+    queries = contract.queries()
+    near = {(r["query_id"], r["id"]) for r in queries["ivf_topk"](spark, SMALL).collect()}
+    exact = {(r["query_id"], r["id"]) for r in queries["vector_topk"](spark, SMALL).collect()}
+    assert len(near & exact) / len(exact) >= 0.9
+    assert queries["ivf_recall"](spark, SMALL).first()["reached"] == 1
