@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from riskloom.llm import lm, mixing, neardup, packing, quality, secrets, sharding, topk, toxicity, warc
+from riskloom.llm import lm, mixing, neardup, packing, quality, repeats, secrets, sharding, topk, toxicity, warc
 from riskloom.llm.common import held_out, only, with_words
 from riskloom.plans.lineage import materialise
 
@@ -69,9 +69,14 @@ def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality.judge(only(docs, "doc_id", "text"), trees).drop("text")
 
 
+def op11_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, d, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_toxicity, op4_warc, op5_packing, op6_sharding, op7_top_k,
-        op8_bagminhash, op9_mixing, op10_quality_rules)}
+        op8_bagminhash, op9_mixing, op10_quality_rules, op11_substring_dedup)}
 
 
 OP4 = """
@@ -113,7 +118,25 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 10
 """
 
+OP11 = r"""
+WITH texts AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM texts),
+windows AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS k FROM starts),
+later AS (
+    SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM windows)
+    WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM later),
+kept AS (
+    SELECT t.doc_id, count(*) AS n, string_agg(t.word, ' ' ORDER BY t.p) AS kept
+    FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM texts) t
+    ANTI JOIN gone g ON g.doc_id = t.doc_id AND g.p = t.p GROUP BY t.doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     piped = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return piped | {"op4_warc": OP4, "op6_sharding": OP6, "op7_top_k": OP7}
+    return piped | {"op4_warc": OP4, "op6_sharding": OP6, "op7_top_k": OP7, "op11_substring_dedup": OP11}
