@@ -223,3 +223,13 @@ def in_parts(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20)
         _, offsets = buffer_of(batch.column(text))
         for first, last in pieces(offsets, limit):
             yield batch.slice(first, last - first)
+
+
+#: Letters and digits of ASCII and every byte of other characters: what a search term consists of.
+IS_TERM = np.zeros(256, bool)
+IS_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def terms(buffer: np.ndarray, offsets: np.ndarray) -> Spans:
+    """Every maximal run of ASCII letters, digits and other characters beyond ASCII, hashed with A-Z as a-z."""
+    return _runs(buffer, offsets, _BYTE[_LOWER], lambda part: IS_TERM[part])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from riskloom.llm import lm, mixing, neardup, packing, quality, repeats, secrets, sharding, topk, toxicity, warc
+from riskloom.llm import lexical, lm, mixing, neardup, packing, quality, repeats, secrets, sharding, topk, toxicity, warc
 from riskloom.llm.common import held_out, only, with_words
 from riskloom.plans.lineage import materialise
 
@@ -74,9 +74,14 @@ def op11_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_fp_tree_search(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.rank_documents(_table(spark, d, "documents"), _table(spark, d, "benchmark"), 20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_toxicity, op4_warc, op5_packing, op6_sharding, op7_top_k,
-        op8_bagminhash, op9_mixing, op10_quality_rules, op11_substring_dedup)}
+        op8_bagminhash, op9_mixing, op10_quality_rules, op11_substring_dedup,
+        op12_fp_tree_search)}
 
 
 OP4 = """
@@ -136,7 +141,34 @@ SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM texts t LEFT JOIN kept k USING (doc_id)
 """
 
+OP12 = r"""
+WITH words AS (
+    SELECT doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents),
+asked AS (
+    SELECT item_id, term, count(*) AS repeats
+    FROM (SELECT item_id, unnest(regexp_extract_all(
+              translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+    GROUP BY ALL),
+lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY ALL),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS total FROM lengths),
+measured AS (SELECT doc_id, 75 + (25 * n * docs) // total AS m FROM lengths, totals),
+counted AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weighed AS (
+    SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM counted, totals GROUP BY term, docs),
+scored AS (
+    SELECT item_id, doc_id, CAST(sum(w * repeats * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+    FROM asked JOIN counted USING (term) JOIN weighed USING (term) JOIN measured USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 20
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     piped = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return piped | {"op4_warc": OP4, "op6_sharding": OP6, "op7_top_k": OP7, "op11_substring_dedup": OP11}
+    return piped | {"op4_warc": OP4, "op6_sharding": OP6, "op7_top_k": OP7, "op11_substring_dedup": OP11, "op12_fp_tree_search": OP12}
