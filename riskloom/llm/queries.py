@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from riskloom.llm import lexical, lm, mixing, neardup, packing, quality, repeats, secrets, sharding, topk, toxicity, warc
+from riskloom.llm import lexical, lm, mixing, neardup, negatives, packing, quality, repeats, secrets, sharding, topk, toxicity, warc
 from riskloom.llm.common import held_out, only, with_words
 from riskloom.plans.lineage import materialise
 
@@ -78,10 +78,15 @@ def op12_fp_tree_search(spark: SparkSession, d: str) -> DataFrame:
     return lexical.rank_documents(_table(spark, d, "documents"), _table(spark, d, "benchmark"), 20)
 
 
+def op13_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    noisy = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.integers(_table(spark, d, "embeddings"), 256, noisy), F.col("id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_lm_score, op2_secret_scan, op3_toxicity, op4_warc, op5_packing, op6_sharding, op7_top_k,
         op8_bagminhash, op9_mixing, op10_quality_rules, op11_substring_dedup,
-        op12_fp_tree_search)}
+        op12_fp_tree_search, op13_hard_negatives)}
 
 
 OP4 = """
@@ -168,7 +173,28 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 WHERE rank <= 20
 """
 
+OP13 = """
+WITH usable AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+    FROM usable a JOIN usable r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same
+     AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     piped = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return piped | {"op4_warc": OP4, "op6_sharding": OP6, "op7_top_k": OP7, "op11_substring_dedup": OP11, "op12_fp_tree_search": OP12}
+    return piped | {"op4_warc": OP4, "op6_sharding": OP6, "op7_top_k": OP7, "op11_substring_dedup": OP11, "op12_fp_tree_search": OP12,
+                    "op13_hard_negatives": OP13}
