@@ -7,36 +7,33 @@ reached or nothing survives. Below the wanted length it is enough to look up one
 each run of twice the length: the one with the smallest hash, which equal runs choose alike
 (about two of twelve windows at ten words). At the wanted length every candidate counts.
 
-Slices of text deal their window hashes out to cells of the hash space, one entry per
-distinct hash and slice, so a passage that a third of all documents share is one entry per
-slice; the further places in the slice need no lookup. A cell answers with places per
-document, and the answers are joined to the texts. The texts are shuffled once and that
-exchange serves all levels.
+Texts are dealt to buckets of bounded size by one exchange, which all levels reuse. A bucket
+sends its window hashes to cells of the hash space, one entry per distinct hash, so a passage
+that a third of all documents share is one entry per bucket; its other places need no
+lookup. A cell answers each bucket with the places it wants to know about, in short form, so
+what travels is in proportion to the windows, whatever their number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import (ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType)
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from riskloom.llm.common import Spans, buffer_of, in_parts, mix, only, words
+from riskloom.llm.common import Spans, buffer_of, mix, only, words
 
 #: Words of a window, and of the windows of the first level (fixed values of the registered query).
 LENGTH, FIRST = 20, 10
-#: Bytes of text whose windows one cell of the hash space holds, all entries counted.
-CELL_BYTES = 16 << 20
+#: Bytes of text of a bucket, and of the text whose windows one cell of the hash space holds.
+BUCKET_BYTES, CELL_BYTES = 4 << 20, 16 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
-KEY = [StructField("id", LongType()), StructField("print", LongType())]
-ENTRIES = StructType([StructField("cell", IntegerType()), *[
-    StructField(c, BinaryType()) for c in ("ids", "prints", "counts", "places", "hashes")]])
-ANSWERS = StructType([*KEY, StructField("places", BinaryType())])
+ENTRIES = StructType([StructField("cell", IntegerType()), StructField("bucket", IntegerType()), *[
+    StructField(c, BinaryType()) for c in ("ids", "counts", "places", "hashes")]])
+ANSWERS = StructType([StructField("bucket", IntegerType()), StructField("places", BinaryType())])
 CLEANED = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType()),
            StructField("removed", ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))]
 
@@ -104,36 +101,25 @@ def looked_up(found: Spans, size: int, length: int, survived: np.ndarray | None)
     return own, wanted
 
 
-def encode(places: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted ``places`` of several documents in short: a run of c > 1 places from p on is ``p, -c``.
+def encode(places: np.ndarray) -> bytes:
+    """Ascending ``places`` in short: a run of c > 1 places from p on is ``p, -c``."""
+    at = np.flatnonzero(np.r_[True, places[1:] != places[:-1] + 1]) if len(places) else np.zeros(0, np.int64)
+    runs = np.diff(np.r_[at, len(places)])
+    ends = np.cumsum(np.where(runs > 1, 2, 1))
+    out = np.empty(ends[-1] if len(ends) else 0, np.int32)
+    out[ends - np.where(runs > 1, 2, 1)] = places[at]
+    out[ends[runs > 1] - 1] = -runs[runs > 1]
+    return out.tobytes()
 
-    ``starts`` are where each document begins; returns the numbers, and where each begins there.
-    """
-    n = len(places)
-    new = np.ones(n, bool)
-    new[1:] = places[1:] != places[:-1] + 1
-    new[starts[starts < n]] = True
-    at = np.flatnonzero(new)
-    runs = np.diff(np.r_[at, n])
-    width = np.where(runs > 1, 2, 1)
-    ends = np.cumsum(width)
-    out = np.empty(ends[-1] if n else 0, np.int32)
-    out[ends - width] = places[at]
-    long = runs > 1
-    out[ends[long] - 1] = -runs[long]
-    begins = np.r_[0, ends][np.searchsorted(at, starts)]
-    return out, begins
-
-
-def decode(numbers: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of ``encode`` and their documents."""
+
+def decode(data: bytes) -> np.ndarray:
+    """The places of ``encode``."""
+    numbers = np.frombuffer(data, np.int32).astype(np.int64)
     at = np.flatnonzero(numbers >= 0)
+    follows = np.r_[numbers, 0][at + 1] < 0
     runs = np.ones(len(at), np.int64)
-    follows = np.r_[numbers, 0][at + 1] < 0 if len(at) else np.zeros(0, bool)
     runs[follows] = -numbers[at[follows] + 1]
-    before = np.cumsum(runs) - runs
-    places = np.repeat(numbers[at].astype(np.int64) - before, runs) + np.arange(runs.sum())
-    return places, np.repeat(docs[at], runs)
+    return np.repeat(numbers[at] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
 
 
 def _groups(keys: np.ndarray) -> np.ndarray:
@@ -141,20 +127,6 @@ def _groups(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
 
 
-def _slices(data: np.ndarray, begins: np.ndarray) -> list[bytes]:
-    raw, size = np.ascontiguousarray(data).tobytes(), data.dtype.itemsize
-    ends = np.r_[begins[1:], len(data)]
-    return [raw[a * size:b * size] for a, b in zip(begins, ends)]
-
-
-def _by_document(docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each document that has places, its places in short, and where they begin."""
-    order = np.lexsort((places, docs))
-    docs, places = docs[order], places[order]
-    starts = _groups(docs)
-    return docs[starts], *encode(places, starts)
-
-
 def _later(hashes: np.ndarray, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Entries whose hash also stands earlier: at a smaller id, or a smaller place of the same id."""
     order = np.lexsort((places, ids, hashes))
@@ -166,130 +138,123 @@ def _later(hashes: np.ndarray, ids: np.ndarray, places: np.ndarray) -> np.ndarra
     return out
 
 
-def _deal(rows: DataFrame, size: int, length: int, cells: int, known: bool) -> DataFrame:
-    """Entries of every slice for each cell; places that the slice itself settles go in cells below zero."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_parts(batches, "text"):
-            found = words(*buffer_of(batch.column("text")), lower=False)
-            first = np.searchsorted(found.docs, np.arange(batch.num_rows))
-            survived = None
-            if known:
-                survived = np.zeros(len(found.docs), bool)
-                places, docs = _places(batch.column("places"))
-                survived[first[docs] + places] = True
-            own, wanted = looked_up(found, size, length, survived)
-            at = np.flatnonzero(wanted)
-            if not len(at):
-                continue
-            ids, prints = (batch.column(c).to_numpy() for c in ("id", "print"))
-            h, docs = own[at], found.docs[at]
-            places = at - first[docs]
-            if size == length:
-                settled = _later(h, ids[docs], places)
-                sent = ~settled
-            else:
-                order = np.argsort(h, kind="stable")
-                starts = _groups(h[order])
-                sent = np.zeros(len(h), bool)
-                sent[order[starts]] = True
-                settled = np.empty(len(h), bool)
-                runs = np.diff(np.r_[starts, len(h)])
-                settled[order] = np.repeat(runs > 1, runs)
-            yield from _entries(ids, prints, docs[sent], places[sent], h[sent], cells)
-            if settled.any():
-                own, numbers, begins = _by_document(docs[settled], places[settled])
-                counts = np.diff(np.r_[begins, len(numbers)]).astype(np.int32)
-                cell = -1 - int(mix(h[:1])[0] % np.uint64(cells))
-                yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), *[
-                    pa.array([x.tobytes()], pa.binary()) for x in (ids[own], prints[own], counts, numbers, h[:0])]], ENTRIES.names)
-
-    return rows.mapInArrow(deal, ENTRIES)
-
-
-def _entries(ids: np.ndarray, prints: np.ndarray, docs: np.ndarray, places: np.ndarray, hashes: np.ndarray,
-             cells: int) -> Iterator[pa.RecordBatch]:
-    if not len(hashes):
-        return
+def _repeated(hashes: np.ndarray) -> np.ndarray:
+    """Entries whose hash occurs more than once."""
+    order = np.argsort(hashes, kind="stable")
+    starts = _groups(hashes[order])
+    runs = np.diff(np.r_[starts, len(hashes)])
+    out = np.empty(len(hashes), bool)
+    out[order] = np.repeat(runs > 1, runs)
+    return out
+
+
+def _texts(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, Spans]:
+    """The rows of a bucket in their order by id and text, the bytes and bounds of the texts, and their words."""
+    rows = rows.take(pa.array(np.lexsort((rows.column("print").to_numpy(), rows.column("id").to_numpy()))))
+    texts = rows.column("text").cast(pa.large_string()).combine_chunks()
+    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+    buffer, offsets = buffer_of(texts)
+    return rows, buffer, offsets, words(buffer, offsets, lower=False)
+
+
+def _told(answers: pa.Table, n: int) -> np.ndarray:
+    """Which of the ``n`` words of a bucket its answers name."""
+    out = np.zeros(n, bool)
+    for data in answers.column("places").to_pylist():
+        out[decode(data)] = True
+    return out
+
+
+def _entries(rows: pa.Table, answers: pa.Table | None, size: int, length: int, cells: int) -> pa.Table:
+    """What a bucket sends to the cells at one level; the places that it settles itself go in a cell below zero."""
+    rows, _, _, found = _texts(rows)
+    own, wanted = looked_up(found, size, length, None if answers is None else _told(answers, len(found.docs)))
+    at = np.flatnonzero(wanted)
+    ids, hashes, docs = rows.column("id").to_numpy(), own[at], found.docs[at]
+    if size == length:
+        place = at - np.searchsorted(found.docs, docs)
+        settled = _later(hashes, ids[docs], place)
+        sent = ~settled
+    else:
+        settled = _repeated(hashes)
+        sent = np.zeros(len(at), bool)
+        sent[np.unique(hashes, return_index=True)[1]] = True
+    bucket = rows.column("bucket")[0].as_py() if rows.num_rows else 0
+    none = np.zeros(0, np.int64)
+    out = [(-1 - bucket % cells, none, none, encode(at[settled]), none)] if settled.any() else []
+    at, hashes, docs = at[sent], hashes[sent], docs[sent]
     cell = ((hashes >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int32)
-    order = np.lexsort((places, docs, cell))
-    cell, docs, places, hashes = cell[order], docs[order], places[order], hashes[order]
-    pairs = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (docs[1:] != docs[:-1])])
-    counts = np.diff(np.r_[pairs, len(cell)]).astype(np.int32)
-    by_cell = _groups(cell[pairs])
-    entry = pairs[by_cell]
-    yield pa.RecordBatch.from_arrays([
-        pa.array(cell[entry]), *[pa.array(_slices(x, by_cell), pa.binary()) for x in (
-            ids[docs[pairs]], prints[docs[pairs]], counts)],
-        pa.array(_slices(places.astype(np.int32), entry), pa.binary()),
-        pa.array(_slices(hashes, entry), pa.binary())], ENTRIES.names)
+    order = np.argsort(cell, kind="stable")
+    for part in np.split(order, _groups(cell[order])[1:]):
+        if not len(part):
+            continue
+        # Places in the document are needed to see which of two windows is earlier, so each document's first word comes along.
+        new = _groups(docs[part])
+        first = np.searchsorted(found.docs, docs[part][new])
+        out.append((int(cell[part[0]]), np.c_[ids[docs[part][new]], first], np.diff(np.r_[new, len(part)]),
+                    at[part].astype(np.int32).tobytes(), hashes[part]))
+    return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([bucket] * len(out), pa.int32()), *[
+        pa.array([x[i] if isinstance(x[i], bytes) else x[i].tobytes() for x in out], pa.binary()) for i in (1, 2, 3, 4)]],
+        names=ENTRIES.names)
 
 
 def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
 
 
-def _settle(last: bool):
-    def settle(table: pa.Table) -> pa.Table:
-        ids, prints = _joined(table, "ids", np.int64), _joined(table, "prints", np.int64)
-        counts, places = _joined(table, "counts", np.int32), _joined(table, "places", np.int32)
-        docs = np.repeat(np.arange(len(ids)), counts)
-        if table.column("cell")[0].as_py() < 0:  # settled by the slice, and already in short
-            begins = np.cumsum(counts) - counts
-            return pa.table({"id": ids, "print": prints, "places": pa.array(_slices(places, begins), pa.binary())})
-        hashes = _joined(table, "hashes", np.uint64)
-        if last:
-            found = _later(hashes, ids[docs], places)
-        else:
-            order = np.argsort(hashes, kind="stable")
-            starts = _groups(hashes[order])
-            runs = np.diff(np.r_[starts, len(hashes)])
-            found = np.empty(len(hashes), bool)
-            found[order] = np.repeat(runs > 1, runs)
-        own, numbers, begins = _by_document(docs[found], places[found])
-        return pa.table({"id": ids[own], "print": prints[own], "places": pa.array(_slices(numbers, begins), pa.binary())})
-
-    return settle
-
-
-def _places(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Places and row numbers of a column of lists of encoded places."""
-    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    parts = lists.flatten().cast(pa.large_binary())
-    if not len(parts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bounds = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset:parts.offset + len(parts) + 1]
-    numbers = np.frombuffer(parts.buffers()[2], np.uint8)[bounds[0]:bounds[-1]].tobytes()
-    row = np.repeat(np.arange(len(lists)), lengths)
-    return decode(np.frombuffer(numbers, np.int32), np.repeat(row, np.diff(bounds) // 4))
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id, id, print, text``: the id with nulls last, and a hash that tells rows of one id apart."""
+def _settle(table: pa.Table, last: bool) -> pa.Table:
+    """Answers of a cell: the places of windows that also stand elsewhere, at the last level earlier."""
+    if table.column("cell")[0].as_py() < 0:
+        return table.select(ANSWERS.names)
+    hashes, places = _joined(table, "hashes", np.uint64), _joined(table, "places", np.int32)
+    if last:
+        texts = _joined(table, "ids", np.int64).reshape(-1, 2)[np.repeat(
+            np.arange(sum(len(x) // 16 for x in table.column("ids").to_pylist())), _joined(table, "counts", np.int64))]
+        found = _later(hashes, texts[:, 0], places - texts[:, 1])
+    else:
+        found = _repeated(hashes)
+    bounds = np.cumsum([0, *(len(x) // 8 for x in table.column("hashes").to_pylist())])
+    own = [np.sort(places[a:b][found[a:b]]) for a, b in zip(bounds, bounds[1:])]
+    rows = [i for i, x in enumerate(own) if len(x)]
+    return pa.table([table.column("bucket").take(pa.array(rows, pa.int64())), pa.array([encode(own[i]) for i in rows], pa.binary())],
+                    names=ANSWERS.names)
+
+
+def _dealt(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``doc_id, id, print, text, bucket`` in one exchange, and the number of cells.
+
+    ``id`` has nulls last, and ``print`` tells rows of one id apart.
+    """
     slim = only(docs, "doc_id", "text")
-    return slim.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("id"),
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = slim.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("id"),
                        F.xxhash64("text").alias("print"), "text")
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("id", "print"), F.lit(buckets)).cast("int")), max(1, -(-size // CELL_BYTES))
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, first: int = FIRST) -> DataFrame:
-    """``id, print, places``: of every text the words where a window begins that also stands earlier.
+def _later_windows(rows: DataFrame, cells: int, length: int, first: int) -> DataFrame:
+    """``bucket, places``: the words of each bucket where a window begins that also stands earlier."""
+    def level(size: int, answers: DataFrame | None) -> DataFrame:
+        def deal(own: pa.Table) -> pa.Table:
+            return _entries(own, None, size, length, cells)
 
-    ``length`` must be ``first`` doubled some times. ``places`` is a list of numbers in
-    short form, see ``encode``. Earlier means a smaller id, or the same id and a smaller
-    place. Null ids come after all others and count as one id.
-    """
-    rows = _keyed(docs)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = max(1, -(-size // CELL_BYTES))
-    level, at = first, rows
-    while True:
-        answers = _deal(at, level, length, cells, known=level > first).groupBy("cell").applyInArrow(
-            _settle(level == length), ANSWERS)
-        found = answers.groupBy("id", "print").agg(F.collect_list("places").alias("places"))
-        if level == length:
-            return found
-        at = rows.join(found, ["id", "print"], "inner").select("doc_id", "id", "print", "text", "places")
-        level *= 2
+        def deal_survivors(own: pa.Table, told: pa.Table) -> pa.Table:
+            return _entries(own if told.num_rows else own.slice(0, 0), told, size, length, cells)
+
+        def settle(entries: pa.Table) -> pa.Table:
+            return _settle(entries, size == length)
+
+        texts = rows.groupBy("bucket")
+        dealt = texts.applyInArrow(deal, ENTRIES) if answers is None else texts.cogroup(
+            answers.groupBy("bucket")).applyInArrow(deal_survivors, ENTRIES)
+        return dealt.groupBy("cell").applyInArrow(settle, ANSWERS)
+
+    size, answers = first, level(first, None)
+    while size < length:
+        size *= 2
+        answers = level(size, answers)
+    return answers
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, first: int = FIRST) -> DataFrame:
@@ -298,35 +263,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, first: int = FIRST) ->
     Each word goes that lies in a window of ``length`` words whose sequence also starts
     earlier: in a document of smaller id, or earlier in the same one. Windows are judged on
     the input, so the first occurrence of a passage stays whole. ``kept`` are the words that
-    stay, joined by one space, and ``removed`` the spans of removed words.
+    stay, joined by one space, and ``removed`` the spans of removed words. ``length`` must be
+    ``first``, the size of the windows of the first level, doubled some times.
 
     Null and empty texts have no words, and texts below ``length`` words lose none. Null ids
     come after all others and count as one id. Rows of one id are one document: equal places
     of theirs are not earlier than each other, so rows that repeat a whole row lose the same
     words. Other columns are ignored. An empty table gives an empty result.
     """
-    rows = _keyed(docs)
+    rows, cells = _dealt(docs)
     schema = StructType([rows.schema["doc_id"], *CLEANED])
-    joined = rows.join(repeated(docs, length, first), ["id", "print"], "left").select(
-        "doc_id", "id", "print", "text", "places")
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_parts(batches, "text"):
-            n = batch.num_rows
-            buffer, offsets = buffer_of(batch.column("text"))
-            found = words(buffer, offsets, lower=False)
-            bounds = np.searchsorted(found.docs, np.arange(n + 1))
-            places, docs = _places(batch.column("places"))
-            change = np.zeros(len(found.docs) + 1, np.int64)
-            np.add.at(change, bounds[docs] + places, 1)
-            np.add.at(change, bounds[docs] + places + length, -1)
-            gone = np.cumsum(change[:-1]) > 0
-            removed = np.bincount(found.docs[gone], minlength=n)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(removed),
-                 _kept(buffer, found, ~gone, n), _spans(found, gone, bounds, n)], schema.names)
-
-    return joined.mapInArrow(clean, schema)
+
+    def clean(own: pa.Table, answers: pa.Table) -> pa.Table:
+        own, buffer, offsets, found = _texts(own)
+        n = own.num_rows
+        bounds = np.searchsorted(found.docs, np.arange(n + 1))
+        places = np.flatnonzero(_told(answers, len(found.docs)))
+        change = np.zeros(len(found.docs) + 1, np.int64)
+        change[places] += 1
+        change[places + length] -= 1
+        gone = np.cumsum(change[:-1]) > 0
+        return pa.Table.from_arrays(
+            [own.column("doc_id"), pa.array(np.diff(bounds)), pa.array(np.bincount(found.docs[gone], minlength=n)),
+             _kept(buffer, found, ~gone, n), _spans(found, gone, bounds, n)], schema.names)
+
+    return rows.groupBy("bucket").cogroup(_later_windows(rows, cells, length, first).groupBy("bucket")).applyInArrow(clean, schema)
 
 
 def _kept(buffer: np.ndarray, found: Spans, keep: np.ndarray, n: int) -> pa.Array:
