@@ -69,6 +69,9 @@ part AS (
   SELECT id, cast(regexp_extract(min(other), '(\\d+)$', 1) AS bigint) % 7 AS community FROM ends GROUP BY id)"""
 
 
+UNKNOWN = ENRICHED + """,
+gaps AS (SELECT * REPLACE (CASE WHEN transaction_type <> '1-URGENT' THEN risk_score END AS risk_score,
+                           CASE WHEN country <> 'FRANCE' THEN volatility_index END AS volatility_index) FROM e)"""
 SUSPICIOUS = ENRICHED + ",\ns AS (SELECT * FROM e WHERE risk_score >= 0.2)," + _pairs("s")
 PULL = "g AS (SELECT * FROM e WHERE risk_score >= 0.2 ORDER BY risk_score DESC, transaction_id LIMIT 300)"
 PAGE = "g AS (SELECT * FROM e WHERE risk_score >= 0.2 ORDER BY risk_score DESC, transaction_id LIMIT 150)"
@@ -344,6 +347,10 @@ SELECT transaction_id, timestamp, account_id, {_dollars('amount', 2)} AS amount,
        printf('%.2f', volatility_index) AS volatility_index, printf('%.4f', risk_score) AS risk_score FROM top"""),
         "critical_ledger": _with(ENRICHED + "," + TOP, _critical("top")),
         "critical_ledger_all": _with(ENRICHED, _critical("e")),
+        "ledger_with_unknowns": _with(UNKNOWN, _critical("gaps")),
+        "compact_ledger_with_unknowns": _with(UNKNOWN, f"""
+SELECT transaction_id, timestamp, account_id, {_dollars('amount', 2)} AS amount, transaction_type, country,
+       printf('%.2f', volatility_index) AS volatility_index, printf('%.4f', risk_score) AS risk_score FROM gaps"""),
         "event_channels": f"""
 SELECT event_type, count(*) AS n, {_rules('event_type', fixed.CHANNEL_RULES, fixed.CHANNEL_DEFAULT)} AS channel
 FROM events GROUP BY event_type""",
@@ -416,13 +423,20 @@ SELECT {SHOWN_EDGES} FROM ed WHERE "from" IN (FROM sel) AND "to" IN (FROM sel)""
         "cross_ring_edges": _with(SUSPICIOUS, f"""
 SELECT {SHOWN_EDGES}, f.community AS from_community, t.community AS to_community
 FROM ed JOIN part f ON f.id = "from" JOIN part t ON t.id = "to" WHERE f.community <> t.community"""),
-        "louvain_check": "SELECT 0 AS missing, 0 AS doubled, 0 AS gaining_moves, 0 AS gaining_merges, 0 AS no_better, 0 AS gaps",
+        "louvain_check": "SELECT 0 AS missing, 0 AS doubled, 0 AS gaining_moves, 0 AS gaining_merges, 0 AS disconnected, 0 AS no_better, 0 AS gaps",
         "nation_rings": """
 WITH r AS (
   SELECT c_nationkey, dense_rank() OVER (ORDER BY count(*) DESC, least(min(concat('CUS-', c_custkey)), concat('ACC-', c_nationkey))) - 1 AS community
   FROM customer GROUP BY c_nationkey)
 SELECT concat('CUS-', c_custkey) AS id, community FROM customer JOIN r USING (c_nationkey)
 UNION ALL SELECT concat('ACC-', c_nationkey), community FROM r""",
+        "rings_beside_volume": """
+WITH links AS (
+  SELECT concat('CUS-', c_custkey) AS c, concat('ACC-', c_nationkey) AS a FROM customer
+  UNION ALL SELECT concat('CUS-pair-', r_regionkey), concat('ACC-pair-', r_regionkey) FROM region WHERE r_regionkey = 0),
+r AS (SELECT a, dense_rank() OVER (ORDER BY count(*) DESC, least(min(c), a)) - 1 AS community FROM links GROUP BY a)
+SELECT c AS id, community FROM links JOIN r USING (a)
+UNION ALL SELECT a, community FROM r""",
         "fraud_ring_totals": _with(SUSPICIOUS, """
 SELECT count(DISTINCT id) AS total_nodes, count(DISTINCT id) FILTER (WHERE type = 'customer') AS customer_entities,
        count(DISTINCT id) FILTER (WHERE type = 'account') AS associated_bank_accounts FROM ends"""),
@@ -455,7 +469,7 @@ SELECT chunk_id, content, concat('part_', right(filename, 1), '.txt') AS filenam
         "document_routes": f"""
 WITH qs AS (
   SELECT concat('d', doc_id) AS query_id,
-         concat(substr(text, 1, 40), ' ', ({_array(RULE_WORDS)})[cast(doc_id % {len(RULE_WORDS)} AS int) + 1]) AS query FROM documents
+         concat(text, ' ', ({_array(RULE_WORDS)})[cast(doc_id % {len(RULE_WORDS)} AS int) + 1]) AS query FROM documents
   UNION ALL SELECT concat('c-', conv_id, '-', turn), text FROM conversations)
 SELECT query_id, {ROUTE} AS model_class, {_rules('query', fixed.TOPIC_RULES, fixed.TOPIC_DEFAULT)} AS topic FROM qs""",
         "ruled_ledger": f"""
@@ -480,6 +494,7 @@ FROM (VALUES (0.3::double, 10), (0.3, 500), (0.3, 9), (0.3, 501), (-0.1, 100), (
         "vector_topk": SEARCH,
         "vector_topk_blocked": SEARCH,
         "ivf_topk_all_lists": SEARCH,
+        "ivf_topk_by_radius": SEARCH,
         "ivf_recall": "SELECT 1 AS reached",
         "list_assignment": """
 SELECT id, cast(list AS int) AS list FROM (

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom import fixed_values as fixed
 from riskloom.operators import enrich as enrichment
-from riskloom.operators import graph, knowledge, marts, routing, search
-from riskloom.operators.communities import louvain, modularity
+from riskloom.operators import graph, knowledge, lists, marts, routing, search
+from riskloom.operators.communities import MARGIN, louvain, modularity
+from riskloom.plans.components import components
 from riskloom.plans import lineage, pipelines
 from riskloom.plans.lineage import materialise, scratch_path
 from riskloom.sources import corpus, tables, tpch
@@ -168,6 +169,21 @@ def critical_ledger_all(spark, d):
     return marts.critical_ledger(_enriched(spark, d))
 
 
+def _unknowns(spark: SparkSession, d: str) -> DataFrame:
+    """Enriched transactions, scores unknown for one type and volatilities for one country."""
+    return _enriched(spark, d).withColumns({
+        "risk_score": F.when(F.col("transaction_type") != "1-URGENT", F.col("risk_score")),
+        "volatility_index": F.when(F.col("country") != "FRANCE", F.col("volatility_index"))})
+
+
+def ledger_with_unknowns(spark, d):
+    return marts.critical_ledger(_unknowns(spark, d))
+
+
+def compact_ledger_with_unknowns(spark, d):
+    return marts.compact_ledger(_unknowns(spark, d), None)
+
+
 def event_channels(spark, d):
     from riskloom.functions import scoring
     events = tpch.table(spark, d, "events")
@@ -299,19 +315,18 @@ def louvain_modularity(spark, d):
     return modularity(rings.pairs, rings.partition)
 
 
-def louvain_check(spark, d):
-    """Violations of the communities of the whole table, recounted by plain joins; all are 0.
+def partition_faults(merged: DataFrame, part: DataFrame) -> DataFrame:
+    """Violations of a partition by gross volume, recounted by plain joins; all are 0.
 
-    Nodes missing or double, gaps in the numbers, single moves that gain, merges of two that
-    gain, and whether modularity is no better than that of one ring.
+    Nodes missing or double, gaps in the numbers, single moves that gain, whole communities that
+    gain by moving into another, communities that are not connected inside, and whether
+    modularity is below 0. A gain counts from the bound of the search, with room for rounding.
     """
-    rings = _rings(spark, d)
-    merged, part = rings.pairs, rings.partition
+    spark, least = merged.sparkSession, MARGIN * (1 + 1e-6)
     w = merged.select("customer_id", "account_id", F.col("gross").cast("double").alias("w")).where("w > 0")
     ways = w.select(F.col("customer_id").alias("id"), F.col("account_id").alias("other"), "w").unionByName(
         w.select(F.col("account_id").alias("id"), F.col("customer_id").alias("other"), "w"))
     two_m = ways.agg(F.sum("w")).first()[0]
-    least = 1e-6 * two_m
     strength = ways.groupBy("id").agg(F.sum("w").alias("k"))
     placed = materialise(strength.join(part, "id"), "placed")
     total = placed.groupBy("community").agg(F.sum("k").alias("total"))
@@ -319,20 +334,29 @@ def louvain_check(spark, d):
     there = total.toDF("to", "there")
     own = placed.join(total, "community").join(toward.toDF("id", "community", "inside"), ["id", "community"], "left").select(
         "id", "k", "community", (F.coalesce("inside", F.lit(0.0)) - F.col("k") * (F.col("total") - F.col("k")) / two_m).alias("stay"))
-    moves = toward.join(there, "to").join(own, "id").where(
-        (F.col("to") != F.col("community")) & (F.col("w") - F.col("k") * F.col("there") / two_m - F.col("stay") > least))
-    between = w.join(part.toDF("customer_id", "a"), "customer_id").join(part.toDF("account_id", "b"), "account_id").where(
-        "a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w"))
+    moves = toward.join(there, "to").join(own, "id").where((F.col("to") != F.col("community")) & (
+        F.col("w") - F.col("k") * F.col("there") / two_m - F.col("stay") > least * F.col("k")))
+    ends = materialise(w.join(part.toDF("customer_id", "a"), "customer_id").join(part.toDF("account_id", "b"), "account_id"), "ends")
+    between = ends.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w"))
     merges = between.join(total.toDF("a", "ta"), "a").join(total.toDF("b", "tb"), "b").where(
-        F.col("w") - F.col("ta") * F.col("tb") / two_m > least)
+        F.col("w") - F.col("ta") * F.col("tb") / two_m > least * F.least("ta", "tb"))
+    pieces = components(ends.where("a = b").select(F.col("customer_id").alias("a"), F.col("account_id").alias("b")))
+    loose = placed.join(pieces, F.col("id") == F.col("node"), "left").select("community", F.coalesce("component", "id").alias("piece"))
+    broken = loose.groupBy("community").agg(F.countDistinct("piece").alias("n")).where("n > 1")
     nodes = graph.ends(merged).select("id").distinct()
     counts = [nodes.join(part, "id", "left_anti").count(), part.groupBy("id").count().where("count > 1").count(),
-              moves.count(), merges.count(), int(modularity(merged, part).first()[0] <= 0)]
+              moves.count(), merges.count(), broken.count(), int(modularity(merged, part).first()[0] < 0)]
     gaps = part.agg((F.max("community") + 1 - F.countDistinct("community"))).first()[0]
-    names = ["missing", "doubled", "gaining_moves", "gaining_merges", "no_better", "gaps"]
+    names = ["missing", "doubled", "gaining_moves", "gaining_merges", "disconnected", "no_better", "gaps"]
     return spark.createDataFrame([tuple(int(c) for c in [*counts, gaps])], ", ".join(f"{n} bigint" for n in names))
 
 
+def louvain_check(spark, d):
+    """Violations of the communities of the whole table."""
+    rings = _rings(spark, d)
+    return partition_faults(rings.pairs, rings.partition)
+
+
 def nation_rings(spark, d):
     """Customers and their nations: separate stars, of which each must become one ring."""
     customers = tpch.table(spark, d, "customer")
@@ -343,6 +367,19 @@ def nation_rings(spark, d):
     return louvain(materialise(graph.pairs(tx), "pairs"), "count")
 
 
+def rings_beside_volume(spark, d):
+    """The stars of ``nation_rings`` beside one unrelated pair with far more volume than all of them."""
+    customers = tpch.table(spark, d, "customer")
+    stars = customers.select(
+        F.concat(F.lit("CUS-"), F.col("c_custkey").cast("string")).alias("customer_id"),
+        F.concat(F.lit("ACC-"), F.col("c_nationkey").cast("string")).alias("account_id"), F.lit("1.00").alias("amount"))
+    pair = tpch.table(spark, d, "region").where("r_regionkey = 0").select(
+        F.concat(F.lit("CUS-pair-"), F.col("r_regionkey").cast("string")).alias("customer_id"),
+        F.concat(F.lit("ACC-pair-"), F.col("r_regionkey").cast("string")).alias("account_id"), F.lit("1000000000000.00").alias("amount"))
+    tx = stars.unionByName(pair).withColumns({"amount": F.col("amount").cast("decimal(18,2)"), "risk_score": F.lit(0.5)})
+    return louvain(materialise(graph.pairs(tx), "pairs"))
+
+
 def fraud_ring_totals(spark, d):
     """Sums over the ring ledger of the whole table, the same for every partition."""
     ledger = fraud_rings(spark, d)
@@ -419,7 +456,13 @@ def vector_topk_blocked(spark, d):
 
 def ivf_topk(spark, d):
     base = _vectors(spark, d).select(F.col("vec_id").alias("id"), "embedding")
-    return _shown_hits(search.list_search(base, base.withColumnRenamed("id", "query_id")))
+    return _shown_hits(lists.search_index(lists.build_index(base), base.withColumnRenamed("id", "query_id")))
+
+
+def ivf_topk_by_radius(spark, d):
+    """Exact: lists are left out only where their radius proves that every row is farther."""
+    base = _vectors(spark, d).select(F.col("vec_id").alias("id"), "embedding")
+    return _shown_hits(lists.search_index(lists.build_index(base), base.withColumnRenamed("id", "query_id"), share=None))
 
 
 def list_assignment(spark, d):
@@ -501,7 +544,7 @@ def _sentences(spark, d):
     words = F.array(*[F.lit(w) for w in RULE_WORDS])
     docs = tpch.table(spark, d, "documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("query_id"),
-        F.concat(F.substring("text", 1, 40), F.lit(" "), F.element_at(words, (F.col("doc_id") % len(RULE_WORDS) + 1).cast("int"))).alias("query"))
+        F.concat("text", F.lit(" "), F.element_at(words, (F.col("doc_id") % len(RULE_WORDS) + 1).cast("int"))).alias("query"))
     turns = tpch.table(spark, d, "conversations").select(F.concat_ws(
         "-", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), F.col("text").alias("query"))
     return docs.unionByName(turns)
@@ -598,15 +641,15 @@ def _mart(build):
 def queries() -> dict:
     named = [
         transactions, enriched, enriched_split_accounts, risk_components, high_risk_transactions,
-        critical_ledger, critical_ledger_all, event_channels, rolling_describe, score_describe, trailing_months,
+        critical_ledger, critical_ledger_all, ledger_with_unknowns, compact_ledger_with_unknowns, event_channels, rolling_describe, score_describe, trailing_months,
         region_heatmap, records, load_report, graph_edges, graph_nodes, graph_nodes_partitioned, node_stats,
         graph_view, graph_view_all, graph_view_edges, neighbours_2hop, neighbours_2hop_all, select_by_property,
         select_by_edge, restrict_nodes, restrict_edges, ring_ledger, fallback_ledger, cross_ring_edges,
         ring_members, louvain_partition, louvain_modularity, louvain_check,
-        nation_rings, fraud_ring_totals, fraud_rings, fraud_rings_pull, fraud_ring_nodes, fraud_ring_nodes_check, corpus_stats,
+        nation_rings, rings_beside_volume, fraud_ring_totals, fraud_rings, fraud_rings_pull, fraud_ring_nodes, fraud_ring_nodes_check, corpus_stats,
         document_words, default_chunks, chunks_per_file, document_chunks, chunk_sample, embedded_chunks,
         embed_status, embed_failures, knowledge_base, blank_line_chunks, document_routes, ruled_ledger,
-        refused_bounds, empty_rings, rag_context_lists, vector_topk, vector_topk_blocked, ivf_topk, list_assignment, ivf_recall, ivf_topk_all_lists, rag_context,
+        refused_bounds, empty_rings, rag_context_lists, vector_topk, vector_topk_blocked, ivf_topk, list_assignment, ivf_recall, ivf_topk_all_lists, ivf_topk_by_radius, rag_context,
         route_queries, answer_topic, model_class, prompts, write_marts, write_by_month, stored_tables,
         read_text_corpus,
     ]

@@ -3,7 +3,9 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from checks.queries import partition_faults
 from riskloom.operators import communities, graph
+from riskloom.plans.components import components as graph_components
 from riskloom.plans.pipelines import fraud_rings
 from riskloom.plans.skew import hot_keys, lookup
 
@@ -108,6 +110,76 @@ def test_partition_invariants(spark, weight, hot_rows):
     assert quality >= communities.modularity(merged, whole, weight).first()[0] - 1e-9
 
 
+def faults(merged, part):
+    return {k: v for k, v in partition_faults(merged, part).first().asDict().items() if v}
+
+
+def block(c, a, size=4):
+    """Every customer with every account, two weights in turn."""
+    return [(f"CUS-{c}-{i}", f"ACC-{a}-{j}", "110.00" if (i + j) % 2 else "100.00", 0.5) for i in range(size) for j in range(size)]
+
+
+@pytest.mark.parametrize("volume", ["1000000000000.00", "9000000000000000.00"])
+def test_small_rings_beside_any_volume(spark, volume):
+    rows = [r for n in range(10) for r in block(n, n)] + [("CUS-big", "ACC-big", volume, 0.5)]
+    merged = graph.pairs(transactions(spark, rows))
+    part = communities.louvain(merged)
+    sizes = sorted(r["count"] for r in part.groupBy("community").count().collect())
+    assert sizes == [2] + [8] * 10
+    assert faults(merged, part) == {}
+
+
+def test_bridge_between_blocks(spark):
+    rows = block(1, 1) + block(2, 2) + [("CUS-1-0", "ACC-b", "50.00", 0.5), ("CUS-2-0", "ACC-b", "49.00", 0.5)]
+    merged = graph.pairs(transactions(spark, rows))
+    part = communities.louvain(merged)
+    found = {r["id"]: r["community"] for r in part.collect()}
+    assert len(set(found.values())) == 2 and found["ACC-b"] == found["CUS-1-0"] != found["CUS-2-0"]
+    assert faults(merged, part) == {}
+
+
+def test_equal_stars(spark):
+    rows = [(f"CUS-{n}-{i}", f"ACC-{n}", "5.00", 0.5) for n in range(1000) for i in range(2)]
+    merged = graph.pairs(transactions(spark, rows))
+    part = communities.louvain(merged)
+    assert part.groupBy("community").count().where("count <> 3").isEmpty()
+    assert faults(merged, part) == {}
+
+
+def test_communities_are_split_where_they_fall_apart(spark):
+    merged = graph.pairs(transactions(spark, block(1, 1) + block(2, 2) + [("CUS-x", "ACC-x", "7.00", 0.5)]))
+    g = communities._graph(merged, "gross", 10)
+    one = communities._singletons(g)
+    one = communities._State(*[side.withColumn("label", F.when(F.col("id").rlike("x$"), "x").otherwise("both")) for side in (one.customers, one.accounts)])
+    state, split = communities._connected(g, one)
+    labels = {}
+    for r in state.members().collect():
+        labels.setdefault(r["label"], set()).add(r["id"].split("-")[1])
+    assert split and sorted(map(sorted, labels.values())) == [["1"], ["2"], ["x"]]
+    assert not communities._connected(g, state)[1]
+
+
+def test_groups_move_on_from_group_to_group(spark):
+    """Three communities in one group, of which one belongs to another group."""
+    rows = block(1, 1) + block(2, 2) + block(3, 3) + block(4, 4) + [
+        ("CUS-1-0", "ACC-2-0", "2000.00", 0.5), ("CUS-3-0", "ACC-4-0", "3000.00", 0.5)]
+    g = communities._graph(graph.pairs(transactions(spark, rows)), "gross", 1000)
+    edges = spark.createDataFrame(
+        [("1", "2", Decimal(3680), Decimal(3680), Decimal(2000)), ("3", "4", Decimal(3680), Decimal(3680), Decimal(3000))],
+        "a string, b string, ka decimal(38,2), kb decimal(38,2), w decimal(28,2)")
+    groups = spark.createDataFrame([(n, "A" if n in "123" else "B", Decimal(3680)) for n in "1234"], "label string, root string, k decimal(38,2)")
+    moved, any_moved = communities._move_on(g, edges, groups)
+    found = {r["label"]: r["root"] for r in moved.collect()}
+    assert any_moved and found["3"] == found["4"] != found["1"] == found["2"]
+
+
+def test_components_are_found_with_loops(spark):
+    links = [("a", "b"), ("b", "c"), ("d", "d"), ("e", "f"), ("g", "f"), ("b", "b")]
+    got = {r["node"]: r["component"] for r in graph_components(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e", "f": "e", "g": "e"}
+    assert graph_components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
 def test_modularity_by_hand(spark):
     merged = graph.pairs(transactions(spark, RINGS[:6]))
     part = graph.single_ring(merged)
