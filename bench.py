@@ -13,7 +13,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.operators import graph, knowledge, marts, routing, search
+from riskloom.operators import graph, knowledge, lists, marts, routing, search
 from riskloom.operators.communities import louvain
 from riskloom.operators.enrich import enrich
 from riskloom.plans.lineage import clear_scratch, materialise, scratch_path
@@ -75,7 +75,7 @@ def main() -> None:
     vectors = tpch.table(spark, SF_DIR, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     queries = vectors.withColumnRenamed("id", "query_id")
     timed("vector_topk", lambda: run(search.vector_search(vectors, queries)))
-    timed("ivf_topk", lambda: run(search.list_search(vectors, queries)))
+    timed("ivf_topk", lambda: run(lists.search_index(lists.build_index(vectors), queries)))
     asked = tpch.questions(spark, SF_DIR)
     timed("rag_context", lambda: run(search.retrieve_context(asked, embedded)))
     timed("route_queries", lambda: run(routing.route_queries(asked)))

@@ -99,7 +99,8 @@ def dollars(amount: Column, decimals: int = 0) -> Column:
 
 
 def fixed_decimals(value: Column, decimals: int) -> Column:
-    return F.format_string(f"%.{decimals}f", value)
+    """The value with that many decimals; null stays null."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{decimals}f", value))
 
 
 def risk_color(score: Column) -> Column:

@@ -103,12 +103,12 @@ def riskiest(enriched: DataFrame, rows: int | None) -> DataFrame:
     return ranked if rows is None else ranked.limit(rows)
 
 
-def critical_events(enriched: DataFrame, rows: int = fixed.LEDGER_ROWS) -> DataFrame:
+def critical_events(enriched: DataFrame, rows: int | None = fixed.LEDGER_ROWS) -> DataFrame:
     return riskiest(enriched.select(*LEDGER_COLUMNS), rows)
 
 
-def compact_ledger(enriched: DataFrame, rows: int = fixed.LEDGER_ROWS) -> DataFrame:
-    """The shorter ledger of the older screen, with formatted numbers."""
+def compact_ledger(enriched: DataFrame, rows: int | None = fixed.LEDGER_ROWS) -> DataFrame:
+    """The shorter ledger of the older screen, with formatted numbers; unknown ones stay unknown."""
     top = critical_events(enriched, rows)
     return top.select(
         "transaction_id", "timestamp", "account_id",

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import text
-from riskloom.operators import knowledge, search
+from riskloom.operators import knowledge, lists, search
 
 
 def packed(content, limit, separator=r"\n\s*\n"):
@@ -160,6 +160,81 @@ def test_search_small_and_empty(spark):
     assert search.vector_search(base, vectors(spark, [], "query_id")).count() == 0
 
 
+def test_tasks_return_the_nearest_of_all_their_rows(spark):
+    rng = np.random.default_rng(6)
+    base = vectors(spark, [(i, rng.normal(size=6).tolist()) for i in range(600)]).repartition(3)
+    queries = vectors(spark, [(i, rng.normal(size=6).tolist()) for i in range(20)], "query_id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")  # several batches a task
+    try:
+        found = search.task_hits(base, queries, 4)
+        assert found.count() == 3 * 20 * 4
+        assert hits(search.vector_search(base, queries, 4)) == hits(search.block_search(base, queries, 4))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_passes_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base = vectors(spark, [(i, rng.normal(size=5).tolist()) for i in range(100)])
+    queries = base.withColumnRenamed("id", "query_id")
+    wanted = hits(search.vector_search(base, queries, 3))
+    monkeypatch.setattr(search, "PASS_QUERIES", 40)
+    monkeypatch.setattr(lists, "PASS_QUERIES", 40)
+    assert hits(search.vector_search(base, queries, 3)) == wanted
+    assert hits(lists.search_index(lists.build_index(base), queries, 3, share=None)) == wanted
+
+
+def test_far_blocks_are_skipped():
+    rng = np.random.default_rng(8)
+    near, far = search._unit(rng.normal(size=(50, 8)) * .1 + 5), search._unit(rng.normal(size=(50, 8)) * .1 - 5)
+    running = search._Running(np.arange(10), near[:10], 3)
+    assert not search._beyond(near[:10], running.distance[:, -1].clip(max=2.1), far).any()
+    running.meet(np.arange(50), near)
+    assert search._beyond(running.query, running.distance[:, -1], far).all()
+
+
+def clustered(n, centres=40, width=16, spread=.08, seed=9):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(centres, width))
+    return [(i, (middle[i % centres if i > n // 3 else 0] + spread * rng.normal(size=width)).tolist()) for i in range(n)]
+
+
+def test_index_reads_a_quarter_and_finds_nine_of_ten(spark):
+    rows = clustered(2000)  # one cluster holds more than a third of all rows
+    base = vectors(spark, rows)
+    queries = vectors(spark, rows[::7], "query_id")
+    index = lists.build_index(base)
+    assert index.rows.count() == 2000 and index.lists.count() >= 30
+    assert index.lists.agg(F.sum("rows")).first()[0] == 2000
+    assert index.lists.agg(F.max("rows")).first()[0] < 600  # the dominant cluster is in many lists
+    exact = hits(search.vector_search(base, queries))
+    near = hits(lists.search_index(index, queries, share=0.25))
+    found = sum(len(set(near[q]) & set(ids)) for q, ids in exact.items())
+    assert found >= 0.9 * sum(map(len, exact.values()))
+    assert hits(lists.search_index(index, queries, share=None)) == exact
+
+
+def test_radius_holds_all_rows_of_a_list(spark):
+    rows = clustered(400, 10) + [(1000, [0.0] * 16), (1001, None)] + [(2000 + i, [1.0] * 16) for i in range(30)]
+    index = lists.build_index(vectors(spark, rows))
+    known = {r["list"]: r for r in index.lists.collect()}
+    seen = 0
+    for r in index.rows.collect():
+        centre, v = (search._unit([x])[0] for x in (known[r["list"]]["centroid"], r["embedding"]))
+        assert np.arccos(np.clip(centre @ v, -1, 1)) <= known[r["list"]]["radius"] + 1e-9
+        seen += 1
+    assert seen == index.total == 430
+
+
+def test_index_of_few_and_no_rows(spark):
+    one = vectors(spark, [(9, [1.0, 1.0]), (8, [0.0, 0.0]), (7, None)], "query_id")
+    few = lists.build_index(vectors(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0])]))
+    for share in (None, 1.0):
+        assert hits(lists.search_index(few, one, share=share)) == {9: [1, 2]}
+        assert lists.search_index(few, one.limit(0), share=share).count() == 0
+        assert lists.search_index(lists.build_index(vectors(spark, [])), one, share=share).count() == 0
+
+
 def test_context(spark):
     chunks = spark.createDataFrame(
         [("c1", "x", "a.txt"), ("c2", "y", "b.txt"), ("c3", "z", "a.txt")],
