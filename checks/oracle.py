@@ -71,7 +71,7 @@ part AS (
 
 UNKNOWN = ENRICHED + """,
 gaps AS (SELECT * REPLACE (CASE WHEN transaction_type <> '1-URGENT' THEN risk_score END AS risk_score,
-                           CASE WHEN country <> 'FRANCE' THEN volatility_index END AS volatility_index) FROM e)"""
+                           CASE WHEN country <> 'NATION_11' THEN volatility_index END AS volatility_index) FROM e)"""
 SUSPICIOUS = ENRICHED + ",\ns AS (SELECT * FROM e WHERE risk_score >= 0.2)," + _pairs("s")
 PULL = "g AS (SELECT * FROM e WHERE risk_score >= 0.2 ORDER BY risk_score DESC, transaction_id LIMIT 300)"
 PAGE = "g AS (SELECT * FROM e WHERE risk_score >= 0.2 ORDER BY risk_score DESC, transaction_id LIMIT 150)"
@@ -285,11 +285,12 @@ SELECT row_number() OVER (ORDER BY risk_score DESC, amount DESC, transaction_id)
        {_dollars('amount', 0)} AS amount, {TIME} AS time, '{fixed.LEDGER_STATUS}' AS status FROM {source}"""
 
 
-def _mart_report() -> str:
+def _mart_report(country: str | None = None) -> str:
     """Rows and columns of each written mart."""
+    source = f"(SELECT * FROM e WHERE country = '{country}')" if country else "e"
     one = "transaction_count, avg_risk_score"
     marts = [
-        ("metrics", "least(1, count(*))", "total_transactions, fraud_count, avg_risk_score, high_risk_count"),
+        ("metrics", "1 + 0 * count(*)", "total_transactions, fraud_count, avg_risk_score, high_risk_count"),
         ("risk_by_channel", "count(DISTINCT transaction_type)", f"transaction_type, {one}"),
         ("temporal_risk", f"count(DISTINCT {MONTH})", f"month, {one}"),
         ("geographical_risk", "count(DISTINCT country)", f"country, {one}, high_risk_count"),
@@ -299,6 +300,10 @@ def _mart_report() -> str:
         ("critical_events", "least(10, count(*))", LEDGER),
         ("graph_pull", "least(300, count(*) FILTER (WHERE risk_score >= 0.2))", GRAPH),
     ]
+    if country:
+        return _with(ENRICHED, " UNION ALL ".join(
+            f"SELECT '{when}{name}' AS mart, {rows} AS num_rows FROM {table}"
+            for when, table in (("old ", "e"), ("", source)) for name, rows, _ in marts))
     return _with(ENRICHED, " UNION ALL ".join(
         f"SELECT '{name}' AS mart, {rows} AS num_rows, '{columns}' AS column_names FROM e"
         for name, rows, columns in marts))
@@ -395,6 +400,11 @@ ORDER BY avg_risk_score DESC, customer_id LIMIT 10"""),
         "records": _with(ENRICHED, f"SELECT cast({record} AS varchar) AS record FROM e"),
         "load_report": _with(TX, f"SELECT count(*) AS num_rows, '{columns}' AS column_names FROM tx"),
         "write_marts": _mart_report(),
+        "marts_switched": _mart_report("NATION_11"),
+        "replaced_from_itself": "SELECT c_custkey, c_nationkey FROM customer",
+        "failed_replacement": """
+SELECT 'orders' AS name, count(*) AS scanned, count(*) AS num_rows FROM orders
+UNION ALL SELECT 'keys', count(DISTINCT o_custkey), count(DISTINCT o_custkey) FROM orders""",
         "write_by_month": _with(TX, """
 SELECT count(*) AS cnt, cast(sum(fraud_flag) AS bigint) AS fraud_cnt, round(avg(fraud_flag), 4) AS fraud_rate FROM tx"""),
         "graph_edges": _with(SUSPICIOUS, f"SELECT {SHOWN_EDGES} FROM ed"),

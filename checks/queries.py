@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import sys
+import uuid
 
 import numpy as np
 from pyspark import cloudpickle
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom import fixed_values as fixed
@@ -15,7 +18,7 @@ from riskloom.operators.communities import MARGIN, louvain, modularity
 from riskloom.plans.components import components
 from riskloom.plans import lineage, pipelines
 from riskloom.plans.lineage import materialise, scratch_path
-from riskloom.sources import corpus, tables, tpch
+from riskloom.sources import corpus, tables, tpch, versions
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # for the embedder below
 
@@ -173,7 +176,7 @@ def _unknowns(spark: SparkSession, d: str) -> DataFrame:
     """Enriched transactions, scores unknown for one type and volatilities for one country."""
     return _enriched(spark, d).withColumns({
         "risk_score": F.when(F.col("transaction_type") != "1-URGENT", F.col("risk_score")),
-        "volatility_index": F.when(F.col("country") != "FRANCE", F.col("volatility_index"))})
+        "volatility_index": F.when(F.col("country") != "NATION_11", F.col("volatility_index"))})
 
 
 def ledger_with_unknowns(spark, d):
@@ -606,6 +609,46 @@ def write_marts(spark, d):
     return pipelines.write_marts(stored, scratch_path(spark, "marts"))
 
 
+def marts_switched(spark, d):
+    """Marts of all transactions, replaced by those of one country; the rows of what is then current."""
+    stored, folder = materialise(_enriched(spark, d), "enriched"), scratch_path(spark, "marts")
+    pipelines.write_marts(stored, folder)
+    before = versions.read_tables(spark, folder)
+    pipelines.write_marts(stored.where("country = 'NATION_11'"), folder)
+    counts = [frame.agg(F.count("*").alias("num_rows")).select(F.lit(f"{when}{name}").alias("mart"), "num_rows")
+              for when, frames in (("old ", before), ("", versions.read_tables(spark, folder))) for name, frame in frames.items()]
+    return functools.reduce(DataFrame.unionByName, counts)
+
+
+def replaced_from_itself(spark, d):
+    """A table replaced by some of its own rows, in a folder and in the catalog."""
+    folder, name = scratch_path(spark, "tables"), f"customers_{uuid.uuid4().hex}"
+    customers = tpch.table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    versions.write_tables({"customers": customers}, folder)
+    versions.write_tables({"customers": versions.read_tables(spark, folder)["customers"].where("c_nationkey < 12")}, folder)
+    tables.replace_table(customers, name, f"{folder}-catalog")
+    tables.replace_table(spark.table(name).where("c_nationkey >= 12"), name, f"{folder}-catalog")
+    both = versions.read_tables(spark, folder)["customers"].unionByName(materialise(spark.table(name), "kept"))
+    spark.sql(f"DROP TABLE {name}")
+    return both
+
+
+def failed_replacement(spark, d):
+    """The tables that are current after a load of two has failed in the second, and the counts of the first load."""
+    folder = scratch_path(spark, "tables")
+    orders = tpch.table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    report = versions.write_tables({"orders": orders, "keys": orders.select("o_custkey").distinct()}, folder)
+    broken = orders.select(F.when(F.col("o_orderkey") > 0, F.raise_error(F.lit("refused"))).otherwise("").alias("x"))
+    try:
+        versions.write_tables({"orders": orders.limit(1), "keys": broken}, folder)
+        raise AssertionError("the load should have failed")
+    except SparkRuntimeException:
+        pass
+    counts = [frame.agg(F.count("*").alias("scanned")).withColumn("name", F.lit(name))
+              for name, frame in versions.read_tables(spark, folder).items()]
+    return functools.reduce(DataFrame.unionByName, counts).join(report.select("name", "num_rows"), "name")
+
+
 def write_by_month(spark, d):
     path = tables.write_by_month(_enriched(spark, d), scratch_path(spark, "by_month"))
     return marts.fraud_check(spark.read.parquet(path))
@@ -650,7 +693,7 @@ def queries() -> dict:
         document_words, default_chunks, chunks_per_file, document_chunks, chunk_sample, embedded_chunks,
         embed_status, embed_failures, knowledge_base, blank_line_chunks, document_routes, ruled_ledger,
         refused_bounds, empty_rings, rag_context_lists, vector_topk, vector_topk_blocked, ivf_topk, list_assignment, ivf_recall, ivf_topk_all_lists, ivf_topk_by_radius, rag_context,
-        route_queries, answer_topic, model_class, prompts, write_marts, write_by_month, stored_tables,
+        route_queries, answer_topic, model_class, prompts, write_marts, marts_switched, replaced_from_itself, failed_replacement, write_by_month, stored_tables,
         read_text_corpus,
     ]
     out = {f.__name__: f for f in named}

@@ -14,7 +14,7 @@ from riskloom.operators.knowledge import chunk_table, embed
 from riskloom.operators.routing import prompts, route_queries
 from riskloom.operators.search import retrieve_context, write_lists
 from riskloom.plans.lineage import materialise
-from riskloom.sources.tables import write_files
+from riskloom.sources.versions import read_tables, write_tables
 
 SUMMARIES = {
     "metrics": marts.kpi_of,
@@ -44,24 +44,16 @@ def _tops(enriched: DataFrame) -> DataFrame:
 
 
 def write_marts(enriched: DataFrame, folder: str) -> DataFrame:
-    """Writes all seven marts below ``folder`` and returns ``mart, num_rows, column_names``.
+    """Replaces all seven marts of ``folder`` together and returns ``mart, num_rows, column_names``.
 
     Two scans of ``enriched``: one sums up, the other ranks. Each mart is then cut from a
-    small stored table.
+    small stored table. Read them with ``versions.read_tables``.
     """
-    spark = enriched.sparkSession
     summary, tops = materialise(marts.summary(enriched), "summary"), materialise(_tops(enriched), "tops")
     built = {name: build(summary) for name, build in SUMMARIES.items()}
     for name, (_, columns) in TOPS.items():
         built[name] = tops.where(F.col("_mart") == name).orderBy("_rank").select(*columns)
-    out = None
-    for name, mart in built.items():
-        path = write_files(mart, f"{folder}/{name}")
-        written = spark.read.parquet(path)
-        row = written.agg(F.count("*").alias("num_rows")).select(
-            F.lit(name).alias("mart"), "num_rows", F.lit(", ".join(written.columns)).alias("column_names"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return write_tables(built, folder).withColumnRenamed("name", "mart")
 
 
 @dataclass
@@ -102,14 +94,15 @@ def build_knowledge_base(documents: DataFrame, folder: str, max_words: int = fix
     """From documents, such as those of ``read_text_corpus``, to a searchable base below ``folder``.
 
     Chunks go to ``staging``, their vectors and the status of each to ``embeddings``, and the
-    vectors of the usable ones by list to ``lists``. What was there is replaced.
+    vectors of the usable ones by list to ``lists``. What was there is replaced, the first two together.
     """
     spark = documents.sparkSession
-    chunks = spark.read.parquet(write_files(chunk_table(documents, max_words, separator), f"{folder}/staging"))
-    embedded = spark.read.parquet(write_files(embed(chunks, embedder), f"{folder}/embeddings"))
-    usable = embedded.where("embedding_status = ''").select(F.col("chunk_id").alias("id"), "embedding")
+    chunks = materialise(chunk_table(documents, max_words, separator), "chunks")
+    write_tables({"staging": chunks, "embeddings": embed(chunks, embedder)}, folder)
+    stored = read_tables(spark, folder, "staging", "embeddings")
+    usable = stored["embeddings"].where("embedding_status = ''").select(F.col("chunk_id").alias("id"), "embedding")
     centroids = write_lists(usable, f"{folder}/lists", lists)
-    return KnowledgeBase(chunks, embedded, (spark.read.parquet(f"{folder}/lists"), centroids))
+    return KnowledgeBase(stored["staging"], stored["embeddings"], (spark.read.parquet(f"{folder}/lists"), centroids))
 
 
 def ask(questions: DataFrame, embedded: DataFrame, top_k: int = fixed.TOP_K, embedder=None,

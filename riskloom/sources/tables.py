@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 TRANSACTION_SCHEMA = T.StructType([
@@ -54,11 +56,25 @@ def create_table(spark: SparkSession, name: str, schema: T.StructType, path: str
 
 
 def replace_table(df: DataFrame, name: str, path: str | None = None) -> None:
-    """Loads ``df`` into ``name``, replacing the whole table; also the form of CREATE TABLE AS."""
-    writer = df.write.mode("overwrite").format("parquet")
-    if path:
-        writer = writer.option("path", path)
-    writer.saveAsTable(name)
+    """Loads ``df`` into ``name``, replacing the whole table; also the form of CREATE TABLE AS.
+
+    The rows go to a fresh folder below ``path``, or below the warehouse, and then the catalog is pointed
+    to it. So a failed load leaves the old rows, and a table may be replaced from itself.
+    """
+    spark = df.sparkSession
+    root = path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name.replace('`', '')}.loads"
+    folder = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    quoted = ".".join(f"`{part.strip('`')}`" for part in name.split("."))
+    place = folder.replace("'", "\\'")
+    if spark.catalog.tableExists(name):
+        same = [(f.name, f.dataType) for f in spark.table(name).schema] == [(f.name, f.dataType) for f in df.schema]
+        if same and spark.sql(f"DESCRIBE EXTENDED {quoted}").where("col_name = 'Type' AND data_type = 'EXTERNAL'").count():
+            spark.sql(f"ALTER TABLE {quoted} SET LOCATION '{place}'")
+            spark.catalog.refreshTable(name)
+            return
+        spark.sql(f"DROP TABLE {quoted}")  # other columns: the old files stay, the entry is made anew
+    spark.catalog.createTable(name, path=folder, source="parquet", schema=df.schema)
 
 
 def load_report(df: DataFrame) -> DataFrame:

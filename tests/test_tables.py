@@ -9,7 +9,7 @@ from riskloom.plans.numbering import running_total
 from riskloom.plans.pipelines import MARTS, write_marts
 from riskloom.operators import graph, marts
 from riskloom.operators.enrich import enrich
-from riskloom.sources import corpus, tables, tpch
+from riskloom.sources import corpus, tables, tpch, versions
 from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
@@ -38,6 +38,40 @@ def test_named_tables(spark, tmp_path):
     spark.sql("DROP DATABASE riskloom_test")
 
 
+def test_named_table_is_replaced_from_itself_and_keeps_its_rows_on_failure(spark, tmp_path):
+    name, path = "kept_numbers", str(tmp_path / "numbers")
+    tables.replace_table(spark.range(10), name, path)
+    held = spark.table(name)
+    tables.replace_table(spark.table(name).where("id > 6"), name, path)
+    assert sorted(r["id"] for r in spark.table(name).collect()) == [7, 8, 9]
+    assert held.count() in (3, 10)  # old files are still there for whoever reads them
+    with pytest.raises(Exception, match="refused"):
+        tables.replace_table(spark.range(5).select(F.when(F.col("id") >= 0, F.raise_error(F.lit("refused"))).alias("id")), name, path)
+    assert spark.table(name).count() == 3
+    tables.replace_table(spark.range(2).select(F.col("id").cast("string").alias("other")), name, path)
+    assert [r["other"] for r in spark.table(name).collect()] == ["0", "1"]
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_tables_switch_together(spark, tmp_path):
+    folder = str(tmp_path / "set")
+    assert versions.manifest(spark, folder) == {}
+    report = versions.write_tables({"a": spark.range(5), "b": spark.range(0)}, folder).collect()
+    assert [tuple(r) for r in report] == [("a", 5, "id"), ("b", 0, "id")]
+    first = versions.read_tables(spark, folder)
+    versions.write_tables({"a": first["a"].where("id > 1"), "c": spark.range(3)}, folder)
+    now = {n: df.count() for n, df in versions.read_tables(spark, folder).items()}
+    assert now == {"a": 3, "b": 0, "c": 3} and first["a"].count() == 5
+    broken = spark.range(5).select(F.when(F.col("id") >= 0, F.raise_error(F.lit("refused"))).alias("x"))
+    with pytest.raises(Exception, match="refused"):
+        versions.write_tables({"a": spark.range(1), "c": broken}, folder)
+    assert {n: df.count() for n, df in versions.read_tables(spark, folder).items()} == now
+    with pytest.raises(KeyError):
+        versions.read_tables(spark, folder, "missing")
+    assert versions.drop_old(spark, folder) == 1  # the failed write; a and b of the first write are in one folder that is in use
+    assert {n: df.count() for n, df in versions.read_tables(spark, folder).items()} == now
+
+
 def test_records_keep_nulls(spark):
     df = spark.createDataFrame([(1, dt.datetime(2025, 6, 5, 9, 7), None)], "a int, t timestamp, s string")
     assert json.loads(tables.records(df).first()[0]) == {"a": 1, "t": "2025-06-05 09:07:00", "s": None}
@@ -72,7 +106,7 @@ def test_written_marts_equal_their_builders(spark, tmp_path):
                 "graph_pull": lambda e: graph.graph_pull(e).drop("volatility_index")}
     assert list(builders) == MARTS
     for name, build in builders.items():
-        written = spark.read.parquet(str(tmp_path / name))
+        written = versions.read_tables(spark, str(tmp_path))[name]
         wanted = build(enriched)
         assert written.columns == wanted.columns
         assert sorted(map(str, written.collect())) == sorted(map(str, wanted.collect())), name
