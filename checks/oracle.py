@@ -335,6 +335,7 @@ FROM qs LEFT JOIN ctx USING (query_id) LEFT JOIN src USING (query_id)""")
         "transactions": _with(TX, f"SELECT * REPLACE ({AMOUNT}) FROM tx"),
         "enriched": enriched,
         "enriched_split_accounts": enriched,
+        "enriched_from_buckets": enriched,
         "risk_components": _with(ENRICHED, """
 SELECT transaction_id, vf AS volatility_flag, df AS amount_deviation, cast(fraud_flag AS double) AS fraud_component FROM e"""),
         "high_risk_transactions": _with(ENRICHED, "SELECT transaction_id, risk_score FROM e WHERE risk_score >= 0.6"),

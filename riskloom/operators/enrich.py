@@ -43,19 +43,45 @@ def rolling_average(tx: DataFrame, account_rows: DataFrame | None = None, hot_ro
         sliced = base.withColumn("_slice", F.when(F.col("account_id").isNull(), orphan_cell).otherwise(0))
     else:
         sliced = _with_halo(base, hot, max(rows - 1, 1), orphan_cell)
-    order = Window.partitionBy("account_id", "_slice").orderBy("timestamp", "transaction_id")
+    out = _averaged(sliced, ["account_id", "_slice"], rows)
+    if hot is not None:
+        out = out.where(~F.col("_halo"))
+    return out.select(*tx.columns, "rolling_avg_amount")
+
+
+def _averaged(base: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Adds ``rolling_avg_amount`` from differences of running totals of ``_money``, per ``keys`` in time order."""
+    order = Window.partitionBy(*keys).orderBy("timestamp", "transaction_id")
     running = order.rowsBetween(Window.unboundedPreceding, 0)
-    totals = sliced.withColumn("_sum", F.sum("_money").over(running)).withColumn(
-        "_n", F.count("_money").over(running))
+    totals = base.withColumn("_sum", F.sum("_money").over(running)).withColumn("_n", F.count("_money").over(running))
     zero = F.lit(0).cast(T.DecimalType(28, 2))
     total = F.coalesce("_sum", zero) - F.coalesce(F.lag("_sum", rows).over(order), zero)
     count = F.col("_n") - F.coalesce(F.lag("_n", rows).over(order), F.lit(0))
     out = totals.withColumn("_total", total).withColumn("_count", count)
-    if hot is not None:
-        out = out.where(~F.col("_halo"))
     mean = F.when(F.col("account_id").isNotNull() & (F.col("_count") > 0),
                   F.col("_total").cast("double") / F.col("_count"))
-    return out.select(*tx.columns, mean.alias("rolling_avg_amount"))
+    return out.withColumn("rolling_avg_amount", mean)
+
+
+def enrich_bucketed(stored: DataFrame, hot_rows: int = HOT_ROWS, rows: int = fixed.ROLLING_ROWS) -> DataFrame:
+    """``enrich`` for a table of ``write_by_account``: no exchange, as every account lies in one bucket.
+
+    Accounts are counted without an exchange as well. Those above ``hot_rows`` alone are shuffled and cut
+    into slices; the rest stays in its buckets.
+    """
+    tx = stored.drop("account_bucket")
+    counts = stored.groupBy("account_bucket").agg(F.count("*").alias("rows")).withColumnRenamed("account_bucket", "account_id")
+    hot = hot_keys(counts, "account_id", hot_rows)
+    kept = stored
+    if hot is not None:
+        few = F.broadcast(hot.select(F.col("account_id").alias("account_bucket")))  # bounded by MAX_HOT_KEYS
+        kept = stored.join(few, "account_bucket", "left_anti")
+    out = _averaged(kept.withColumn("_money", F.col("amount").try_cast("decimal(18,2)")), ["account_bucket", "account_id"], rows).select(
+        *tx.columns, "rolling_avg_amount")
+    if hot is not None:
+        large = stored.join(few, "account_bucket", "left_semi").drop("account_bucket")
+        out = out.unionByName(rolling_average(large, hot.select("account_id", "rows"), hot_rows, rows))
+    return out.withColumn("risk_score", risk_score())
 
 
 def _with_halo(base: DataFrame, hot: DataFrame, halo: int, orphan_cell: Column) -> DataFrame:

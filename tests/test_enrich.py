@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import enrich, marts
+from riskloom.sources import tables
 from riskloom.sources.tables import TRANSACTION_SCHEMA
 
 START = dt.datetime(2025, 1, 1)
@@ -136,3 +137,20 @@ def test_buckets_at_their_edges(spark):
     counts = {r["risk_bucket"]: r["transaction_count"] for r in marts.risk_distribution(df).collect()}
     assert counts == {"0.00 (No Risk)": 1, "0.01–0.25 (Low)": 1, "0.26–0.50 (Medium)": 2,
                       "0.51–0.75 (High)": 2, "0.76–1.00 (Critical)": 3}
+
+
+def test_buckets_need_no_exchange(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(f"t{i:04d}", dt.datetime(2025, 1, 1 + rng.randrange(20)), rng.choice(["a", "b", "c", "hot", "hot", "hot", None, "orphan 1"]),
+             Decimal(rng.randrange(-9000, 9000)) / 100, 0, 1.0) for i in range(900)]
+    tx = spark.createDataFrame(rows, "transaction_id string, timestamp timestamp, account_id string, amount decimal(18,2), "
+                                     "fraud_flag int, volatility_index double")
+    tables.write_by_account(tx, "by_account", 4, str(tmp_path / "by_account"))
+    stored = spark.table("by_account")
+    found = enrich.enrich_bucketed(stored)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" in plan
+    wanted = sorted(map(str, enrich.enrich(tx).collect()))
+    assert sorted(map(str, found.collect())) == wanted
+    assert sorted(map(str, enrich.enrich_bucketed(stored, hot_rows=100).collect())) == wanted
+    spark.sql("DROP TABLE by_account")
