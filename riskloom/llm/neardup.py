@@ -27,10 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from riskloom.llm.common import buffer_of, fingerprints, in_parts, mix, only, uniform, windows, words
+from riskloom.plans.components import components
 from riskloom.plans.lineage import materialise
 
 #: Words of a shingle, and the least similarity of a link (fixed values).
@@ -38,7 +39,7 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 64, 8
 #: Texts whose shingles are handled at once: at most so many shingles, unless one text has more.
 BATCH_SHINGLES, BATCH_TEXTS = 1 << 17, 512
-#: Links in a file of a step that joins them to components.
+#: Links in a file of joined components.
 FILE_ROWS = 200_000
 #: Further leaders that an unsettled bucket tries, as long as they link anything.
 TURNS = 1
@@ -206,51 +207,48 @@ def compared(pairs: DataFrame, elements: DataFrame, similar: float = SIMILAR) ->
                          (F.col("both") >= similar * union).alias("linked"))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node, component`` of every node of ``links(a, b)``; a component is named after its least node.
+def _placed(nodes: DataFrame, elements: DataFrame) -> DataFrame:
+    """``bucket, node, n, place``: the elements that ``nodes`` share, and where each stands in its text.
 
-    Large-star and small-star steps in turn: every step is a join and an aggregation over the
-    links, stored in between, until all links are stars. The links never grow in number, so
-    a step writes as many files as their rows need.
-    """
-    edges = materialise(links.where("a <> b").select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    files = max(1, -(-edges.count() // FILE_ROWS))
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = materialise(both.join(least, "u").where("v > u").select(
-            F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(files), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = materialise(large.join(least, "u").where("v <> m").select(
-            F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v"))).distinct().coalesce(files), "small")
-        # Done when every node has one centre, and no centre of a star belongs to another star.
-        several = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
-        if several.isEmpty() and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
-            break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
-
-
-def _prefixes(nodes: DataFrame, elements: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``bucket, node``: the rarest elements of each of ``nodes``, as many as decide.
-
-    Of n elements, similar texts share one of the first n - ceil(similar * n) + 1 in any common
-    order, so nothing is lost; with rare elements first, a passage that many texts share is
-    not among them.
+    Texts have their elements in one order, rarest first, so that a passage that many texts share comes
+    last. ``place`` counts from 1 and ``n`` is the number of all elements; those of one text only come first
+    of all, but lead nowhere. Places beyond any prefix that decides are left out.
     """
     own = elements.join(nodes, "node", "left_semi")
     rows = own.select("node", F.size("elements").alias("n"), F.explode("elements").alias("bucket"))
     common = rows.groupBy("bucket").agg(F.count("*").alias("texts")).where("texts > 1")
-    shared = rows.join(common, "bucket")
     by_node = Window.partitionBy("node")
-    # Elements of one text only come first of all, but lead nowhere.
-    alone = F.col("n") - F.count("*").over(by_node)
-    place = F.row_number().over(by_node.orderBy("texts", "bucket"))
-    decide = F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1
-    return shared.withColumns({"place": place, "alone": alone}).where(
-        F.col("place") + F.col("alone") <= decide).select("bucket", "node")
+    shared = rows.join(common, "bucket").withColumn("place", F.row_number().over(by_node.orderBy("texts", "bucket"))
+                                                    + F.col("n") - F.count("*").over(by_node))
+    return shared.where(F.col("place") <= _prefix("n", SIMILAR)).select("bucket", "node", "n", "place")
+
+
+def _prefix(n: str, share: float) -> Column:
+    """Elements of which a text must share one with any text that has at least ``share`` of its elements in common with it."""
+    return F.col(n) - F.ceil(F.col(n) * share - 1e-9) + 1
+
+
+def _possible(placed: DataFrame, components: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Pairs ``a, b`` of different ``components(node, component)`` that their prefixes do not rule out; none that is similar is lost.
+
+    Of two similar texts the larger one, with n elements, shares at least similar * n of them, and the smaller one at
+    least 2 * similar / (1 + similar) of its own, so their first common element lies in the longer prefix of the larger
+    and in the shorter prefix of the smaller text. From there on, no more can be common than either
+    text has left.
+    """
+    joint = similar / (1 + similar)
+    named = placed.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    small = named.where(F.col("place") <= _prefix("n", 2 * joint)).select(
+        "bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "place", "component")])
+    # An element that only one text has in its short prefix, and none in its long one besides, can meet nothing.
+    met = small.groupBy("bucket").agg(F.count("*").alias("texts"))
+    large = named.join(met, "bucket").select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "place", "component")])
+    order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    left = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    meets = order & (F.col("n_a") >= similar * F.col("n_b") - 1e-9) & (F.col("component_a") != F.col("component_b")) & (
+        left >= F.ceil(joint * (F.col("n_a") + F.col("n_b")) - 1e-9))
+    return small.join(large, (small["bucket"] == large["bucket"]) & meets).select(
+        F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def _release(spark) -> None:
@@ -346,10 +344,11 @@ def _labelled(docs: DataFrame, bands: int, rows: int, listed: int) -> tuple[Data
     across(rest.where(few), members)
     if not many.isEmpty():
         named = join_links()
-        members = materialise(_crowded(_prefixes(many, elements)).select(
+        placed = materialise(_placed(many, elements), "placed")
+        members = materialise(_crowded(placed.select("bucket", "node")).select(
             "bucket", "node", F.lit(0.0).alias("distance")), "prefixes")
         named = other_leaders(members, named)
-        across(_unsettled(members, named), members)
+        compare(_possible(placed, named))
     named = join_links()
     label = materialise(texts.select("node", "exact_id", "copies").join(named, "node", "left").withColumn(
         "component", F.coalesce("component", "node")), "labelled")
