@@ -45,6 +45,19 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def set_aside(df: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns renamed whose name, in any case, is in ``used``, and the names to give them back."""
+    names, taken, back = {u.lower() for u in used}, {c.lower() for c in [*df.columns, *used]}, {}
+    for c in df.columns:
+        if c.lower() in names:
+            free = f"_own_{c}"
+            while free.lower() in taken:
+                free = f"_{free}"
+            taken.add(free.lower())
+            back[free] = c
+    return (df.withColumnsRenamed({c: free for free, c in back.items()}) if back else df), back
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A permutation of 64-bit numbers whose output bits all depend on all input bits."""
     x = x ^ (x >> np.uint64(32))

@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from riskloom.llm.common import set_aside
 from riskloom.plans.lineage import materialise
 
 #: Weights of the sources in the order of their names, repeating (fixed values).
@@ -173,7 +174,11 @@ def plan(rows: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SH
 
 
 def apply_plan(rows: DataFrame, made: Plan) -> DataFrame:
-    """``rows(source, size, key, ...)`` with ``source_size, target, copies`` and the ``shards`` of the copies."""
+    """``rows(source, size, key, ...)`` with ``source_size, target, copies`` and the ``shards`` of the copies.
+
+    Columns of the added names are replaced; all others are kept, whatever their names.
+    """
+    rows, back = set_aside(rows.drop("source_size", "target", "copies", "shards"), "sid", "block", "passes", "rest", "n_blocks", "state", "_extra")
     placed = _placed(rows, made.sources).drop("passes", "rest", "n_blocks")
     extra = made.extra.distinct().withColumn("_extra", F.lit(True))
     # The block table goes on the right; what it lacks are blocks without a document.
@@ -181,7 +186,7 @@ def apply_plan(rows: DataFrame, made: Plan) -> DataFrame:
     partial = F.when(F.col("state") == 1, 1).when((F.col("state") == 2) & F.col("_extra"), 1).otherwise(0)
     out = joined.withColumn("copies", (F.col("passes") + partial).cast("int"))
     return out.withColumn("shards", F.slice("shards", 1, F.col("copies"))).drop(
-        "sid", "block", "passes", "state", "_extra")
+        "sid", "block", "passes", "state", "_extra").withColumnsRenamed(back)
 
 
 def listing(taken: DataFrame, seed: int = SEED) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from riskloom.llm.common import buffer_of, fingerprints, in_parts, mix, only, uniform, windows, words
+from riskloom.llm.common import buffer_of, fingerprints, in_parts, mix, only, set_aside, uniform, windows, words
 from riskloom.plans.components import components
 from riskloom.plans.lineage import materialise
 
@@ -375,8 +375,9 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, listed: int =
 def deduplicate(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, listed: int = LISTED) -> DataFrame:
     """One row of each group of ``groups``, with all columns; that with the smallest id, null ids last.
 
-    Rows without words are kept. Of repeated rows one stays.
+    Rows without words are kept. Of repeated rows one stays. Columns may have any names.
     """
+    docs, back = set_aside(docs, "_node", "_id")
     marks, label = _labelled(docs, bands, rows, listed)
     best = F.min(F.struct(F.col("exact_id").isNull().alias("none"), "exact_id", "node"))
     kept = materialise(label.groupBy("component").agg(best.alias("s")).select(
@@ -397,4 +398,4 @@ def deduplicate(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, listed: i
     repeated = marks.where("node IS NOT NULL").groupBy("node", "doc_id").count().where("count > 1")
     if not repeated.isEmpty():
         found = found.dropDuplicates(["_node"])
-    return found.unionByName(named.where("_node IS NULL")).drop("_node")
+    return found.unionByName(named.where("_node IS NULL")).drop("_node").withColumnsRenamed(back)

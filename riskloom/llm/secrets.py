@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from riskloom.llm.common import in_parts
+from riskloom.llm.common import in_parts, set_aside
 from riskloom.plans.lineage import materialise
 
 KINDS = ["assign", "access", "hex"]
@@ -315,8 +315,10 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
     ``mask`` has the bounds of the secret values in order, joined where they overlap. Null
     and empty texts have no span. Texts are read once; the spans are stored, and the
-    automata score the stored candidates.
+    automata score the stored candidates. Columns of the added names are replaced; all others
+    are kept, whatever their names.
     """
+    docs, back = set_aside(docs.drop(*[f"n_{k}" for k in KINDS], "base_sha256", "spans", "mask"), "base", "candidates")
     passed = [f for f in docs.schema.fields if f.name != text]
     found = materialise(scan(docs, text), "spans")
     automata = learn(found)
@@ -341,4 +343,4 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
             out = pd.DataFrame(rows, columns=[f.name for f in added], index=batch.index)
             yield pd.concat([batch.drop(columns=["base", "candidates"]), out], axis=1)
 
-    return found.mapInPandas(finish, StructType([*passed, *added]))
+    return found.mapInPandas(finish, StructType([*passed, *added])).withColumnsRenamed(back)

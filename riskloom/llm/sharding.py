@@ -12,6 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskloom.llm.common import set_aside
 from riskloom.plans.lineage import materialise
 from riskloom.plans.numbering import running_total
 
@@ -27,6 +28,11 @@ def hash_bits(column: str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
+ADDED = ("shard", "depth", "shard_bytes", "shard_rows")
+#: Names of columns that come and go on the way.
+WORKING = ("cell", "rows", "prefix", "_most", "_row", "_before", "_number", "_b0", "_n0", "_part", "_value", "_total", "_offset", "_inside")
+
+
 def _prefix(hashes: Column, depth: int) -> Column:
     return F.shiftright(hashes, BITS - depth)
 
@@ -41,8 +47,14 @@ def shards(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     ``shard`` has the bits of the prefix; null bytes count as 0. A single row above the
     limit is a shard of its own. Rows that share all bits and still exceed the limit,
     such as a repeated id, are cut by their running total; a number after a dot tells those
-    shards apart. Empty input gives no rows.
+    shards apart. Empty input gives no rows. Columns of the added names are replaced; all
+    others are kept, whatever their names.
     """
+    rows, back = set_aside(rows.drop(*ADDED), *WORKING)
+    return _shards(rows, limit).withColumnsRenamed(back)
+
+
+def _shards(rows: DataFrame, limit: int) -> DataFrame:
     stored = materialise(rows.withColumn("bytes", F.coalesce(F.col("bytes"), F.lit(0)).cast("bigint")), "to_shard")
     total = stored.agg(F.sum("bytes")).first()[0] or 0
     depth = min(BITS, max(1, math.ceil(math.log2(max(total / limit, 1))) + STEP // 2))

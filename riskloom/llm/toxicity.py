@@ -335,8 +335,10 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None) ->
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score``, the probability that the text is toxic.
 
-    Null and empty texts get the score of a passage without any n-gram.
+    Null and empty texts get the score of a passage without any n-gram. A column named ``score``
+    is replaced.
     """
+    docs = docs.drop("score")
     weights = docs.sparkSession.sparkContext.broadcast(vars(model.flat()))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
