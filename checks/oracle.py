@@ -422,6 +422,7 @@ SELECT * REPLACE ({AMOUNT}) FROM (SELECT {GRAPH} FROM e) WHERE risk_score >= 0.3
         "graph_view_edges": _with(ENRICHED + "," + PAGE + "," + _pairs("g"), f"SELECT {SHOWN_EDGES} FROM ed"),
         "neighbours_2hop": _with(ENRICHED + "," + PULL + "," + _pairs("g"), _hops(NEIGHBOUR_SEED)),
         "neighbours_2hop_all": _with(SUSPICIOUS, _hops(NEIGHBOUR_SEED)),
+        "neighbours_from_index": _with(SUSPICIOUS, _hops(NEIGHBOUR_SEED)),
         "select_by_property": _with(SUSPICIOUS, "SELECT DISTINCT id FROM ends WHERE type = 'account'"),
         "select_by_edge": _with(SUSPICIOUS, f"SELECT DISTINCT id FROM lk JOIN ed ON id IN (\"from\", \"to\") AND other IN (\"from\", \"to\") WHERE color = '{fixed.RISKY_EDGE_COLOR}'"),
         "restrict_nodes": _with(SUSPICIOUS, """

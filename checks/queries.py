@@ -276,6 +276,15 @@ def neighbours_2hop_all(spark, d):
     return graph.neighbourhood(materialise(_edges(spark, d), "edges"), [NEIGHBOUR_SEED])
 
 
+def neighbours_from_index(spark, d):
+    """The same from edges stored by node, of which only the buckets of the seed and its neighbours are read."""
+    name = f"adjacency_{uuid.uuid4().hex}"
+    graph.write_adjacency(_edges(spark, d), name, 16, scratch_path(spark, "adjacency"))
+    found = materialise(graph.neighbourhood_of(spark.table(name), [NEIGHBOUR_SEED]), "found")
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
 def select_by_property(spark, d):
     merged = _pairs(spark, d)
     nodes = graph.node_table(merged, graph.single_ring(merged))
@@ -695,7 +704,7 @@ def queries() -> dict:
         transactions, enriched, enriched_split_accounts, enriched_from_buckets, risk_components, high_risk_transactions,
         critical_ledger, critical_ledger_all, ledger_with_unknowns, compact_ledger_with_unknowns, event_channels, rolling_describe, score_describe, trailing_months,
         region_heatmap, records, load_report, graph_edges, graph_nodes, graph_nodes_partitioned, node_stats,
-        graph_view, graph_view_all, graph_view_edges, neighbours_2hop, neighbours_2hop_all, select_by_property,
+        graph_view, graph_view_all, graph_view_edges, neighbours_2hop, neighbours_2hop_all, neighbours_from_index, select_by_property,
         select_by_edge, restrict_nodes, restrict_edges, ring_ledger, fallback_ledger, cross_ring_edges,
         ring_members, louvain_partition, louvain_modularity, louvain_check,
         nation_rings, rings_beside_volume, fraud_ring_totals, fraud_rings, fraud_rings_pull, fraud_ring_nodes, fraud_ring_nodes_check, corpus_stats,

@@ -13,6 +13,8 @@ from riskloom.functions import scoring
 from riskloom.plans.lineage import materialise
 from riskloom.plans.skew import HOT_ROWS, hot_keys, lookup
 
+#: Neighbours that a search over stored edges names in its filter instead of joining them.
+LISTED_NODES = 1000
 GRAPH_COLUMNS = [
     "transaction_id", "timestamp", "account_id", "customer_id",
     "amount", "transaction_type", "country", "risk_score",
@@ -150,6 +152,36 @@ def neighbourhood(edges: DataFrame, seeds: list[str], hot_rows: int = HOT_ROWS)
     return reached.groupBy("id").agg(F.min("distance").alias("distance"))
 
 
+def write_adjacency(edges: DataFrame, name: str, buckets: int, path: str | None = None) -> None:
+    """Stores both directions of every edge as table ``name(id, other)``, in ``buckets`` by node and sorted in them.
+
+    The rows of a hot node are split over several tasks and files of its bucket.
+    """
+    writer = links(edges).select("id", "other").hint("rebalance", "id").write.format("parquet").mode("overwrite").bucketBy(
+        buckets, "id").sortBy("id", "other")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
+def neighbourhood_of(adjacency: DataFrame, seeds: list[str], hot_rows: int = HOT_ROWS, listed: int = LISTED_NODES) -> DataFrame:
+    """``neighbourhood`` over a table of ``write_adjacency``: reads the buckets of the seeds, then those of their neighbours.
+
+    Up to ``listed`` neighbours are named in the filter, so only their buckets are read; more of them are joined.
+    """
+    near = adjacency.where(F.col("id").isin(seeds))
+    first = materialise(near.select(F.col("other").alias("id")).distinct(), "ring")
+    few = first.limit(listed + 1).collect()
+    if len(few) <= listed:
+        second = adjacency.where(F.col("id").isin([r["id"] for r in few]))
+    else:
+        met = adjacency.join(first, "id", "left_semi")
+        counts = met.groupBy("id").agg(F.count("*").alias("rows"))
+        second = lookup(met, first, "id", hot_keys(counts, "id", hot_rows), "inner", ["other"])
+    reached = near.select("id", F.lit(0).alias("distance")).unionByName(
+        first.select("id", F.lit(1).alias("distance"))).unionByName(
+        second.select(F.col("other").alias("id"), F.lit(2).alias("distance")))
+    return reached.groupBy("id").agg(F.min("distance").alias("distance"))
+
+
 def _truthy(column: str) -> Column:
     """A property that is missing, zero, false or empty never matches."""
     c = F.col(column)

@@ -197,6 +197,22 @@ def test_neighbourhood_around_hot_nodes(spark):
     assert graph.neighbourhood(edges, ["CUS-99"]).count() == 0
 
 
+def test_adjacency_reads_few_buckets(spark, tmp_path):
+    edges = spark.createDataFrame([(f"CUS-{i}", f"ACC-{j}") for i in range(200) for j in (i % 40, (i * 7) % 40) if j] +
+                                  [("CUS-x", "ACC-x"), ("CUS-y", "ACC-x"), ("CUS-y", "ACC-y")], "from string, to string")
+    graph.write_adjacency(edges, "adjacency", 32, str(tmp_path / "adjacency"))
+    stored = spark.table("adjacency")
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # only then the plan shows the buckets
+    plan = stored.where(F.col("id").isin(["CUS-x"]))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert "SelectedBucketsCount: 1 out of 32" in plan
+    for seeds in (["CUS-x"], ["ACC-3", "CUS-y"], ["missing"], []):
+        wanted = sorted(map(tuple, graph.neighbourhood(edges, seeds).collect())) if seeds else []
+        for listed in (1000, 1):
+            assert sorted(map(tuple, graph.neighbourhood_of(stored, seeds, hot_rows=3, listed=listed).collect())) == wanted
+    spark.sql("DROP TABLE adjacency")
+
+
 def test_selection(spark):
     merged = graph.pairs(transactions(spark, RINGS))
     nodes = graph.node_table(merged, graph.single_ring(merged))
