@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from riskloom import fixed_values as fixed
 from riskloom.functions import scoring
 from riskloom.plans.numbering import running_total
-from riskloom.plans.selection import quantiles
+from riskloom.plans.selection import measured_quantiles
 
 LEDGER_COLUMNS = [
     "transaction_id", "timestamp", "account_id", "customer_id", "amount", "transaction_type",
@@ -175,21 +175,17 @@ def describe(table: DataFrame, column: str, decimals: int = 6) -> DataFrame:
     """count, mean, std, min, quartiles and max of a column, one row per statistic.
 
     NaN counts as missing. The quartiles are exact but never gather the column in one
-    task, unlike ``percentile``.
+    task, unlike ``percentile``. The table is read twice.
     """
     v = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
     known = table.select(v.alias("v"))
-    q1, q2, q3 = quantiles(known, "v", [0.25, 0.5, 0.75])
     v = F.col("v")
-    stats = known.agg(
-        F.count(v).cast("double").alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max"),
-    )
-    pairs = [("count", F.col("count")), ("mean", F.col("mean")), ("std", F.col("std")), ("min", F.col("min")),
-             ("25%", F.lit(q1)), ("50%", F.lit(q2)), ("75%", F.lit(q3)), ("max", F.col("max"))]
-    rows = [F.struct(F.lit(n).alias("statistic"), F.round(c.cast("double"), decimals).alias("value"))
-            for n, c in pairs]
-    return stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    stats, (q1, q2, q3) = measured_quantiles(
+        known, "v", [0.25, 0.5, 0.75], F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    pairs = [("count", stats["_rows"]), ("mean", stats["mean"]), ("std", stats["std"]), ("min", stats["min"]),
+             ("25%", q1), ("50%", q2), ("75%", q3), ("max", stats["max"])]
+    rows = [F.struct(F.lit(n).alias("statistic"), F.round(F.lit(c).cast("double"), decimals).alias("value")) for n, c in pairs]
+    return table.sparkSession.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def score_value_counts(enriched: DataFrame, rows: int = 10) -> DataFrame:

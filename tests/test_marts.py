@@ -26,6 +26,29 @@ def test_quantiles_of_nothing_and_one_value(spark):
     assert selection.quantiles(spark.createDataFrame([(3.0,)], "v double"), "v", [0.25, 0.5]) == [3.0, 3.0]
 
 
+def test_quantiles_read_the_input_twice(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    values = np.round(np.exp(rng.normal(size=60_000) * 3), 4)
+    read = spark.sparkContext.accumulator(0)
+
+    def watched(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(4).mapInPandas(watched, "v double")
+    shares = [0.01, 0.25, 0.5, 0.75, 0.999]
+    wanted = np.quantile(values, shares).tolist()
+    assert selection.quantiles(df, "v", shares) == pytest.approx(wanted)
+    assert read.value == 2 * len(values)
+    read.value = 0
+    described = {r["statistic"]: r["value"] for r in marts.describe(df, "v").collect()}
+    assert described["50%"] == pytest.approx(round(wanted[2], 6)) and read.value == 2 * len(values)
+    # Brackets without reach miss their ranks, which are then searched in the whole input.
+    monkeypatch.setattr(selection, "REACH", 0.0)
+    assert selection.quantiles(df, "v", shares) == pytest.approx(wanted)
+
+
 def test_describe_matches_pandas(spark):
     import pandas as pd
     values = [1.5, 2.0, 2.0, 7.25, None, float("nan")]
