@@ -247,6 +247,16 @@ def test_context(spark):
     assert rows["none"]["context"].startswith("No relevant context") and rows["none"]["sources"] == []
 
 
+def test_context_through_an_index(spark):
+    texts = ["wire transfers of accounts", "card purchases abroad", "shell companies and layers", "wire fraud in accounts"]
+    chunks = spark.createDataFrame([(f"c{i}", t, f"f{i}.txt") for i, t in enumerate(texts)], "chunk_id string, content string, filename string")
+    embedded = knowledge.embed(chunks)
+    asked = spark.createDataFrame([("q1", "wire accounts"), ("q2", "card purchases"), ("q3", " ")], "query_id string, query string")
+    index = lists.build_index(embedded.select(F.col("chunk_id").alias("id"), "embedding"), lists=1)
+    plain = sorted(map(str, search.retrieve_context(asked, embedded, 2).collect()))
+    assert sorted(map(str, search.retrieve_context(asked, embedded, 2, lists=index).collect())) == plain
+
+
 def test_lists_on_disk(spark, tmp_path):
     rng = np.random.default_rng(1)
     base = vectors(spark, [(i, rng.normal(size=4).tolist()) for i in range(60)])
