@@ -106,6 +106,15 @@ def test_small_slices_take_their_halo_from_several(spark):
     same(averages(enrich.rolling_average(tx, hot_rows=50)), expected(rows))
 
 
+def test_many_hot_accounts_share_range_partitions(spark):
+    """As many accounts above the limit as one likes: the files of the slices grow with the rows alone."""
+    rows = sample({f"A{i:03d}": 120 for i in range(150)} | {"cold": 40, None: 9})
+    tx = spark.createDataFrame(rows, TRANSACTION_SCHEMA)
+    found = enrich.rolling_average(tx, hot_rows=50)
+    assert len([f for f in found.inputFiles() if "/slices/" in f]) <= 4
+    same(averages(found), expected(rows))
+
+
 def test_flags_and_score(spark):
     rows = [
         row(1, "A", 1, "10.00", 0, 1.5), row(2, "B", 1, "10.00", 1, 1.6), row(3, "C", 1, "10.00", 0, float("nan")),
