@@ -1,9 +1,58 @@
-"""Reading a folder of text files."""
+"""Writing and reading a folder of text files."""
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from riskloom.plans.lineage import file_system
+
+# Python tasks carry this module's helpers with them, so executors need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Sub-folders that files are dealt to by their name, so that no folder gets too long to list.
+FOLDERS = 256
+#: Stands for a name that is missing or empty.
+UNNAMED = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_text_corpus(texts: DataFrame, folder: str, folders: int = FOLDERS) -> int:
+    """Stores ``texts(name, content)`` as files ``doc=<name>.<task>.txt`` below ``folder`` and returns their number.
+
+    Tasks write the files in place, so nothing is moved or listed by the driver, and a task that is run again
+    writes the same ones. Rows of one name in a task are lines of one file; every text ends with a line feed.
+    """
+    named = texts.select(F.coalesce(F.nullif("name", F.lit("")), F.lit(UNNAMED)).alias("name"), F.coalesce("content", F.lit("")).alias("content"))
+    place = F.pmod(F.xxhash64("name"), F.lit(folders)).cast("int").alias("place")
+
+    def store(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, (fs, root), made = TaskContext.get().partitionId(), file_system(folder), set()
+        last, out = None, None
+        for frame in frames:
+            files = 0
+            for where, name, content in zip(frame["place"], frame["name"], frame["content"]):
+                if name != last:
+                    if out is not None:
+                        out.close()
+                    if where not in made:
+                        fs.create_dir(f"{root}/{where}", recursive=True)
+                        made.add(where)
+                    out = fs.open_output_stream(f"{root}/{where}/doc={quote(name, safe='')}.{task}.txt")
+                    last, files = name, files + 1
+                out.write(f"{content}\n".encode())
+            yield pd.DataFrame({"files": [files]})
+        if out is not None:
+            out.close()
+
+    file_system(folder)[0].create_dir(file_system(folder)[1], recursive=True)
+    stored = named.select(place, "name", "content").sortWithinPartitions("name").mapInPandas(store, "files bigint")
+    return stored.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
 
 def read_text_corpus(spark: SparkSession, folder: str, suffix: str = ".txt") -> DataFrame:
     """Whole files below ``folder`` as ``path, filename, content``.

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+from urllib.parse import unquote
 
 import pytest
 
@@ -87,6 +88,21 @@ def test_corpus_keeps_line_ends_and_paths(spark, tmp_path):
     assert len({r["path"] for r in rows}) == 2
 
 
+def test_written_corpus_is_read_back(spark, tmp_path):
+    """A file per name, in few folders whatever the number of texts; rows of one name in a task share its file."""
+    texts = [(f"n{i}", f"text {i}\n\né") for i in range(300)] + [("a/b c%", ""), (None, "x"), ("", None), ("n7", "again")]
+    frame = spark.createDataFrame(texts, "name string, content string").coalesce(1)
+    assert corpus.write_text_corpus(frame, str(tmp_path / "texts"), 8) == 302
+    rows = corpus.read_text_corpus(spark, str(tmp_path / "texts")).collect()
+    assert len(list((tmp_path / "texts").iterdir())) <= 8 and len({r["path"] for r in rows}) == len(rows) == 302
+    found = {unquote(unquote(r["filename"])).removeprefix("doc=").rsplit(".", 2)[0]: r["content"] for r in rows}
+    assert found["n8"] == "text 8\n\né\n" and found["a/b c%"] == "\n"
+    assert sorted(found["n7"].splitlines()) == sorted(["again", "text 7", "", "é"])
+    assert sorted(found["__HIVE_DEFAULT_PARTITION__"].split("\n")) == ["", "", "x"]
+    assert corpus.write_text_corpus(frame.limit(0), str(tmp_path / "none")) == 0
+    assert corpus.read_text_corpus(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_running_total_is_exact(spark):
     df = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("k")).repartition(7)
     rows = running_total(df, [F.desc("k")], F.col("k"), "before").collect()
