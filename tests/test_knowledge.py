@@ -184,6 +184,13 @@ def test_passes_of_queries(spark, monkeypatch):
     assert hits(lists.search_index(lists.build_index(base), queries, 3, share=None)) == wanted
 
 
+def test_a_pass_is_bounded_in_memory():
+    """What a task keeps for the queries of one pass, of 64 dimensions and five rows each."""
+    assert lists.PASS_QUERIES == search.PASS_QUERIES
+    running = search._Running(np.arange(search.PASS_QUERIES), np.ones((search.PASS_QUERIES, 64)), 5)
+    assert running.query.nbytes + 2 * running.distance.nbytes + running.bar.nbytes + running.keys.nbytes <= 64 << 20
+
+
 def test_far_blocks_are_skipped():
     rng = np.random.default_rng(8)
     near, far = search._unit(rng.normal(size=(50, 8)) * .1 + 5), search._unit(rng.normal(size=(50, 8)) * .1 - 5)
