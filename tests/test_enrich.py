@@ -115,6 +115,15 @@ def test_many_hot_accounts_share_range_partitions(spark):
     same(averages(found), expected(rows))
 
 
+def test_repeated_rows_stay_in_one_slice(spark):
+    """Equal keys have no order of their own, so a cut between them would give both the same place."""
+    rows = [r for r in sample({"hot": 500, "warm": 130}) for _ in range(2)]
+    tx = spark.createDataFrame(rows, TRANSACTION_SCHEMA)
+    found = enrich.rolling_average(tx, hot_rows=51)
+    shown = lambda df: sorted((r["transaction_id"], str(r["rolling_avg_amount"])) for r in df.collect())
+    assert shown(found) == shown(enrich.rolling_average(tx))
+
+
 def test_flags_and_score(spark):
     rows = [
         row(1, "A", 1, "10.00", 0, 1.5), row(2, "B", 1, "10.00", 1, 1.6), row(3, "C", 1, "10.00", 0, float("nan")),
