@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from checks.queries import partition_faults
 from riskloom.operators import communities, graph
+from riskloom.plans.lineage import materialise
 from riskloom.plans.components import components as graph_components
 from riskloom.plans.pipelines import fraud_rings
 from riskloom.plans.skew import hot_keys, lookup
@@ -173,6 +174,25 @@ def test_groups_move_on_from_group_to_group(spark):
     assert any_moved and found["3"] == found["4"] != found["1"] == found["2"]
 
 
+@pytest.mark.parametrize("block_rows", [1 << 22, 60])
+def test_many_communities_move_in_few_turns(spark, monkeypatch, block_rows):
+    """Forty communities of one group, each of which belongs with its partner in another group; in one block and in several."""
+    steps = []
+    monkeypatch.setattr(communities.turns, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(communities, "materialise", lambda df, name="step": steps.append(name) or materialise(df, name))
+    rows = [r for n in range(80) for r in block(n, n, 1)]
+    g = communities._graph(graph.pairs(transactions(spark, rows)), "gross", 10_000)
+    k, w = Decimal(200), Decimal(50)
+    edges = spark.createDataFrame([(f"{n:02}", f"{n + 40:02}", k, k, w) for n in range(40)],
+                                  "a string, b string, ka decimal(38,2), kb decimal(38,2), w decimal(28,2)")
+    groups = spark.createDataFrame([(f"{n:02}", "A" if n < 40 else f"{n:02}", k) for n in range(80)],
+                                   "label string, root string, k decimal(38,2)")
+    steps.clear()
+    found = {r["label"]: r["root"] for r in communities._move_on(g, edges, groups)[0].collect()}
+    apart = [n for n in range(40) if found[f"{n:02}"] != found[f"{n + 40:02}"]]
+    assert apart == [] and len(steps) <= 50
+
+
 def test_components_are_found_with_loops(spark):
     links = [("a", "b"), ("b", "c"), ("d", "d"), ("e", "f"), ("g", "f"), ("b", "b")]
     got = {r["node"]: r["component"] for r in graph_components(spark.createDataFrame(links, "a string, b string")).collect()}
