@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -6,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries
 from riskloom.functions import text
 from riskloom.operators import knowledge, lists, search
 
@@ -278,3 +280,67 @@ def test_space_class():
     spaces = [c for c in map(chr, range(0x11000)) if c.isspace()]
     pattern = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: "\\u" + m[1].rjust(4, "0"), text.SPACE))
     assert [c for c in map(chr, range(0x11000)) if pattern.fullmatch(c)] == spaces
+
+
+def test_single_precision_loses_no_neighbour():
+    """Rows nearer to each other than single precision tells apart, copies, and rows without a direction."""
+    rng = np.random.default_rng(12)
+    base = np.repeat(rng.normal(size=(1, 24)), 5000, axis=0) + 1e-5 * rng.normal(size=(5000, 24))
+    base[1000:3000], base[40] = base[999], 0.0
+    base, query = search._unit(base), search._unit(np.vstack([base[::500], rng.normal(size=(700, 24)), np.zeros((1, 24))]))
+    running = search._Running(np.arange(len(query)), query, 5)
+    for i in range(0, 5000, 2500):
+        running.meet(np.arange(i, i + 2500), base[i:i + 2500])
+    found = next(running.hits()).groupby("query_id")["id"].agg(set)
+    distance = np.round(1.0 - query @ base.T, search.DIGITS)
+    for i in range(len(query) - 1):
+        order = np.lexsort((np.arange(5000), distance[i]))[:5]
+        # A product of another shape may round the last digit the other way.
+        assert np.allclose(sorted(distance[i][list(found[i])]), distance[i][order], atol=2e-9)
+    assert len(query) - 1 not in found
+
+
+def test_blocks_measure_few_pairs(monkeypatch):
+    """Once the nearest rows are known, only pairs that can be among them are measured in double precision."""
+    rng, measured, einsum = np.random.default_rng(13), [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda *a: measured.append(len(a[1])) or einsum(*a))
+    base, query = search._unit(rng.normal(size=(20_000, 32))), search._unit(rng.normal(size=(600, 32)))
+    running = search._Running(np.arange(600), query, 5)
+    for i in range(0, 20_000, 5_000):
+        running.meet(np.arange(i, i + 5_000), base[i:i + 5_000])
+    assert 0 < sum(measured) < 600 * 20_000 / 100
+
+
+def test_lists_are_scanned_in_place(spark, tmp_path):
+    """No row of the base or of the queries is shuffled or repeated, only hits are."""
+    rng = np.random.default_rng(14)
+    base = vectors(spark, [(i, rng.normal(size=6).tolist()) for i in range(300)])
+    queries = vectors(spark, [(i, rng.normal(size=6).tolist()) for i in range(40)] + [(99, [0.0] * 6), (98, None)], "query_id")
+    centroids = search.write_lists(base, str(tmp_path / "lists"), 4)
+    found = search.search_lists(spark.read.parquet(str(tmp_path / "lists")), centroids, queries, 3, probes=4, block_floats=60)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "FlatMapCoGroups" not in plan and "Join" not in plan
+    assert hits(found) == hits(search.vector_search(base, queries, 3))
+    two = hits(search.search_lists(spark.read.parquet(str(tmp_path / "lists")), centroids, queries, 3, probes=2))
+    listed = {r["id"]: r["list"] for r in spark.read.parquet(str(tmp_path / "lists")).collect()}
+    probed = {r["query_id"]: set(r["lists"]) for r in search.nearest_lists(queries.where("query_id < 98"), centroids, 2).collect()}
+    assert all(listed[i] in probed[q] for q, ids in two.items() for i in ids) and set(two) == set(probed)
+
+
+def test_blocks_are_shuffled_in_bands(spark, monkeypatch):
+    """Small blocks do not repeat a row more often than its band asks for."""
+    rng = np.random.default_rng(15)
+    base = vectors(spark, [(i, rng.normal(size=4).tolist()) for i in range(600)])
+    queries = base.withColumnRenamed("id", "query_id")
+    seen, explode = [], F.sequence
+    monkeypatch.setattr(search.F, "sequence", lambda low, high: seen.append(str(high)) or explode(low, high))
+    found = hits(search.block_search(base, queries, 3, block_floats=40))  # 60 blocks a side
+    bands = math.ceil(math.sqrt(spark.sparkContext.defaultParallelism))
+    assert len(seen) == 2 and all(str(bands - 1) in s for s in seen)
+    monkeypatch.setattr(search, "BAND_ROWS", 100)
+    assert hits(search.block_search(base, queries, 3, block_floats=40)) == found == hits(search.vector_search(base, queries, 3))
+
+
+def test_shown_vectors_are_computed_once(spark):
+    plan = queries.embedded_chunks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
