@@ -257,3 +257,20 @@ def test_lookup_around_hot_keys(spark, how):
     assert {r["k"]: r["parts"] for r in hot.collect()} == {"a": 10, "b": 5}
     plain = sorted(map(tuple, lookup(facts, dim, "k", None, how).select("id").collect()))
     assert sorted(map(tuple, lookup(facts, dim, "k", hot, how).select("id").collect())) == plain
+
+
+def test_a_partition_is_computed_once(spark):
+    """Both ends and the sizes read the stored partition, whatever it costs to compute."""
+    merged = graph.pairs(transactions(spark, RINGS))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def ring(name):
+        seen.add(1)
+        return int(name[-1]) // 5
+
+    nodes = materialise(graph.ends(merged).select("id").distinct(), "nodes")
+    part = nodes.withColumn("community", ring("id"))
+    for show, rows in ((lambda: graph.ring_ledger(merged, part), 2), (lambda: graph.cross_ring_edges(graph.edge_table(merged), part), 0)):
+        seen.value = 0
+        assert len(show().collect()) == rows and seen.value == 10
