@@ -7,7 +7,7 @@ import pytest
 from riskloom.plans import lineage
 from riskloom.plans.lineage import clear_scratch, materialise, scratch_path
 from riskloom.plans.numbering import running_total
-from riskloom.plans.pipelines import MARTS, write_marts
+from riskloom.plans.pipelines import MARTS, TOPS, write_marts
 from riskloom.operators import graph, marts
 from riskloom.operators.enrich import enrich
 from riskloom.sources import corpus, tables, tpch, versions
@@ -148,3 +148,34 @@ def test_all_marts_are_written(spark, tmp_path):
     enriched = enrich(tpch.transactions(spark, SMALL), tpch.account_rows(spark, SMALL))
     report = {r["mart"]: r["num_rows"] for r in write_marts(enriched.cache(), str(tmp_path)).collect()}
     assert list(report) == MARTS and report["metrics"] == 1 and report["graph_pull"] == 300
+
+
+def test_top_marts_keep_their_rows_only(spark):
+    """A task keeps the rows of the mart, and does not sort all of its own."""
+    for build in TOPS.values():
+        plan = build(materialise(enrich(tpch.transactions(spark, SMALL)), "enriched"))._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrderedAndProject" in plan and "Window" not in plan and "Sort " not in plan
+
+
+def test_ranks_need_no_second_shuffle(spark):
+    """Ranked rows are stored sorted; only a row per range is exchanged after that, and only columns that are shown are sorted."""
+    enriched = materialise(enrich(tpch.transactions(spark, SMALL)), "enriched")
+    ledger = marts.critical_ledger(enriched.unionByName(enriched))
+    assert sorted(r["rank"] for r in ledger.select("rank").collect()) == list(range(1, 2 * enriched.count() + 1))
+    stored = spark.read.parquet(*ledger.inputFiles())
+    assert set(stored.columns) == {"transaction_id", "timestamp", "amount", "transaction_type", "country", "risk_score", "_at"}
+    plan = ledger._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line]
+    assert len(windows) == 1 and "risk_score" not in windows[0]
+    assert marts.critical_ledger(enriched.limit(0)).count() == 0
+
+
+def test_months_are_added_behind_the_shuffle(spark, tmp_path, monkeypatch):
+    seen, write = [], tables.write_files
+    monkeypatch.setattr(tables, "write_files", lambda df, *rest: seen.append(df) or write(df, *rest))
+    rows = spark.sql("SELECT string(id) transaction_id, timestamp_seconds(id * 1000000) timestamp FROM range(40)")
+    tables.write_by_month(rows, str(tmp_path / "months"))
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("yyyy-MM") < plan.index("RepartitionByExpression")
+    back = spark.read.parquet(str(tmp_path / "months"))
+    assert back.count() == 40 and back.where("month <> date_format(timestamp, 'yyyy-MM')").count() == 0
