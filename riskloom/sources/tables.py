@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+#: Rows of a bucket, about 100 MB of transactions.
+BUCKET_ROWS = 1_000_000
+
 TRANSACTION_SCHEMA = T.StructType([
     T.StructField("transaction_id", T.StringType()),
     T.StructField("timestamp", T.TimestampType()),
@@ -26,9 +29,11 @@ CHUNK_SCHEMA = T.StructType([
 ])
 
 
-def write_files(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
+def write_files(df: DataFrame, path: str, partition_by: list[str] | None = None, compression: str | None = None) -> str:
     """Parquet at any Hadoop URI, replacing what is there."""
     writer = df.write.mode("overwrite")
+    if compression:
+        writer = writer.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
@@ -39,10 +44,11 @@ def write_by_month(enriched: DataFrame, path: str) -> str:
     """Stores enriched transactions by month.
 
     Rows are range-partitioned by time first, so a month is split over as many tasks as
-    it needs, and each task opens only the folders of its own few months.
+    it needs, and each task opens only the folders of its own few months. The month is added behind that shuffle.
     """
-    months = enriched.withColumn("month", F.date_format("timestamp", "yyyy-MM"))
-    return write_files(months.repartitionByRange("timestamp", "transaction_id"), path, ["month"])
+    ranged = enriched.repartitionByRange("timestamp", "transaction_id")
+    months = ranged.withColumn("month", F.date_format("timestamp", "yyyy-MM"))
+    return write_files(months, path, ["month"], "zstd")
 
 
 def create_namespace(spark: SparkSession, name: str) -> None:
@@ -93,12 +99,17 @@ def records(df: DataFrame, time_format: str = "yyyy-MM-dd HH:mm:ss") -> DataFram
     return df.select(F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}).alias("record"))
 
 
+def buckets_for(rows: int, least: int = 1) -> int:
+    """Buckets for a table of that many rows: ``least``, or more where one would hold over ``BUCKET_ROWS``."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
+
 def write_by_account(tx: DataFrame, name: str, buckets: int, path: str | None = None) -> None:
     """Stores transactions as table ``name``, in ``buckets`` by account, each sorted by account, time and id.
 
     What is grouped or windowed by account later needs no exchange. Rows without an account would meet
     in one bucket, so they get spread-out keys of their own in ``account_bucket``, by which the buckets are made; a
-    known account's key is its id. Choose as many buckets as tasks of about 200 MB need.
+    known account's key is its id. One task reads a bucket, so ``buckets`` should grow with the rows: see ``buckets_for``.
     """
     spread = F.concat(F.lit("orphan "), F.pmod(F.xxhash64("transaction_id"), F.lit(64 * buckets)).cast("string"))
     keyed = tx.withColumn("account_bucket", F.coalesce("account_id", spread))

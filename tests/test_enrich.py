@@ -172,3 +172,18 @@ def test_buckets_need_no_exchange(spark, tmp_path):
     assert sorted(map(str, found.collect())) == wanted
     assert sorted(map(str, enrich.enrich_bucketed(stored, hot_rows=100).collect())) == wanted
     spark.sql("DROP TABLE by_account")
+
+
+def test_buckets_grow_with_the_rows():
+    assert tables.buckets_for(0) == 1 and tables.buckets_for(0, 8) == tables.buckets_for(8_000_000, 8) == 8
+    for rows in (8_000_001, 36_000_000, 216_000_000):
+        assert rows / tables.buckets_for(rows, 8) <= tables.BUCKET_ROWS
+
+
+def test_amounts_are_shuffled_once(spark):
+    """Amounts that are decimals already are summed as they are, without a copy beside them."""
+    tx = spark.range(20).select(
+        F.col("id").cast("string").alias("transaction_id"), F.timestamp_seconds("id").alias("timestamp"), F.lit("a").alias("account_id"),
+        F.col("id").cast("decimal(18,2)").alias("amount"), F.lit(0).alias("fraud_flag"), F.lit(1.0).alias("volatility_index"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "_money" not in plan(enrich.enrich(tx)) and "_money" in plan(enrich.enrich(tx.withColumn("amount", F.col("amount").cast("double"))))
