@@ -147,6 +147,22 @@ def test_equal_stars(spark):
     assert faults(merged, part) == {}
 
 
+@pytest.mark.parametrize("weight,hot_rows", [("gross", 7)])
+def test_search_in_one_task_is_that_of_the_rounds(spark, monkeypatch, weight, hot_rows):
+    """The same partition, but for a graph that fits in a block without a stored table for each step."""
+    import random
+    rng, steps = random.Random(5), []
+    monkeypatch.setattr(communities, "materialise", lambda df, name="step": steps.append(name) or materialise(df, name))
+    rows = [(f"CUS-{rng.randrange(60)}", f"ACC-{int(rng.random() ** 2 * 20)}", f"{rng.uniform(-90, 200):.2f}", 0.5) for _ in range(300)]
+    rows += block("é", "é", 3) + block("x", "x", 3) + [("ACC-3", "ACC-3", "12.00", 0.5), ("CUS-1", "CUS-2", "900.00", 0.5)]
+    merged = materialise(graph.pairs(transactions(spark, rows)), "pairs")
+    found = sorted(map(tuple, communities.louvain(merged, weight, hot_rows=hot_rows).collect()))
+    assert len(steps) <= 6
+    monkeypatch.setattr(communities.whole, "MOST_CENTS", 0)
+    steps.clear()
+    assert sorted(map(tuple, communities.louvain(merged, weight, hot_rows=hot_rows).collect())) == found and len(steps) > 20
+
+
 def test_communities_are_split_where_they_fall_apart(spark):
     merged = graph.pairs(transactions(spark, block(1, 1) + block(2, 2) + [("CUS-x", "ACC-x", "7.00", 0.5)]))
     g = communities._graph(merged, "gross", 10)
