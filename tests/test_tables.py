@@ -11,6 +11,7 @@ from riskloom.plans.pipelines import MARTS, TOPS, write_marts
 from riskloom.operators import graph, marts
 from riskloom.operators.enrich import enrich
 from riskloom.sources import corpus, tables, tpch, versions
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
@@ -103,6 +104,29 @@ def test_written_corpus_is_read_back(spark, tmp_path):
     assert corpus.read_text_corpus(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_corpus_is_listed_by_tasks(spark, tmp_path):
+    """As Spark's own reader, but the driver holds no list of the files."""
+    names = ["plain", "a b", "100%", "x%20y", "é ü", "日本", "a#b", "q?r", "e+f;g,h@i=j&k", "(p)!~*'$", "[r]{s}", 'u"v<w>|^`', "n\u00a0m", "_hidden",
+             "_kept=1", ".dot"]
+    for at in (".", "deep/er", "sp ace/é%", "_skipped", "_in=1", ".git"):
+        (tmp_path / at).mkdir(parents=True, exist_ok=True)
+        for i, name in enumerate(names):
+            (tmp_path / at / f"{name}.txt").write_bytes(f"\ufeff{at}\r\n{name}\n".encode() if i else b"\xff\x00bytes")
+        (tmp_path / at / "empty.txt").write_text("")
+        (tmp_path / at / "other.md").write_text("no")
+    for i in range(300):
+        (tmp_path / f"n{i}.txt").write_text(f"{i}")
+    for folder in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/", f"{tmp_path}/sp ace"):
+        whole = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True).select(
+            "_metadata.file_path", "_metadata.file_name", F.col("value").cast("binary"))
+        read = corpus.read_text_corpus(spark, folder)
+        assert sorted(map(tuple, read.withColumn("content", F.col("content").cast("binary")).collect())) == sorted(map(tuple, whole.collect()))
+        assert read.columns == ["path", "filename", "content"] and len(read.inputFiles()) < 20
+    assert corpus.read_text_corpus(spark, f"{tmp_path}/d*").count() == 14
+    with pytest.raises(AnalysisException):
+        corpus.read_text_corpus(spark, f"{tmp_path}/none").count()
+
+
 def test_running_total_is_exact(spark):
     df = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("k")).repartition(7)
     rows = running_total(df, [F.desc("k")], F.col("k"), "before").collect()
