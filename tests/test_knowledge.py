@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import text
 from riskloom.operators import knowledge, lists, search
+from riskloom.plans.pipelines import build_knowledge_base
+from riskloom.sources import corpus
 
 
 def packed(content, limit, separator=r"\n\s*\n"):
@@ -265,6 +267,16 @@ def test_context_through_an_index(spark):
     assert sorted(map(str, search.retrieve_context(asked, embedded, 2, lists=index).collect())) == plain
 
 
+def test_texts_of_a_base_are_read_by_few_tasks(spark, tmp_path):
+    """Neither tasks nor what the driver knows of them grow with every file."""
+    texts = spark.createDataFrame([(f"n{i}", f"word{i} and more") for i in range(400)], "name string, content string")
+    corpus.write_text_corpus(texts, str(tmp_path / "texts"))
+    docs = corpus.read_text_corpus(spark, str(tmp_path / "texts"))
+    assert docs.rdd.getNumPartitions() == 1 and len(docs.inputFiles()) < 300
+    base = build_knowledge_base(docs, str(tmp_path / "base"), 60, "\n", lists=2)
+    assert base.chunks.count() == base.lists[0].count() == 400 and base.chunks.select("content").distinct().count() == 400
+
+
 def test_lists_on_disk(spark, tmp_path):
     rng = np.random.default_rng(1)
     base = vectors(spark, [(i, rng.normal(size=4).tolist()) for i in range(60)])
