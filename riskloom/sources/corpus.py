@@ -25,8 +25,8 @@ FOLDERS = 256
 UNNAMED = "__HIVE_DEFAULT_PARTITION__"
 #: Most files and bytes that a task reads on average, and that it hands on at a time.
 TASK_FILES, TASK_BYTES, BATCH_FILES, BATCH_BYTES = 4096, 64 << 20, 1024, 4 << 20
-#: Most tasks that list the folders of a level.
-LIST_TASKS = 256
+#: Folders of a level that a task lists where there are many, and tasks where there are few.
+LIST_FOLDERS, LIST_TASKS = 64, 24
 #: What stands in a URI's path as it is, besides letters and digits.
 KEPT = "/;:@&=+$,-_.!~*'()"
 
@@ -149,6 +149,7 @@ def _listed(spark: SparkSession, folder: str, root: str, suffix: str) -> DataFra
     found = level(spark.createDataFrame([(root,)], "place string"))
     levels = [found]
     while folders := found.where("is_folder").count():
-        found = level(found.where("is_folder").select("place").repartition(min(folders, LIST_TASKS), "place"))
+        found = level(found.where("is_folder").select("place").repartition(
+            min(folders, max(LIST_TASKS, folders // LIST_FOLDERS)), "place"))
         levels.append(found)
     return functools.reduce(DataFrame.unionByName, levels).where("NOT is_folder")
